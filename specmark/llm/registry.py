@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specmark.llm import mixing, quality
+from specmark.llm import mixing, quality, secrets
 from specmark.llm.common import table
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -17,7 +21,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_quality_rules, op7_mix_sources)}
+    return {f.__name__: f for f in (op2_secret_scans, op5_quality_rules, op7_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
