@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specmark.llm import mixing, quality, secrets
+from specmark.llm import licenses, mixing, quality, secrets
 from specmark.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -21,8 +25,8 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scans, op5_quality_rules, op7_mix_sources)}
+    return {f.__name__: f for f in (op2_secret_scans, op3_license_scans, op5_quality_rules, op7_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_license_scans": licenses.ORACLE_SQL}
