@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specmark.llm import licenses, mixing, quality, secrets
+from specmark.llm import licenses, mixing, quality, secrets, simhash
 from specmark.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scans, op3_license_scans, op5_quality_rules, op7_mix_sources)}
+    return {f.__name__: f for f in (op2_secret_scans, op3_license_scans, op4_simhash_groups, op5_quality_rules, op7_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
