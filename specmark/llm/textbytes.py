@@ -105,6 +105,10 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES):
 def words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = None) -> Words:
     if fold is not None:
         data = fold[data]
+        # capital letters of Latin-1, two bytes each, but the multiplication sign among them
+        second = np.nonzero(data[:-1] == 0xC3)[0] + 1
+        capital = second[(data[second] <= 0x9E) & (data[second] != 0x97)]
+        data[capital] += 32
     gap = np.ones(len(data) + 1, bool)
     np.take(_IS_SPACE, data, out=gap[:-1])
     # a text also ends where the next begins

@@ -210,7 +210,7 @@ def _log_odds(buckets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return (odds * seen / (seen + 5)).astype(F32)
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 6, seed: int = 7, windows_per_text: int = 64) -> Model:
+def train(texts: list[bytes], labels: list[int], epochs: int = 8, seed: int = 7, windows_per_text: int = 64) -> Model:
     y = np.array(labels, np.int64)
     share = float(y.mean()) if len(y) else 0.0
     model = Model(min(share, 0.49))
@@ -251,8 +251,9 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 6, seed: int = 7,
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         chosen = order[(rank < np.where(y[owner[order]] == 1, 1, 2)) | ((y[owner[order]] == 0) & (rng.random(len(order)) < 0.02))]
         rng.shuffle(chosen)
-        for at in range(0, len(chosen), 256):
-            own = chosen[at : at + 256]
+        size = min(256, max(32, len(chosen) // 10))
+        for at in range(0, len(chosen), size):
+            own = chosen[at : at + size]
             # only the distinct words of the batch
             words, back = np.unique(np.concatenate([t.ids[s : s + n] for s, n in zip(start[own], length[own])]), return_inverse=True)
             grams = np.concatenate([t.grams[t.gram_starts[k] : ends[k]] for k in words])
