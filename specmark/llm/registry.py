@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specmark.llm import licenses, mixing, quality, secrets, simhash, toxicity
+from specmark.llm import decontamination, licenses, mixing, quality, secrets, simhash, toxicity
 from specmark.llm.common import table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scans, op3_license_scans, op4_simhash_groups, op5_quality_rules, op7_mix_sources, op10_toxicity)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_license_scans, op4_simhash_groups, op5_quality_rules, op7_mix_sources, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
