@@ -3,7 +3,8 @@
 Lines, paragraphs of several lines and whole texts are units. A unit is normalised (lower case, anything but a-z and
 0-9 becomes a space) and turned into its set of word bigrams. With n and m bigrams, Dice >= t needs
 ``t/(2-t) <= n/m <= (2-t)/t``: units outside these bounds of every template are dropped before their bigrams are made,
-and the bounds of each template are part of the join condition. The join is from bigrams to the fixed table of template
+and the bounds of each template are part of the join condition. Before that, texts and units without any of the pivots that a match must
+hold (``pivots``) are passed over. The join is from bigrams to the fixed table of template
 bigrams, so no unit is paired with a template that it shares nothing with, and only counts are shuffled.
 
 Null and empty texts have no license (null, 0.0, 0). Ties in the score go to the first license by name. Repeated rows
@@ -12,7 +13,7 @@ each get the result of their text. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specmark.llm.common import text_of
@@ -61,6 +62,41 @@ def template_bigrams() -> list[tuple[int, str, int, str]]:
     return rows
 
 
+def pivots(least: float = LEAST_DICE) -> list[tuple[str, ...]]:
+    """Words, or pairs of words, of which a unit must hold one (both) to reach ``least`` with any template.
+
+    A match shares ``least / (2 - least)`` of the template's bigrams at least. If more bigrams than may be missing have
+    one of some words, or are among some pairs, then a match has one of these. Long words are taken first, and those
+    that serve others already; then pairs. What contains another pivot is left out.
+    """
+    chosen: set[tuple[str, ...]] = set()
+    for _, text in TEMPLATES:
+        w = _normal(text)
+        grams = sorted({(a, b) for a, b in zip(w, w[1:])}, key=lambda g: (g not in chosen, -len(g[0] + g[1]), g))
+        may_miss = int(len(grams) * (1 - least / (2 - least)) + 1e-9)
+        words = sorted({x for x in w if len(x) > 4}, key=lambda x: ((x,) not in chosen, -len(x), x))
+        covered: set[tuple[str, str]] = set()
+        for pivot in [*((x,) for x in words), *grams]:
+            if len(covered) > may_miss:
+                break
+            more = {g for g in grams if (pivot[0] in g if len(pivot) == 1 else g == pivot)} - covered
+            if more:
+                covered |= more
+                chosen.add(pivot)
+    inside = lambda a, b: all(any(x in y for y in b) for x in a)
+    return sorted(p for p in chosen if not any(q != p and inside(q, p) for q in chosen))
+
+
+def _may_match(text: Column, least: float) -> Column:
+    out = F.lit(False)
+    for pivot in pivots(least):
+        held = F.contains(text, F.lit(pivot[0]))
+        for word in pivot[1:]:
+            held = held & F.contains(text, F.lit(word))
+        out = out | held
+    return out
+
+
 def scan_licenses(docs: DataFrame, least: float = LEAST_DICE) -> DataFrame:
     """One row per document: doc_id, its best license, the Dice score of that and the number of units that match any."""
     rows = template_bigrams()
@@ -69,8 +105,11 @@ def scan_licenses(docs: DataFrame, least: float = LEAST_DICE) -> DataFrame:
     fewest, most = min(r[2] for r in rows) * low, max(r[2] for r in rows) * high
     keyed = docs.select(F.col("doc_id").alias("_l_id"), text_of().alias("_l_text")).select("*", F.xxhash64("_l_text").alias("_l_key"))
     units = (
-        keyed.select("_l_id", "_l_key", F.posexplode(F.expr(_UNITS)).alias("_u_no", "_u_text"))
-        .select("_l_id", "_l_key", "_u_no", F.regexp_replace(F.lower("_u_text"), "[^a-z0-9]+", " ").alias("_u_text"))
+        keyed.select("_l_id", "_l_key", F.lower("_l_text").alias("_l_text"))
+        .filter(_may_match(F.col("_l_text"), least))
+        .select("_l_id", "_l_key", F.posexplode(F.expr(_UNITS)).alias("_u_no", "_u_text"))
+        .filter(_may_match(F.col("_u_text"), least))
+        .select("_l_id", "_l_key", "_u_no", F.regexp_replace("_u_text", "[^a-z0-9]+", " ").alias("_u_text"))
         # n bigrams need more than n words, and each word takes two characters at least
         .filter(F.length("_u_text") >= 2 * int(fewest))
         .select("_l_id", "_l_key", "_u_no", F.filter(F.split("_u_text", " "), lambda w: w != "").alias("_u_words"))
