@@ -17,6 +17,7 @@ labelled rows, or of one class only, every text scores that share. Repeated rows
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,8 +43,9 @@ class Model:
 
 @dataclass
 class Tokens:
-    """Distinct words (bucket, n-gram buckets laid end to end) and the texts as numbers of distinct words."""
+    """Distinct words (hash, bucket, n-gram buckets laid end to end) and the texts as numbers of distinct words."""
 
+    word: np.ndarray
     bucket: np.ndarray
     grams: np.ndarray
     gram_starts: np.ndarray
@@ -76,14 +78,46 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
     order = np.argsort(owners, kind="stable")  # a word has a gram at least: the marks make it three bytes long
     return Tokens(
+        distinct,
         (distinct % np.uint64(BUCKETS)).astype(np.int64),
-        (tb.mix(grams[order]) % np.uint64(BUCKETS)).astype(np.int64),
+        (tb.mix(grams[order]) % np.uint64(BUCKETS)).astype(np.int16),
         np.searchsorted(owners[order], np.arange(n)),
         ids.astype(np.int64),
         w.firsts,
     )
 
 
+def _grams_of(t: Tokens, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of some distinct words, laid end to end, and where each word's begin."""
+    sizes = np.append(t.gram_starts[1:], len(t.grams))[which] - t.gram_starts[which]
+    starts = np.cumsum(sizes) - sizes
+    return t.grams[np.repeat(t.gram_starts[which] - starts, sizes) + np.arange(sizes.sum())], starts
+
+
+def merged(parts: list[Tokens]) -> Tokens:
+    """The tokens of consecutive chunks as those of one."""
+    every = np.concatenate([t.word for t in parts])
+    word, at, number = np.unique(every, return_index=True, return_inverse=True)
+    bases = np.cumsum([0] + [len(t.word) for t in parts])
+    grams, starts, shift = [], np.zeros(len(word), np.int64), 0
+    for t, base in zip(parts, bases):
+        new = np.nonzero((at >= base) & (at < base + len(t.word)))[0]
+        g, s = _grams_of(t, at[new] - base)
+        grams.append(g)
+        starts[new] = s + shift
+        shift += len(g)
+    # words in order of their hash: lay the n-grams out in that order
+    order = np.argsort(starts, kind="stable")
+    sizes = np.empty(len(word), np.int64)
+    sizes[order] = np.diff(np.append(starts[order], shift))
+    begin = np.cumsum(sizes) - sizes
+    laid = np.concatenate(grams)[np.repeat(starts - begin, sizes) + np.arange(sizes.sum())]
+    ids = np.concatenate([number[base : base + len(t.word)][t.ids] for t, base in zip(parts, bases)])
+    ends = np.cumsum([0] + [len(t.ids) for t in parts])
+    firsts = np.concatenate([t.firsts[:-1] + e for t, e in zip(parts, ends)] + [ends[-1:]])
+    return Tokens(word, (word % np.uint64(BUCKETS)).astype(np.int64), laid, begin, ids, firsts)
+
+
 def windows(firsts: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, length, text) of the overlapping windows of each text that has words."""
     sizes = np.diff(firsts)
@@ -210,15 +244,13 @@ def _log_odds(buckets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return (odds * seen / (seen + 5)).astype(F32)
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 8, seed: int = 7, windows_per_text: int = 64) -> Model:
+def train(texts: pa.Array, labels: list[int], epochs: int = 8, seed: int = 7, windows_per_text: int = 64) -> Model:
     y = np.array(labels, np.int64)
     share = float(y.mean()) if len(y) else 0.0
     model = Model(min(share, 0.49))
     if not len(y) or y.min() == y.max():
         return model
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
-    t = tokens(data, offsets)
+    t = merged([tokens(data, offsets) for _, _, data, offsets in tb.chunks(texts)])
     if not len(t.ids):
         return model
     rng = np.random.default_rng(seed)
@@ -228,10 +260,9 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, seed: int = 7,
         "hf": d(HIDDEN, 3 * HIDDEN), "hb": d(HIDDEN, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN, F32), "bb": np.zeros(3 * HIDDEN, F32),
         "att": d(2 * HIDDEN), "out": d(2 * HIDDEN), "bias": np.array(-1.0, F32),
     }
-    ends = np.append(t.gram_starts[1:], len(t.grams))
     per_text = [t.ids[a:b] for a, b in zip(t.firsts, t.firsts[1:])]
     p["word"][:, 0] = _log_odds([t.bucket[i] for i in per_text], y) / 2
-    gram_of = [np.concatenate([t.grams[t.gram_starts[k] : ends[k]] for k in np.unique(i)]) if len(i) else i for i in per_text]
+    gram_of = [_grams_of(t, np.unique(i))[0] for i in per_text]
     p["char"][:, 0] = _log_odds(gram_of, y) / 8
     # start from a reader of those two columns: the candidate state follows them
     for side in "fb":
@@ -256,9 +287,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, seed: int = 7,
             own = chosen[at : at + size]
             # only the distinct words of the batch
             words, back = np.unique(np.concatenate([t.ids[s : s + n] for s, n in zip(start[own], length[own])]), return_inverse=True)
-            grams = np.concatenate([t.grams[t.gram_starts[k] : ends[k]] for k in words])
-            sizes = ends[words] - t.gram_starts[words]
-            part = Tokens(t.bucket[words], grams, np.cumsum(sizes) - sizes, back, t.firsts)
+            part = Tokens(t.word[words], t.bucket[words], *_grams_of(t, words), back, t.firsts)
             first = np.cumsum(length[own]) - length[own]
             g = _gradients(_inputs(part, p), part, first, length[own], y[owner[own]].astype(F32), p, model.window)
             step += 1
@@ -296,7 +325,7 @@ def score_chunk(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarr
     return scores
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = 2000, sample_clean: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = 1500, sample_clean: int = 3000) -> Model:
     """A model from at most sample_toxic + sample_clean labelled rows of docs (doc_id, text)."""
     known = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     present = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -304,10 +333,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = 2000, sample_cle
     sample = some(1, sample_toxic).unionByName(some(0, sample_clean)).select(F.col("doc_id").alias("_t_id"), "toxic")
     rows = (
         docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_t_id"))
-        .groupBy("_t_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
-        .orderBy("_t_id").collect()
+        .groupBy("_t_id").agg(F.min("text").cast("string").alias("text"), F.min("toxic").cast("int").alias("toxic"))
     )
-    return train([(r.text or "").encode() for r in rows], [r.toxic for r in rows])
+    # the sample is bounded, so that one task can hold and learn from it
+    trained = rows.repartition(1).mapInArrow(_train, "model binary").collect()
+    return pickle.loads(trained[0][0]) if trained else Model(0.0)
+
+
+def _train(batches):
+    table = pa.Table.from_batches(list(batches), pa.schema([("_t_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])).sort_by("_t_id")
+    model = train(table["text"], table["toxic"].to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
