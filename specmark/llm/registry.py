@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specmark.llm import decontamination, licenses, mixing, quality, secrets, simhash, substrings, toxicity
+from specmark.llm import decontamination, langid, licenses, mixing, quality, secrets, simhash, substrings, toxicity
 from specmark.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_license_scans, op4_simhash_groups, op5_quality_rules, op7_mix_sources, op8_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_license_scans, op4_simhash_groups, op5_quality_rules, op6_language_id, op7_mix_sources, op8_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
