@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specmark.llm import decontamination, langid, licenses, mixing, quality, secrets, simhash, substrings, toxicity
+from specmark.llm import decontamination, html, langid, licenses, mixing, quality, secrets, simhash, substrings, toxicity
 from specmark.llm.common import table
 
 
@@ -40,12 +40,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_license_scans, op4_simhash_groups, op5_quality_rules, op6_language_id, op7_mix_sources, op8_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_license_scans, op4_simhash_groups, op5_quality_rules, op6_language_id, op7_mix_sources, op8_substring_dedup, op9_html_extraction, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
