@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from specmark.llm import decontamination, html, langid, licenses, mixing, quality, secrets, simhash, substrings, toxicity
@@ -48,8 +49,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_license_scans, op4_simhash_groups, op5_quality_rules, op6_language_id, op7_mix_sources, op8_substring_dedup, op9_html_extraction, op10_toxicity)}
+    ops = (
+        op1_benchmark_decontamination,
+        op2_secret_scans,
+        op3_license_scans,
+        op4_simhash_groups,
+        op5_quality_rules,
+        op6_language_id,
+        op7_mix_sources,
+        op8_substring_dedup,
+        op9_html_extraction,
+        op10_toxicity,
+        pipeline,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
