@@ -1,4 +1,443 @@
-"""Registry of the queries over the driver's tables and of their SQL."""
+"""Queries over the driver's tables, one or more for each operator, and DuckDB SQL for those that SQL can express.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables stand in for annotated corpora: a document is an annotated span, its language the mode and its source the
+category, of which src0 to src10 are valid. All queries read whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from specmark.functions.domains import STOPWORDS
+from specmark.functions.lemma import lemmas
+from specmark.functions.text import is_blank, punctuation, trim_all, words
+from specmark.operators import comparison as C
+from specmark.operators import entropy as E
+from specmark.operators import markers as M
+from specmark.operators import ranking as R
+from specmark.operators import stats as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+CLASSES = tuple(f"src{i}" for i in range(11))
+LANGS = ("de", "en", "es", "fr")
+HIGH, LOW = ("es", "fr"), ("de", "en")
+
+
+def _query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- inputs ---
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as annotations: only the columns that markers need."""
+    return _table(spark, sf_dir, "documents").select(
+        F.lit("documents").alias("corpus"), F.col("doc_id").cast("string").alias("file_id"), F.lit("").alias("unit_id"),
+        F.lit("SitEmo").alias("type"), F.col("text").alias("text_span"), F.col("lang").alias("mode"), F.col("source").alias("categorie1"),
+    )
+
+
+def _markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.markers_of_annotations(_annotations(spark, sf_dir), narrow=True, use_lemma=False)
+
+
+def _entropy(spark: SparkSession, sf_dir: str, condition: str = "categorie1", valid=CLASSES) -> DataFrame:
+    return E.conditional_entropy(_markers(spark, sf_dir), condition, valid)
+
+
+def _of_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = _markers(spark, sf_dir)
+    # the entropies are ranked and compared as rounded values, so that equal distributions tie
+    entropy = E.conditional_entropy(marked, "categorie1", CLASSES).withColumn("entropy", F.round("entropy", 9))
+    return E.entropy_of_modes(marked, entropy, LANGS)
+
+
+def _rounded(df: DataFrame, *columns: str, to: int = 6) -> DataFrame:
+    return df.select(*(F.round(F.col(f"`{c}`"), to).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns))
+
+
+def _onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A one-hot table: two labels as emotions, three languages as modes; text and filter column as the scheme names them."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    flag = lambda c: c.cast("double")
+    return docs.join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("idx"), F.col("doc_id").alias("ID"), F.col("source").alias("NAME"), F.col("text").alias("TEXT"),
+        flag(F.col("quality")).alias("Joie"), flag(F.col("toxic")).alias("Colère"),
+        flag(F.col("lang") == "de").alias("Désignée"), flag(F.col("lang").isin("de", "en")).alias("Montrée"), flag(F.col("lang") == "fr").alias("Suggérée"),
+    )
+
+
+def _marker_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    side = lambda name: C.marker_set(_table(spark, sf_dir, name).select(F.explode(words(F.col("text"))).alias("marker_value")))
+    return side("documents"), side("conversations")
+
+
+# --- SQL ---
+_L = "a-zA-ZÀ-ÖØ-öø-ÿœŒæÆ"
+_SIGNS = "[!?.,;:…\\-—–\"''«»()\\[\\]]"
+
+
+def _words_sql(text: str = "coalesce(text, '')") -> str:
+    # a run that touches a digit or an underscore is no word
+    return f"list_transform(regexp_extract_all(regexp_replace({text}, '[{_L}0-9_]*[0-9_][{_L}0-9_]*', ' ', 'g'), '[{_L}]+(?:[''-][{_L}]+)*'), lambda w: lower(w))"
+
+
+_MARKERS_SQL = f"""
+m AS (
+  SELECT doc_id, lang, source, 'word' AS marker_type, unnest({_words_sql()}) AS marker_value FROM documents WHERE lang IS NOT NULL
+  UNION ALL
+  SELECT doc_id, lang, source, 'punctuation', unnest(regexp_extract_all(coalesce(text, ''), '{_SIGNS}')) FROM documents WHERE lang IS NOT NULL)"""
+
+
+def _counts_sql(column: str, valid: tuple[str, ...], least: int = 3) -> str:
+    per = ", ".join(f"count(*) FILTER (WHERE {column} = '{c}') AS \"{c}\"" for c in valid)
+    listed = ", ".join(f"'{c}'" for c in valid)
+    return f"""
+n AS (SELECT marker_value, marker_type, {per}, count(*) AS total_count FROM m WHERE {column} IN ({listed}) GROUP BY ALL HAVING count(*) >= {least})"""
+
+
+def _entropy_sql(column: str, valid: tuple[str, ...]) -> str:
+    terms = " + ".join(f'CASE WHEN "{c}" > 0 THEN ("{c}" / total_count) * log2("{c}" / total_count) ELSE 0 END' for c in valid)
+    return f"{_counts_sql(column, valid)},\ne AS (SELECT *, 0.0 - ({terms}) AS entropy FROM n)"
+
+
+def _p_sql(valid: tuple[str, ...]) -> str:
+    return ", ".join(f'round("{c}" / total_count, 6) AS "P({c})"' for c in valid)
+
+
+_OF_MODES_SQL = f"""{_MARKERS_SQL},{_entropy_sql("source", CLASSES)},
+o AS (SELECT d.lang AS mode, round(e.entropy, 9) AS entropy FROM (SELECT DISTINCT lang, marker_value, marker_type FROM m) d JOIN e USING (marker_value, marker_type) WHERE d.lang IN ('de', 'en', 'es', 'fr'))"""
+
+
+# --- tokens (T1, T2, T3, F6, F11) ---
+@_query(f"SELECT w AS marker, count(*) AS n FROM (SELECT unnest({_words_sql()}) AS w FROM documents) GROUP BY w")
+def words_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _table(spark, sf_dir, "documents").select(F.explode(words(F.col("text"))).alias("marker"))
+    return tokens.groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"SELECT p AS marker, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '{_SIGNS}')) AS p FROM documents) GROUP BY p")
+def punct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _table(spark, sf_dir, "documents").select(F.explode(punctuation(F.col("text"))).alias("marker"))
+    return tokens.groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ELLIPSES = {"Oui !... Non": "… !", "a….…b": "… .", "x....": "… .", "......": "… …", "L'été peut-être": "' -", "l’armée": ""}
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in i)) for i in _ELLIPSES.items()) + ") v(text, signs)")
+def punct_ellipsis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(t,) for t in _ELLIPSES], "text string")
+    return rows.select("text", F.array_join(punctuation(F.col("text")), " ").alias("signs"))
+
+
+@_query(
+    f"SELECT w AS marker, count(*) AS n FROM (SELECT unnest({_words_sql()}) AS w FROM documents) WHERE w NOT IN ("
+    + ", ".join(f"'{w}'" for w in STOPWORDS)
+    + ") GROUP BY w"
+)
+def stopword_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = M.explode_markers(_table(spark, sf_dir, "documents").select("text"), "text", use_lemma=False, remove_stopwords=True)
+    return marked.filter("marker_type = 'word'").groupBy(F.col("marker_value").alias("marker")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT w AS marker, count(*) AS n FROM (SELECT unnest(list_transform(regexp_extract_all(coalesce(text, ''), '\\p{L}+'), lambda w: lower(w))) AS w FROM documents) GROUP BY w")
+def lemma_identity_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The UDF path with the stand-in backend; no lemmatisation model is needed."""
+    found = _table(spark, sf_dir, "documents").select(F.explode(lemmas(F.col("text"), "identity")).alias("marker"))
+    return found.groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BLANKS = {"a": ("  a\t", "a"), "b": (" b c ", "b c"), "c": ("  \n", ""), "d": ("﻿d", "﻿d")}
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}', {str(t == '').lower()})" for k, (_, t) in _BLANKS.items()) + ") v(id, trimmed, blank)")
+def trim_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, x) for k, (x, _) in _BLANKS.items()], "id string, x string")
+    return rows.select("id", trim_all(F.col("x")).alias("trimmed"), is_blank(F.col("x")).alias("blank"))
+
+
+@_query(
+    "SELECT doc_id, CASE WHEN s <= e AND e <= length(t) THEN replace(replace(substring(t, s + 1, e - s), chr(10), ' '), chr(13), ' ') ELSE '' END AS text_span"
+    " FROM (SELECT doc_id, coalesce(text, '') AS t, CAST(doc_id % 40 AS INT) AS s, CAST(doc_id % 97 AS INT) AS e FROM documents)"
+)
+def annotation_span_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a span by code-point offsets, empty where they do not fit."""
+    rows = _table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("t"), (F.col("doc_id") % 40).cast("int").alias("s"), (F.col("doc_id") % 97).cast("int").alias("e")
+    )
+    s, e = F.col("s"), F.col("e")
+    span = F.when((s <= e) & (e <= F.length("t")), F.substring(F.col("t"), s + 1, e - s)).otherwise("")
+    return rows.select("doc_id", F.translate(span, "\n\r", "  ").alias("text_span"))
+
+
+# --- entropy (F12-F14, A1-A12, J1, O1, O2) ---
+@_query(f"WITH {_MARKERS_SQL},{_counts_sql('source', CLASSES, 1)} SELECT * FROM n")
+def marker_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.class_counts(_markers(spark, sf_dir), "categorie1", CLASSES)
+
+
+def _conditional_sql(column: str, valid: tuple[str, ...]) -> str:
+    return f"""WITH {_MARKERS_SQL},{_entropy_sql(column, valid)}
+SELECT * EXCLUDE (entropy), {_p_sql(valid)}, round(entropy, 6) AS entropy, round(entropy / log2({len(valid)}), 6) AS normalized_entropy FROM e"""
+
+
+def _rounded_entropy(df: DataFrame, valid: tuple[str, ...]) -> DataFrame:
+    return _rounded(df, *(f"P({c})" for c in valid), "entropy", "normalized_entropy")
+
+
+@_query(_conditional_sql("source", CLASSES))
+def cond_entropy_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_entropy(_entropy(spark, sf_dir), CLASSES)
+
+
+@_query(_conditional_sql("lang", LANGS))
+def cond_entropy_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_entropy(_entropy(spark, sf_dir, "mode", LANGS), LANGS)
+
+
+@_query(
+    f"WITH {_MARKERS_SQL.replace('m AS', 'a AS', 1)}, m AS (SELECT * FROM a WHERE marker_type = 'word'),{_entropy_sql('source', CLASSES)}"
+    " SELECT count(*) AS n_markers, round(avg(entropy), 6) AS mean_entropy FROM e"
+)
+def mean_entropy_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One marker type alone."""
+    marked = _markers(spark, sf_dir).filter("marker_type = 'word'")
+    return _rounded(E.mean_entropy(E.conditional_entropy(marked, "categorie1", CLASSES)), "mean_entropy")
+
+
+def _summary_sql(spread: str) -> str:
+    return f"""WITH {_OF_MODES_SQL}
+SELECT l.mode, count(o.mode) AS n_markers, round(avg(entropy), 6) AS mean_entropy, round(median(entropy), 6) AS median_entropy, round({spread}(entropy), 6) AS std_entropy
+FROM (VALUES ('de'), ('en'), ('es'), ('fr')) l(mode) LEFT JOIN o ON l.mode = o.mode GROUP BY l.mode"""
+
+
+@_query(_summary_sql("stddev_samp"))
+def entropy_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(E.summarise_modes(_of_modes(spark, sf_dir), LANGS), "mean_entropy", "median_entropy", "std_entropy")
+
+
+@_query(_summary_sql("stddev_pop"))
+def entropy_report_pop_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(E.summarise_modes(_of_modes(spark, sf_dir), LANGS, population=True), "mean_entropy", "median_entropy", "std_entropy")
+
+
+def _extreme_sql(order: str) -> str:
+    return f"""WITH {_MARKERS_SQL},{_entropy_sql("source", CLASSES)}
+SELECT marker_value, marker_type, total_count, round(entropy, 6) AS entropy FROM e ORDER BY round(e.entropy, 6) {order}, marker_value, marker_type LIMIT 10"""
+
+
+def _extreme(spark: SparkSession, sf_dir: str, highest: bool) -> DataFrame:
+    rows = _rounded(_entropy(spark, sf_dir), "entropy").select("marker_value", "marker_type", "total_count", "entropy")
+    return E.extreme(rows, 10, highest)
+
+
+@_query(_extreme_sql("ASC"))
+def bottom10_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extreme(spark, sf_dir, False)
+
+
+@_query(_extreme_sql("DESC"))
+def top10_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extreme(spark, sf_dir, True)
+
+
+@_query("SELECT lang, count(*) AS count FROM documents GROUP BY lang")
+def value_counts_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.value_counts(_table(spark, sf_dir, "documents"), "lang")
+
+
+# --- ranking (O3, F15, F18) ---
+_LONG_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"Classe\", marker_value, marker_type, round(\"{c}\" / total_count, 6) AS p, total_count, round(entropy, 6) AS entropy FROM e WHERE \"{c}\" > 0" for c in CLASSES
+)
+
+
+@_query(
+    f"""WITH {_MARKERS_SQL},{_entropy_sql("source", CLASSES)}, l AS ({_LONG_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY "Classe" ORDER BY p DESC, total_count DESC, entropy, marker_value, marker_type) AS k FROM l)
+SELECT "Classe", marker_value AS "Marqueur", marker_type AS "Type", p AS "P(Classe)", total_count AS "Freq_Globale", entropy AS "Entropie" FROM r WHERE k <= 20"""
+)
+def top_markers_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_markers(_rounded_entropy(_entropy(spark, sf_dir), CLASSES), 20)
+
+
+# --- sets (U1-U4, F17, A15, O4, A13, F19) ---
+_SETS_SQL = ", ".join(
+    f"{side} AS (SELECT DISTINCT w AS marker FROM (SELECT unnest({_words_sql()}) AS w FROM {name}) WHERE length(w) > 2)"
+    for side, name in (("a", "documents"), ("b", "conversations"))
+)
+
+
+@_query(f"WITH {_SETS_SQL} SELECT marker FROM a INTERSECT SELECT marker FROM b")
+def marker_sets_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.compare(*_marker_sets(spark, sf_dir))["intersect"]
+
+
+@_query(f"WITH {_SETS_SQL} SELECT marker FROM a EXCEPT SELECT marker FROM b")
+def marker_sets_except_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.compare(*_marker_sets(spark, sf_dir))["except_left"]
+
+
+@_query(f"WITH {_SETS_SQL} SELECT marker FROM b EXCEPT SELECT marker FROM a")
+def marker_sets_except_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.compare(*_marker_sets(spark, sf_dir))["except_right"]
+
+
+@_query(f"WITH {_SETS_SQL} SELECT marker FROM a UNION SELECT marker FROM b")
+def marker_sets_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.compare(*_marker_sets(spark, sf_dir))["union"]
+
+
+@_query(
+    f"""WITH {_SETS_SQL}, i AS (SELECT marker FROM a INTERSECT SELECT marker FROM b)
+SELECT (SELECT count(*) FROM a) AS n_left, (SELECT count(*) FROM b) AS n_right, (SELECT count(*) FROM i) AS n_both,
+  (SELECT count(*) FROM a) - (SELECT count(*) FROM i) AS n_left_only, (SELECT count(*) FROM b) - (SELECT count(*) FROM i) AS n_right_only,
+  (SELECT count(*) FROM a) + (SELECT count(*) FROM b) - (SELECT count(*) FROM i) AS n_all"""
+)
+def marker_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.set_sizes(*_marker_sets(spark, sf_dir))
+
+
+@_query(f"WITH {_SETS_SQL} SELECT marker FROM (SELECT marker FROM a INTERSECT SELECT marker FROM b) ORDER BY marker LIMIT 30")
+def marker_sets_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.sample_markers(C.compare(*_marker_sets(spark, sf_dir))["intersect"])
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dashboard items of both corpora: documents by language as what an annotator wrote, conversations by role."""
+    docs = _table(spark, sf_dir, "documents").select(
+        F.lit(" Designee ").alias("mode"), F.col("lang").alias("categorie1"), F.when(F.col("lang") == "de", "joie").alias("categorie2"), F.explode(words(F.col("text"))).alias("marker_value")
+    )
+    talk = _table(spark, sf_dir, "conversations").select(
+        F.lit(1.0).alias("Désignée"), (F.col("role") == "user").cast("double").alias("Peur"), (F.col("role") != "assistant").cast("double").alias("Joie"), F.explode(words(F.col("text"))).alias("marker_value")
+    )
+    return C.dashboard_sets(C.items_of_annotations(docs), C.items_of_table(talk))
+
+
+_ITEMS_SQL = f"""
+i AS (
+  SELECT w AS marker, 'Glozz' AS corpus, unnest(CASE WHEN lang = 'de' THEN ['Autre', 'Joie'] ELSE ['Autre'] END) AS emotion FROM (SELECT lang, unnest({_words_sql()}) AS w FROM documents)
+  UNION SELECT w, 'XLSX', unnest(CASE role WHEN 'user' THEN ['Peur', 'Joie'] WHEN 'assistant' THEN ['Autre'] ELSE ['Joie'] END) FROM (SELECT role, unnest({_words_sql()}) AS w FROM conversations)),
+s AS (SELECT marker, array_to_string(list_sort(list_distinct(list(corpus))), '|') AS corpora, array_to_string(list_sort(list_distinct(list(emotion))), '|') AS emotions
+  FROM i WHERE length(marker) > 2 AND marker <> 'nan' GROUP BY marker)"""
+
+
+def _joined_sets(df: DataFrame) -> DataFrame:
+    return df.select("marker", F.array_join("corpora", "|").alias("corpora"), F.array_join("emotions", "|").alias("emotions"))
+
+
+@_query(f"WITH {_ITEMS_SQL} SELECT * FROM s")
+def dashboard_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_sets(_items(spark, sf_dir))
+
+
+@_query(f"WITH {_ITEMS_SQL} SELECT * FROM s WHERE corpora = 'Glozz|XLSX' AND emotions LIKE '%Peur%'")
+def dashboard_filter_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_sets(C.dashboard_filter(_items(spark, sf_dir), "both", "Peur"))
+
+
+@_query(f"WITH {_ITEMS_SQL} SELECT * FROM s WHERE corpora = 'XLSX'")
+def dashboard_filter_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_sets(C.dashboard_filter(_items(spark, sf_dir), "only:XLSX"))
+
+
+_LABELS = ("Colere", " dégoût", "AUCUN", "", "ennui", "Fierté", None)
+
+
+@_query("SELECT * FROM (VALUES ('Colere', 'Colère'), (' dégoût', 'Dégoût'), ('AUCUN', NULL), ('', NULL), ('ennui', 'Ennui'), ('Fierté', 'Fierté'), (NULL, NULL)) v(written, label)")
+def dashboard_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in _LABELS], "written string").select("written", C.dashboard_label(F.col("written")).alias("label"))
+
+
+# --- one-hot tables (R1-R4, F7) ---
+_ONEHOT_SQL = """
+h AS (SELECT d.doc_id, coalesce(quality = 1, false) AS joie, coalesce(toxic = 1, false) AS colere, lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+c AS (SELECT doc_id, lang, unnest(CASE WHEN colere AND joie THEN ['Colere', 'Joie'] WHEN colere THEN ['Colere'] WHEN joie THEN ['Joie'] ELSE ['Autre'] END) AS categorie1 FROM h),
+x AS (SELECT doc_id, categorie1, unnest(CASE lang WHEN 'de' THEN ['Designee', 'Montree'] WHEN 'en' THEN ['Montree'] WHEN 'fr' THEN ['Suggeree'] ELSE [NULL] END) AS mode FROM c)"""
+
+
+@_query(f"WITH {_ONEHOT_SQL} SELECT categorie1, mode, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM x GROUP BY categorie1, mode")
+def onehot_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = M.onehot_to_classes(_onehot(spark, sf_dir).drop("TEXT"))
+    return rows.groupBy("categorie1", "mode").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("idx").alias("n_docs"))
+
+
+@_query(
+    f"""WITH h AS (SELECT d.doc_id, text, quality, toxic, lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(quality, 0) + coalesce(toxic, 0) > 0)
+SELECT w AS marker, count(*) AS n FROM (SELECT unnest({_words_sql()}) AS w FROM h) GROUP BY w"""
+)
+def onehot_active_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the filter column, rows with any one-hot are active."""
+    marked = M.markers_of_table(_onehot(spark, sf_dir), use_lemma=False)
+    return marked.filter("marker_type = 'word'").groupBy(F.col("marker_value").alias("marker")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- tests (H1-H6, A14) ---
+def _u_sql(source: str, keys: str = "") -> str:
+    by, part = (f"{keys}, ", f"PARTITION BY {keys} ") if keys else ("", "")
+    group = f"GROUP BY {keys}" if keys else ""
+    return f"""
+g AS (SELECT {by}entropy, sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS c1, count(*) AS c FROM {source} GROUP BY {by}entropy),
+k AS (SELECT *, sum(c) OVER ({part}ORDER BY entropy ROWS UNBOUNDED PRECEDING) - (c - 1) / 2 AS rank FROM g),
+u AS (SELECT {by}CAST(sum(c1) AS BIGINT) AS n1, CAST(sum(c) - sum(c1) AS BIGINT) AS n2, CAST(sum(c1 * rank) - sum(c1) * (sum(c1) + 1) / 2 AS DOUBLE) AS u,
+  CAST(sum(CAST(c AS DOUBLE) * c * c - c) AS DOUBLE) AS ties FROM k {group})"""
+
+
+@_query(
+    f"""WITH {_OF_MODES_SQL}, v AS (SELECT CASE WHEN mode IN ('es', 'fr') THEN 1 ELSE 2 END AS side, entropy FROM o), {_u_sql("v")},
+a AS (SELECT avg(entropy) FILTER (WHERE side = 1) AS h, avg(entropy) FILTER (WHERE side = 2) AS l FROM v)
+SELECT n1, n2, u, ties, round(1 - 2 * u / (CAST(n1 AS DOUBLE) * n2), 6) AS r, round(h, 6) AS mean_high, round(l, 6) AS mean_low, round(h - l, 6) AS difference FROM u, a WHERE n1 > 0 AND n2 > 0"""
+)
+def mann_whitney_u(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(S.mann_whitney(_of_modes(spark, sf_dir), HIGH, LOW).drop("p", "verdict"), "r", "mean_high", "mean_low", "difference")
+
+
+@_query(
+    f"""WITH {_OF_MODES_SQL}, q AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for i, a in enumerate(LANGS) for b in LANGS[i + 1:])}) t(mode1, mode2)),
+v AS (SELECT mode1, mode2, CASE WHEN mode = mode1 THEN 1 ELSE 2 END AS side, entropy FROM o JOIN q ON mode = mode1 OR mode = mode2), {_u_sql("v", "mode1, mode2")}
+SELECT mode1, mode2, n1, n2, u FROM u WHERE n1 > 0 AND n2 > 0"""
+)
+def mann_whitney_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.mann_whitney_pairs(_of_modes(spark, sf_dir), LANGS).drop("p", "stars")
+
+
+_KW = [f"CAST(sum(CASE WHEN mode = '{m}' THEN 1 ELSE 0 END) AS DOUBLE) AS c{i}" for i, m in enumerate(LANGS)]
+
+
+@_query(
+    f"""WITH {_OF_MODES_SQL}, g AS (SELECT entropy, {", ".join(_KW)}, CAST(count(*) AS DOUBLE) AS c FROM o GROUP BY entropy),
+k AS (SELECT *, sum(c) OVER (ORDER BY entropy ROWS UNBOUNDED PRECEDING) - (c - 1) / 2 AS rank FROM g),
+t AS (SELECT sum(c) AS n, sum(c * c * c - c) AS ties, {" + ".join(f"coalesce(sum(c{i} * rank) * sum(c{i} * rank) / nullif(sum(c{i}), 0), 0)" for i in range(4))} AS terms,
+  {" + ".join(f"CAST(sum(c{i}) > 0 AS INT)" for i in range(4))} AS groups FROM k)
+SELECT CAST(n AS BIGINT) AS n, groups, round((12 / (n * (n + 1)) * terms - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 4) AS h FROM t"""
+)
+def kruskal_h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(S.kruskal_wallis(_of_modes(spark, sf_dir), LANGS).drop("p"), "h", to=4)
+
+
+@_query()
+def rank_test_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The p-values of all tests: the normal and chi-square tails are not in SQL."""
+    of_modes = _of_modes(spark, sf_dir)
+    parts = [
+        S.kruskal_wallis(of_modes, LANGS).select(F.lit("kruskal-wallis").alias("test"), "p"),
+        S.mann_whitney(of_modes, HIGH, LOW).select(F.lit("mann-whitney greater").alias("test"), "p"),
+        S.mann_whitney_pairs(of_modes, LANGS).select(F.concat_ws(" vs ", "mode1", "mode2").alias("test"), "p"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
