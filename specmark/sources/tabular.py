@@ -24,7 +24,6 @@ from specmark.functions.domains import ACTIVE_COLUMN, EMOTION_COLUMNS, META_COLU
 NUMERIC = (*EMOTION_COLUMNS, *MODE_COLUMNS, *META_COLUMNS, ACTIVE_COLUMN)
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _CELL = T.StructType([T.StructField("number", T.DoubleType()), T.StructField("text", T.StringType())])
-_NEVER = "\u0000never"
 
 
 def _column_number(reference: str) -> int:
@@ -102,8 +101,9 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
 
 def read_table_csv(spark: SparkSession, path: str) -> DataFrame:
     """UTF-8 with or without a BOM; empty fields stay empty strings, one-hot columns become numbers."""
-    raw = spark.read.csv(path, header=True, escape='"', multiLine=True, emptyValue="", nullValue=_NEVER, encoding="UTF-8")
-    return raw.select(*((F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) if c in NUMERIC else F.col(f"`{c}`")) for c in raw.columns))
+    raw = spark.read.csv(path, header=True, escape='"', multiLine=True, encoding="UTF-8")
+    # the reader makes empty fields null; only they become null, so each null was empty
+    return raw.select(*((F.expr(f"try_cast(`{c}` AS DOUBLE)") if c in NUMERIC else F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in raw.columns))
 
 
 def read_input(spark: SparkSession, path: str) -> DataFrame:
