@@ -75,16 +75,21 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     ).withColumn("_t_extra", F.round(F.col("_t_target")).cast("long") - F.col("_t_copies") * F.col("_t_size"))
 
 
+def _let(f, **values: Column) -> Column:
+    """f of a struct of values, each of which is computed once however often f names it."""
+    bound = F.struct(*(v.alias(k) for k, v in values.items()))
+    return F.transform(F.array(bound), f)[0]
+
+
 def _lgamma(x: Column) -> Column:
     """Log gamma for x >= 1: Stirling's series, moved up by eight steps of the recurrence."""
-    y = x + 8.0
-    shift = F.ln(x * (x + 1.0) * (x + 2.0) * (x + 3.0)) + F.ln((x + 4.0) * (x + 5.0) * (x + 6.0) * (x + 7.0))
-    series = 1.0 / (12.0 * y) - 1.0 / (360.0 * y * y * y) + 1.0 / (1260.0 * F.pow(y, F.lit(5.0)))
-    return (y - 0.5) * F.ln(y) - y + 0.9189385332046728 + series - shift
 
+    def series(v: Column) -> Column:
+        x, y = v["x"], v["y"]
+        shift = F.ln(x * (x + 1.0) * (x + 2.0) * (x + 3.0)) + F.ln((x + 4.0) * (x + 5.0) * (x + 6.0) * (x + 7.0))
+        return (y - 0.5) * F.ln(y) - y + 0.9189385332046728 + 1.0 / (12.0 * y) - 1.0 / (360.0 * y * y * y) + 1.0 / (1260.0 * F.pow(y, F.lit(5.0))) - shift
 
-def _ln_choose(n: Column, k: Column) -> Column:
-    return _lgamma(n + 1.0) - _lgamma(k + 1.0) - _lgamma(n - k + 1.0)
+    return _let(lambda v: _let(series, x=v["x"], y=v["x"] + 8.0), x=x)
 
 
 def hypergeometric(total: Column, marked: Column, drawn: Column, uniform: Column) -> Column:
@@ -93,31 +98,37 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, uniform: Column
     The support within twelve standard deviations of the mean is walked once, with probabilities by the ratio of
     neighbours; it holds all but a part below 1e-30.
     """
-    n, k, m = total.cast("double"), marked.cast("double"), drawn.cast("double")
-    mean = m * k / F.greatest(n, F.lit(1.0))
-    spread = F.sqrt(F.greatest(mean * (1.0 - k / F.greatest(n, F.lit(1.0))) * (n - m) / F.greatest(n - 1.0, F.lit(1.0)), F.lit(0.0)))
-    low = F.greatest(F.lit(0.0), m + k - n, F.floor(mean - 12.0 * spread - 12.0))
-    high = F.least(k, m, F.ceil(mean + 12.0 * spread + 12.0))
-
-    def step(acc: Column, x: Column) -> Column:
-        p = acc["p"]
-        cdf = acc["cdf"] + F.exp(p)
-        xd = x.cast("double")
-        ratio = (k - xd) * (m - xd) / ((xd + 1.0) * F.greatest(n - k - m + xd + 1.0, F.lit(1.0)))
-        return F.struct(
-            F.when(ratio > 0, p + F.ln(ratio)).otherwise(F.lit(-1e9)).alias("p"),
-            cdf.alias("cdf"),
-            F.when(acc["cdf"] < uniform, x).otherwise(acc["at"]).alias("at"),
-        )
 
-    first = _ln_choose(k, low) + _ln_choose(n - k, m - low) - _ln_choose(n, m)
-    walked = F.aggregate(
-        F.sequence(low.cast("long"), high.cast("long")),
-        F.struct(first.alias("p"), F.lit(0.0).alias("cdf"), low.cast("long").alias("at")),
-        step,
-        lambda acc: acc["at"],
-    )
-    return F.when((m <= 0) | (k <= 0), F.lit(0).cast("long")).when(m >= n, marked.cast("long")).otherwise(walked)
+    def moments(v: Column) -> Column:
+        share = v["k"] / F.greatest(v["n"], F.lit(1.0))
+        variance = v["m"] * share * (1.0 - share) * (v["n"] - v["m"]) / F.greatest(v["n"] - 1.0, F.lit(1.0))
+        return _let(bounds, n=v["n"], k=v["k"], m=v["m"], u=v["u"], mean=v["m"] * share, wide=12.0 * F.sqrt(F.greatest(variance, F.lit(0.0))) + 12.0)
+
+    def bounds(v: Column) -> Column:
+        low = F.greatest(F.lit(0.0), v["m"] + v["k"] - v["n"], F.floor(v["mean"] - v["wide"]).cast("double"))
+        return _let(walk, n=v["n"], k=v["k"], m=v["m"], u=v["u"], low=low, high=F.least(v["k"], v["m"], F.ceil(v["mean"] + v["wide"]).cast("double")))
+
+    def walk(v: Column) -> Column:
+        n, k, m, low = v["n"], v["k"], v["m"], v["low"]
+        # log of the first probability: nine log factorials, by their signs
+        plus = F.array(k, n - k, m, n - m)
+        minus = F.array(low, k - low, m - low, n - k - m + low, n)
+        total_of = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + _lgamma(x + 1.0))
+
+        def step(acc: Column, x: Column) -> Column:
+            ratio = (k - x) * (m - x) / ((x + 1.0) * F.greatest(n - k - m + x + 1.0, F.lit(1.0)))
+            return F.struct(
+                F.when(ratio > 0, acc["p"] + F.ln(ratio)).otherwise(F.lit(-1e9)).alias("p"),
+                (acc["cdf"] + F.exp(acc["p"])).alias("cdf"),
+                F.when(acc["cdf"] < v["u"], x).otherwise(acc["at"]).alias("at"),
+            )
+
+        places = F.transform(F.sequence(low.cast("long"), v["high"].cast("long")), lambda x: x.cast("double"))
+        start = F.struct((total_of(plus) - total_of(minus)).alias("p"), F.lit(0.0).alias("cdf"), low.alias("at"))
+        return F.aggregate(places, start, step, lambda acc: acc["at"].cast("long"))
+
+    inner = _let(moments, n=total.cast("double"), k=marked.cast("double"), m=drawn.cast("double"), u=uniform)
+    return F.when((drawn <= 0) | (marked <= 0), F.lit(0).cast("long")).when(drawn >= total, marked.cast("long")).otherwise(inner)
 
 
 def _uniform(*parts) -> Column:
