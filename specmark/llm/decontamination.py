@@ -3,10 +3,10 @@
 The benchmark is a stated query set. It is taken in blocks of bounded size (``block_bytes`` of text, by a hash of the
 item), which alone are sent to the executors; each block meets all documents in two narrow passes without a shuffle:
 
-1. The document frequency of every benchmark n-gram is counted over all documents.
+1. The document frequency of every benchmark n-gram is counted over all documents, but for documents that share several
+   n-grams with its item: what a leak repeats says nothing of how common the n-gram is by itself.
 2. An item's seeds are its n-grams of a frequency of at most ``rare_share`` of the documents, and its ``least_seeds``
-   rarest in any case, so that an item that leaked everywhere keeps seeds. Seeds found in a document propose
-   alignments by their diagonal; each proposed passage is aligned with the item by Smith-Waterman (match 2, mismatch
+   rarest in any case. Seeds found in a document propose alignments by their diagonal; each proposed passage is aligned with the item by Smith-Waterman (match 2, mismatch
    and gap -1) unless the words they share cannot reach the threshold. The score is divided by that of the item
    with itself: an exact copy has 1, and edited or paraphrased copies lose by what was changed.
 
@@ -29,6 +29,7 @@ from specmark.llm.common import materialize
 
 GRAM = 4
 LEAST_SCORE = 0.6
+SEVERAL = 4
 BLOCK_BYTES = 16 << 20
 
 
@@ -91,6 +92,16 @@ def _hits(w: tb.Words, h: np.ndarray, items: Items):
     return np.concatenate(places), np.concatenate(grams)
 
 
+def _pairs(w: tb.Words, h: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, entry of the block, place) of each meeting of an n-gram with an item that has it."""
+    place, gram = _hits(w, h, items)
+    first = np.searchsorted(items.gram, gram, side="left")
+    counts = np.searchsorted(items.gram, gram, side="right") - first
+    entry = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    place = np.repeat(place, counts)
+    return np.searchsorted(w.firsts, place, side="right") - 1, entry, place
+
+
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """The best local score (match 2, mismatch and gap -1) and the word of the passage after its end."""
     slope = np.arange(1, len(passage) + 1)
@@ -127,14 +138,17 @@ def align(words: np.ndarray, item: np.ndarray, starts: np.ndarray, least: float)
 def _frequencies(shared):
     def run(batches):
         items = shared.value
+        grams = np.bincount(items.item, minlength=len(items.ids))
         for batch in batches:
-            for _, _, data, offsets in tb.chunks(batch.column(1)):
+            for _, n, data, offsets in tb.chunks(batch.column(1)):
                 w = tb.words(data, offsets, tb.FOLD)
-                place, gram = _hits(w, w.hashes(), items)
-                text = np.searchsorted(w.firsts, place, side="right") - 1
-                once = np.unique(np.column_stack([gram.view(np.int64), text]), axis=0)[:, 0] if len(place) else np.zeros(0, np.int64)
-                grams, counts = np.unique(once, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], names=["gram", "n"])
+                text, entry, _ = _pairs(w, w.hashes(), items)
+                once = np.unique(entry * n + text)
+                entry, text = once // n, once % n
+                pair, of, held = np.unique(text * len(items.ids) + items.item[entry], return_inverse=True, return_counts=True)
+                alone = held[of] < np.minimum(SEVERAL, grams[items.item[entry]])
+                entries, counts = np.unique(entry[alone], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(entries.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["entry", "n"])
 
     return run
 
@@ -148,12 +162,8 @@ def _alignments(shared, least: float):
             for at, _, data, offsets in tb.chunks(batch.column(1)):
                 w = tb.words(data, offsets, tb.FOLD)
                 h = w.hashes()
-                place, gram = _hits(w, h, items)
-                first = np.searchsorted(items.gram, gram, side="left")
-                counts = np.searchsorted(items.gram, gram, side="right") - first
-                entry = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-                place = np.repeat(place, counts)
-                text, item = np.searchsorted(w.firsts, place, side="right") - 1, items.item[entry]
+                text, entry, place = _pairs(w, h, items)
+                item = items.item[entry]
                 start = place - w.firsts[text] - items.place[entry]
                 order = np.lexsort((item, text))
                 text, item, start = text[order], item[order], start[order]
@@ -185,17 +195,14 @@ def find_leaks(
         items = build_items([tuple(r) for r in part.orderBy("item_id", "text").collect()])
         if not items.ids:
             continue
-        counted = rows.mapInArrow(_frequencies(spark.sparkContext.broadcast(items)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        counted = rows.mapInArrow(_frequencies(spark.sparkContext.broadcast(items)), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n"))
         table = counted.toArrow()  # at most the n-grams of the block
-        grams = table["gram"].to_numpy().view(np.uint64)
-        order = np.argsort(grams)
-        at = np.searchsorted(grams[order], items.gram)
-        known = np.append(grams[order], np.uint64(0))[at] == items.gram
-        df = np.where(known, np.append(table["n"].to_numpy()[order], 0)[at], 0)
+        df = np.zeros(len(items.gram), np.int64)
+        df[table["entry"].to_numpy()] = table["n"].to_numpy()
         by = np.lexsort((df, items.item))
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by)) - np.searchsorted(items.item[by], items.item[by])
-        seeds = items.only((df > 0) & ((df <= rare_share * n_docs) | (rank < least_seeds)))
+        seeds = items.only((df <= rare_share * n_docs) | (rank < least_seeds))
         if len(seeds.gram):
             one = rows.mapInArrow(_alignments(spark.sparkContext.broadcast(seeds), least), "doc_id long, item_id long, score double, start_word long, end_word long")
             found = one if found is None else found.unionByName(one)
