@@ -26,6 +26,15 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def packed(df: DataFrame, *columns: Column) -> DataFrame:
+    """The rows of df as one column ``_row``, beside columns: what is added then cannot clash with a column of df."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *columns)
+
+
+def unpacked(df: DataFrame, columns: list[str], **instead: Column) -> DataFrame:
+    return df.select(*(instead.get(c, F.col("_row")[c]).alias(c) for c in columns))
+
+
 def computed_once(df: DataFrame, carry: list, columns: list[Column]) -> DataFrame:
     """Select carry and columns so that a later filter on the columns is not rewritten into their expressions.
 

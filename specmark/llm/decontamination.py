@@ -212,4 +212,4 @@ def find_leaks(
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a copy of a benchmark item."""
     leaked = materialize(find_leaks(docs, benchmark), "leaks").select(F.col("doc_id").alias("_d_id")).distinct()
-    return docs.join(leaked, F.col("doc_id").cast("long") == F.col("_d_id"), "left_anti")
+    return docs.join(leaked, docs["doc_id"].cast("long") == leaked["_d_id"], "left_anti")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specmark.llm.common import SPACE, computed_once, materialize, text_of, words_of
+from specmark.llm.common import SPACE, computed_once, materialize, packed, text_of, unpacked, words_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -185,5 +185,6 @@ def filter_quality(docs: DataFrame, min_group: int = 200) -> DataFrame:
     thresholds = materialize(
         adaptive_thresholds(sketch_groups(quality_signals(docs.select("lang", "source", "text"), ["lang", "source"])), min_group), "quality-fences"
     )
-    carried = quality_signals(docs, docs.columns)
-    return judge(carried, thresholds).filter("_q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = packed(docs, F.col("lang").alias("lang"), F.col("source").alias("source"), F.col("text").alias("text"))
+    carried = quality_signals(rows, ["_row", "lang", "source"])
+    return unpacked(judge(carried, thresholds).filter("_q_kept"), docs.columns)

@@ -20,7 +20,7 @@ from re import _parser as P
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specmark.llm.common import computed_once, text_of
+from specmark.llm.common import computed_once, packed, text_of, unpacked
 
 
 @dataclass(frozen=True)
@@ -103,6 +103,8 @@ def _parts(tree) -> list:
             inner = _merge(_parts(body))
             if (low, high) == (0, 1) and len(inner) == 1 and inner[0][0] == "strings":
                 out.append(("strings", inner[0][1] | {""}))
+            elif low and len(inner) == 1 and inner[0][0] == "strings":
+                out += [inner[0]] * min(low, 3) + [("query", _ALL)]  # it begins like this and goes on somehow
             else:
                 out.append(("query", _query(_parts(body)) if low else _ALL))
         else:
@@ -255,23 +257,23 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     spans = _spans_table(docs.select("doc_id", "text").filter(may), rules).filter(F.size("_s_spans") > 0).dropDuplicates(["_s_id", "_s_key"])
     names = F.array(*(F.lit(r.kind) for r in rules))
 
+    source = F.col("_r_text")
+
     def step(acc: Column, s: Column) -> Column:
-        cut = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], cut).otherwise(acc["out"]).alias("out")
-        )
+        kept = F.substring(source, acc["at"] + 1, s["start"] - acc["at"])
+        cut = F.concat(acc["out"], kept, F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], cut).otherwise(acc["out"]).alias("out"))
 
     cleaned = F.aggregate(
         "_s_spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         step,
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length(F.col("text")))),
+        lambda acc: F.concat(acc["out"], F.substring(source, acc["at"] + 1, F.length(source))),
     )
-    flagged = docs.filter(may).withColumn("_r_key", F.xxhash64(text))
-    joined = flagged.join(spans, F.col("doc_id").eqNullSafe(F.col("_s_id")) & (F.col("_r_key") == F.col("_s_key")), "left")
-    new_text = F.when(F.col("_s_spans").isNotNull(), cleaned).otherwise(F.col("text"))
-    put = {"text": new_text}
+    flagged = packed(docs.filter(may), F.col("doc_id").alias("_r_id"), text.alias("_r_text")).withColumn("_r_key", F.xxhash64("_r_text"))
+    joined = flagged.join(spans, F.col("_r_id").eqNullSafe(F.col("_s_id")) & (F.col("_r_key") == F.col("_s_key")), "left")
+    renewed = joined.select("_row", F.when(F.col("_s_spans").isNotNull(), cleaned).alias("_r_new"))
+    new = {"text": F.coalesce("_r_new", F.col("_row.text"))}
     if "n_chars" in docs.columns:
-        put["n_chars"] = F.when(F.col("_s_spans").isNotNull(), F.length(cleaned).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    changed = joined.select(*(put[c].alias(c) if c in put else F.col(f"`{c}`") for c in docs.columns))
-    return docs.filter(~may).unionByName(changed)
+        new["n_chars"] = F.coalesce(F.length("_r_new").cast(docs.schema["n_chars"].dataType), F.col("_row.n_chars"))
+    return docs.filter(~may).unionByName(unpacked(renewed, docs.columns, **new))

@@ -203,5 +203,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the documents that a smaller doc_id of their component stands for; one row of each that stays."""
     groups = materialize(simhash_groups(docs), "simhash-groups")
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k_id")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_k_id"))
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["_k_id"])
     return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"])

@@ -47,7 +47,7 @@ def test_quality_counts(spark):
 def test_quality_adapts_to_its_group(spark):
     prose = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(300)]
     noisy = [" ".join(f"w{i}x{j}###" for j in range(60)) for i in range(20)]
-    code = [" ".join(f"<v{i}x{j}>" for j in range(60)) for i in range(300)]
+    code = [" ".join(f"<v{i}x{j}>" for j in range(60)) for i in range(100, 400)]
     docs = _docs(spark, prose + noisy, "prose").unionByName(_docs(spark, code, "code").withColumn("doc_id", F.col("doc_id") + 1000))
     kept = {r.doc_id for r in quality.quality_report(docs).filter("kept").collect()}
     assert kept == {*range(300), *range(1000, 1300)}
