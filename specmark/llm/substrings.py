@@ -6,7 +6,7 @@ sorted by anchor. A batch of documents becomes a run; its anchors are merge-join
 other, and those met in two documents are suspects. When ``fan_in`` runs of a level have gathered, they are compacted
 into one of the next level.
 
-Suspects are verified: one narrow pass over the texts gives two independent 64-bit hashes of each whole window with a
+Suspects are verified: one narrow pass over the texts gives 96 bits of two independent hashes of each whole window with a
 suspect anchor (a bitmap of suspect anchors of fixed size is sent to the executors; where it says yes too often, more
 windows are verified and the result is the same). The least doc_id of each window, by partial aggregation, owns it;
 every other document's words under it go. Texts equal in all words are settled before, by a hash of the word sequence,
@@ -152,7 +152,7 @@ def _suspect_windows(shared):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(tb.ngrams(h, WINDOW)[starts].view(np.int64)),
-                        pa.array(tb.ngrams(h2, WINDOW)[starts].view(np.int64)),
+                        pa.array((tb.ngrams(h2, WINDOW)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         ids.slice(at, n).take(pa.array(owner)),
                         pa.array(_sequence_keys(h, w.firsts).view(np.int64)[owner]),
                         pa.array((starts - w.firsts[owner]).astype(np.int32)),
@@ -206,7 +206,8 @@ def deduplicate(docs: DataFrame, batches: int = 3, fan_in: int = 2, bits: int =
     of_text = ["text_key", "text_key2", "n_words"]
     known = profiles.join(copied, of_text, "left").withColumn("is_copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)) & (F.col("n_words") >= WINDOW))
     originals = known.filter("NOT is_copy AND doc_id IS NOT NULL")
-    postings = materialize(originals.select("doc_id", F.explode("anchors").alias("anchor")), "postings")
+    originals = materialize(originals.select("doc_id", "anchors"), "originals") if copied.take(1) else originals
+    postings = originals.select("doc_id", F.explode("anchors").alias("anchor"))
 
     index = FingerprintIndex(spark, fan_in)
     cuts = profiles.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] or []
@@ -223,7 +224,7 @@ def deduplicate(docs: DataFrame, batches: int = 3, fan_in: int = 2, bits: int =
 
     anchors = spark.sparkContext.broadcast(_bitmap(suspects, bits))
     windows = materialize(
-        rows.filter("doc_id IS NOT NULL").mapInArrow(_suspect_windows(anchors), "w1 long, w2 long, doc_id long, text_key long, start int"), "windows"
+        rows.filter("doc_id IS NOT NULL").mapInArrow(_suspect_windows(anchors), "w1 long, w2 int, doc_id long, text_key long, start int"), "windows"
     )
     owners = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
     starts = windows.join(owners, ["w1", "w2"]).filter("doc_id > owner").groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))

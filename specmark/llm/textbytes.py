@@ -1,8 +1,8 @@
 """Vectorised words of many texts: boundaries, hashes and n-gram hashes by numpy over the bytes of an Arrow array.
 
 Words are maximal runs of bytes other than ASCII white space, which never occur inside a multi-byte character. A word's
-hash is a polynomial over its bytes modulo 2^64, read off prefix sums and mixed; an n-gram's is one over the hashes of
-its words. Texts are taken in chunks of bounded size, except that a text is never cut.
+hash is a polynomial over its bytes modulo 2^64, mixed; an n-gram's is one over the hashes of its words, read off prefix
+sums where n is large. Texts are taken in chunks of bounded size, except that a text is never cut.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+TABLE_BYTES = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -57,11 +58,17 @@ class Words:
     def hashes(self, base: int = _BASE) -> np.ndarray:
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        p = powers(len(self.data) + 1, base)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[:-1], out=sums[1:])
-        inverse = powers(len(self.data) + 1, pow(base, -1, 1 << 64))
-        return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        if len(self.data) <= TABLE_BYTES:
+            sums = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(len(self.data), base), out=sums[1:])
+            return mix((sums[self.ends] - sums[self.starts]) * powers(len(self.data), pow(base, -1, 1 << 64))[self.starts])
+        # the same values for a very long text, with a table as long as its longest word
+        sizes = (self.ends - self.starts).astype(np.int32)
+        firsts = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(firsts.astype(np.int32), sizes)
+        values = powers(int(sizes.max()), base)[place]
+        values *= self.data[~_IS_SPACE[self.data]].astype(np.uint64) + np.uint64(1)
+        return mix(np.add.reduceat(values, firsts))
 
 
 def ngrams(hashes: np.ndarray, n: int, base: int = 0xD1342543DE82EF95) -> np.ndarray:
