@@ -28,7 +28,7 @@ from specmark.llm import textbytes as tb
 from specmark.llm.common import materialize
 
 GRAM = 4
-LEAST_SCORE = 0.6
+LEAST_SCORE = 0.5
 SEVERAL = 4
 BLOCK_BYTES = 16 << 20
 
