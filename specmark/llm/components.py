@@ -13,8 +13,8 @@ from specmark.llm.common import materialize
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v): for each, the least of u and its v."""
-    least = pairs.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+    """pairs (u, v): for each, the least of u and its v. The minima are written, so that the join can split a hub."""
+    least = materialize(pairs.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")), "least")
     return pairs.join(least, F.col("u") == F.col("c")).select("u", "v", F.least("u", "m").alias("m"))
 
 

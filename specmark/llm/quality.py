@@ -171,7 +171,7 @@ def judge(signals: DataFrame, thresholds: DataFrame) -> DataFrame:
 def quality_report(docs: DataFrame, min_group: int = 200) -> DataFrame:
     """One row per document: the counts of the base rule and both verdicts."""
     signals = materialize(quality_signals(docs.select("doc_id", "lang", "source", "text"), ["doc_id", "lang", "source"]), "quality-signals")
-    judged = judge(signals, adaptive_thresholds(sketch_groups(signals), min_group))
+    judged = judge(signals, materialize(adaptive_thresholds(sketch_groups(signals), min_group), "quality-fences"))
     return judged.select(
         "doc_id",
         *(F.col(f"_q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")),

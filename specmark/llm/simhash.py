@@ -192,8 +192,10 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     links = fingerprint_links(classes.select("fp"))
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
-    named = placed.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(named, "label").select(F.col("fp").alias("_fp"), "component_id")
+    placed = materialize(placed, "simhash-labels")
+    # written, so that the join can split a component that holds a good part of all
+    named = materialize(placed.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-names")
+    by_fp = materialize(placed.join(named, "label").select(F.col("fp").alias("_fp"), "component_id"), "simhash-components")
     return fps.join(by_fp, F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
