@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Fixed value: a word is a maximal run of anything but ASCII white space.
@@ -26,6 +27,20 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def first_by_hash(df: DataFrame, key: str, order: list[Column], k: int, salts: int = 64) -> DataFrame:
+    """The first k rows of each key in the given order, which starts with a hash.
+
+    The limit is applied before each shuffle and first per part of the key, so that a hot key's task sees at most
+    salts * k rows.
+    """
+    part = F.pmod(F.xxhash64(order[0]), F.lit(salts)).alias("_f_part")
+    salted = df.select("*", part)
+    for keys in ([key, "_f_part"], [key]):
+        rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+        salted = salted.withColumn("_f_rank", rank).filter(F.col("_f_rank") <= k)
+    return salted.drop("_f_part", "_f_rank")
+
+
 def packed(df: DataFrame, *columns: Column) -> DataFrame:
     """The rows of df as one column ``_row``, beside columns: what is added then cannot clash with a column of df."""
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *columns)

@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specmark.llm import textbytes as tb
+from specmark.llm.common import first_by_hash, materialize
 
 GRAM = 4
 HASHES = 3
@@ -131,12 +132,15 @@ def _count(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(c)], names=["lang", "gram", "n"])
 
 
-def fit(docs: DataFrame, per_lang: int = 2000, sample_docs: int = 2000) -> Filters:
+def fit(docs: DataFrame, per_lang: int = 2000, sample_docs: int = 2000, most_sent: int = 1_000_000) -> Filters:
     """Filters from doc_id, text and lang of docs: at most sample_docs documents of a language, the first by a hash."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.select("doc_id", "lang").withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= sample_docs).select("doc_id", "lang").distinct()
-    texts = known.join(sample, ["doc_id", "lang"], "left_semi").select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    hashed = [F.xxhash64("doc_id"), F.col("doc_id")]
+    sample = first_by_hash(known.select("doc_id", "lang"), "lang", hashed, sample_docs).distinct()
+    sample = materialize(sample, "language-sample")
+    # at most sample_docs rows of a language: sent to all tasks unless languages are very many
+    side = F.broadcast(sample) if sample.count() <= most_sent else sample
+    texts = known.join(side, ["doc_id", "lang"], "left_semi").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counts = texts.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
     table = counts.withColumn("_k", F.row_number().over(top)).filter(F.col("_k") <= per_lang).select("lang", "gram").toArrow()

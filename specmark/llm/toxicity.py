@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specmark.llm import textbytes as tb
+from specmark.llm.common import first_by_hash
 
 BUCKETS = 1 << 13
 DIM, HIDDEN = 8, 8
@@ -329,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = 1500, sample_cle
     """A model from at most sample_toxic + sample_clean labelled rows of docs (doc_id, text)."""
     known = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     present = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    some = lambda label, n: present.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    some = lambda label, n: first_by_hash(present.filter(F.col("toxic") == label), "toxic", [F.xxhash64("doc_id"), F.col("doc_id")], n)
     sample = some(1, sample_toxic).unionByName(some(0, sample_clean)).select(F.col("doc_id").alias("_t_id"), "toxic")
     rows = (
         docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_t_id"))
@@ -364,5 +365,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = fit(docs.filter(~held), labels.filter(~held))
     return score(docs, model).select(
-        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
