@@ -137,22 +137,22 @@ def adaptive_thresholds(sketches: DataFrame, min_group: int = 200) -> DataFrame:
     def fences(df: DataFrame, tag: str, *keys: str) -> DataFrame:
         def fence(s: Signal) -> Column:
             low, mid = (F.kll_sketch_get_quantile_double(f"_q_k_{s.name}", F.lit(q)) for q in (0.25, 0.5))
-            return mid + s.reach * F.greatest(mid - low, F.lit(s.least_spread))
+            # an empty table has an empty sketch, of which there is no quantile
+            return F.when(F.col("_q_n") > 0, mid + s.reach * F.greatest(mid - low, F.lit(s.least_spread)))
 
         return df.select(*keys, F.col("_q_n").alias(f"_q_n_{tag}"), *(fence(s).alias(f"_q_{tag}_{s.name}") for s in SIGNALS))
 
     group = fences(sketches, "g", "lang", "source")
     lang = fences(merge_sketches(sketches, "lang"), "l", F.col("lang").alias("_q_lang"))
-    whole = fences(merge_sketches(sketches), "w")
-    # one row stands for the whole corpus, so this join pairs each group with that row only
-    joined = group.join(lang, F.col("lang").eqNullSafe(F.col("_q_lang"))).join(F.broadcast(whole), F.lit(True))
+    whole = fences(merge_sketches(sketches), "w").first()  # one row: a fence per signal for the whole corpus
+    joined = group.join(lang, F.col("lang").eqNullSafe(F.col("_q_lang")))
     return joined.select(
         F.col("lang").alias("_q_lang"),
         F.col("source").alias("_q_source"),
         *(
             F.when(F.col("_q_n_g") >= min_group, F.col(f"_q_g_{s.name}"))
             .when(F.col("_q_n_l") >= min_group, F.col(f"_q_l_{s.name}"))
-            .otherwise(F.col(f"_q_w_{s.name}"))
+            .otherwise(F.lit(whole[f"_q_w_{s.name}"]).cast("double"))
             .alias(f"_q_f_{s.name}")
             for s in SIGNALS
         ),
