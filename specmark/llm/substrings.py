@@ -226,7 +226,10 @@ def deduplicate(docs: DataFrame, batches: int = 3, fan_in: int = 2, bits: int =
     windows = materialize(
         rows.filter("doc_id IS NOT NULL").mapInArrow(_suspect_windows(anchors), "w1 long, w2 int, doc_id long, text_key long, start int"), "windows"
     )
-    owners = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
+    # written, so that the join can split a passage that a good part of all documents repeat
+    owners = materialize(
+        windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last"), "owners"
+    )
     starts = windows.join(owners, ["w1", "w2"]).filter("doc_id > owner").groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
     # a copy of a whole text is settled already
     copies = known.filter("is_copy").select("doc_id", "text_key")
