@@ -6,6 +6,7 @@ Stages are independent; what passes between them is a DataFrame, or Parquet wher
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,6 +85,31 @@ def top_markers(result: Specificity, n: int = 20) -> dict[str, DataFrame]:
     return {"emotion": R.top_markers(result.by_emotion, n), "mode": R.top_markers(result.by_mode, n)}
 
 
+def read_markers(spark: SparkSession, path: str) -> DataFrame | None:
+    """Markers that a run has written (Parquet folder, or CSV); None if there are none."""
+    if not glozz.exists(spark, path):
+        return None
+    return tabular.read_csv(spark, path) if path.lower().endswith(".csv") else spark.read.parquet(path)
+
+
+def designated(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The designated markers of one corpus, over all runs named (one per lemmatiser, say); missing runs have none."""
+    found = []
+    for path in paths:
+        marked = read_markers(spark, path)
+        if marked is not None:
+            rows = marked.filter(marked["`Désignée`"] == 1) if "Désignée" in marked.columns else marked.filter(C.is_designee(marked["mode"]))
+            found.append(C.marker_set(rows))
+    return reduce(lambda a, b: a.union(b), found).distinct() if found else spark.createDataFrame([], "marker string")
+
+
+def dashboard(spark: SparkSession, annotation_paths: list[str], table_paths: list[str]) -> DataFrame:
+    """A13 over the markers that runs have written."""
+    items = [C.items_of_annotations(m) for p in annotation_paths if (m := read_markers(spark, p)) is not None]
+    items += [C.items_of_table(m) for p in table_paths if (m := read_markers(spark, p)) is not None and "Désignée" in m.columns]
+    return C.dashboard_sets(*items) if items else spark.createDataFrame([], "marker string, corpora array<string>, emotions array<string>")
+
+
 def designated_sets(annotation_markers: DataFrame, table_markers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sets of designated markers that two corpora are compared by."""
     return (

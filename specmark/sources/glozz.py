@@ -82,7 +82,7 @@ def annotations_of(units: DataFrame, texts: DataFrame, corpus: str) -> DataFrame
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
@@ -90,7 +90,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_corpus(spark: SparkSession, directory: str, corpus: str) -> DataFrame | None:
     """The annotations of one corpus directory (aa/ and ac/), in file and unit order; None if it is not there."""
     aa, ac = f"{directory}/aa", f"{directory}/ac"
-    if not (_exists(spark, aa) and _exists(spark, ac)):
+    if not (exists(spark, aa) and exists(spark, ac)):
         return None
     return annotations_of(read_units(spark, aa), read_texts(spark, ac), corpus)
 

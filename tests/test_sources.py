@@ -135,3 +135,20 @@ def test_summary_csv(spark, tmp_path):
     assert (tmp_path / "s.csv").read_text("utf-8-sig") == 'id,x\n0,\n1,"a ""b"", c"\n2,"a ""b"", c"\n'
     sinks.write_summary(df, str(tmp_path / "large.csv"), most_rows=2)
     assert (tmp_path / "large.csv").is_dir()
+
+
+def test_command_line(spark, corpus, tmp_path, capsys):
+    from specmark.__main__ import main
+
+    out, tables = str(tmp_path / "o"), tmp_path / "x"
+    tables.mkdir()
+    _workbook(tables / "a.xlsx", [["idx", "ID", "NAME", "TEXT", "Joie", "Désignée"], [1, "i", "n", "été long", 1, 1]])
+    for step in ("parse", "markers", "specificity"):
+        main(["annotations", str(corpus / "C"), "--step", step, "--output-dir", out, "--lemmatizer", "identity", "--min-freq", "1", "--include-empty"], spark)
+    main(["tables", str(tables), "--output-dir", f"{out}/t", "--no-lemma", "--min-freq", "1"], spark)
+    main(["top", f"{out}/specificity_results/entropy_per_marker_emotion.csv", "--top", "3", "--export", f"{out}/top.csv"], spark)
+    assert (tmp_path / "o/top.csv").read_text("utf-8-sig").startswith("Classe,Marqueur,Type,P(Classe),Freq_Globale,Entropie\nJoie,text,lemma,1.0,1,0.0\n")
+    main(["compare", "--annotations", f"{out}/markers", f"{out}/none", "--tables", f"{out}/t/markers"], spark)
+    assert "été" in capsys.readouterr().out
+    main(["dashboard", "--annotations", f"{out}/markers", "--tables", f"{out}/t/markers", "--output", f"{out}/d.html"], spark)
+    assert '"marker": "long"' in (tmp_path / "o/d.html").read_text("utf-8")
