@@ -13,6 +13,9 @@ SIGNS = "[!?.,;:…\\-—–\"'«»()\\[\\]]"
 _W = r"[\p{L}\p{N}_]"
 _BORDER = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 WORD = f"{_BORDER}{LETTER}+(?:['-]{LETTER}+)*{_BORDER}"
+#: The same where a text has no sign that is in the class of letters but is no letter: then no run need be given up in part.
+_SIGNS_IN_CLASS = ("×", "÷")
+_PLAIN_WORD = f"(?<!{_W}){LETTER}++(?:['-]{LETTER}++)*(?!{_W})"
 
 
 def trim_all(text: Column) -> Column:
@@ -26,8 +29,10 @@ def is_blank(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words in order, repeats kept; null has none."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-    return F.transform(found, F.lower)
+    text = F.coalesce(text, F.lit(""))
+    odd = F.contains(text, F.lit(_SIGNS_IN_CLASS[0])) | F.contains(text, F.lit(_SIGNS_IN_CLASS[1]))
+    find = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.transform(F.when(odd, find(WORD)).otherwise(find(_PLAIN_WORD)), F.lower)
 
 
 def punctuation(text: Column) -> Column:

@@ -19,7 +19,8 @@ def is_designee(mode: Column) -> Column:
 def marker_set(markers: DataFrame) -> DataFrame:
     """distinct markers in lower case, trimmed, of more than two code points."""
     value = F.lower(trim_all(F.col("marker_value").cast("string")))
-    return markers.select(value.alias("marker")).filter(F.length("marker") > 2).distinct()
+    # distinct before and after: few values are left to trim, and what trimming makes equal is one
+    return markers.select("marker_value").distinct().select(value.alias("marker")).filter(F.length("marker") > 2).distinct()
 
 
 def compare(left: DataFrame, right: DataFrame) -> dict[str, DataFrame]:
@@ -69,13 +70,15 @@ def _labelled(rows: DataFrame, labels: Column, corpus: str) -> DataFrame:
 def items_of_annotations(markers: DataFrame, corpus: str = "Glozz") -> DataFrame:
     """(marker, corpus, emotion) of designated markers, by both categories."""
     pair = F.array_distinct(F.array_compact(F.array(dashboard_label(F.col("categorie1")), dashboard_label(F.col("categorie2")))))
-    return _labelled(markers.filter(is_designee(F.col("mode"))), pair, corpus)
+    kinds = markers.select("mode", "categorie1", "categorie2", "marker_value").distinct()
+    return _labelled(kinds.filter(is_designee(F.col("mode"))), pair, corpus)
 
 
 def items_of_table(markers: DataFrame, corpus: str = "XLSX") -> DataFrame:
     """The same from one-hot columns."""
     flags = [F.when(F.col(f"`{c}`") == 1, F.lit(c)) for c in EMOTION_COLUMNS if c in markers.columns]
-    return _labelled(markers.filter(F.col("`Désignée`") == 1), F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>"), corpus)
+    kinds = markers.filter(F.col("`Désignée`") == 1).select(*(F.col(f"`{c}`") for c in EMOTION_COLUMNS if c in markers.columns), "marker_value").distinct()
+    return _labelled(kinds, F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>"), corpus)
 
 
 def dashboard_sets(*items: DataFrame) -> DataFrame:

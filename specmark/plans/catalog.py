@@ -41,7 +41,13 @@ def _query(sql: str | None = None):
 
 # --- inputs ---
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; where its files have fewer parts than there are cores (one small file, say), dealt out over all."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if name in _TEXTS and 4 * table.rdd.getNumPartitions() <= cores else table
+
+
+_TEXTS = ("documents", "conversations")
 
 
 def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
