@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from specmark.llm import decontamination, html, langid, licenses, mixing, quality, secrets, simhash, substrings, toxicity
+from specmark.llm import decontamination, html, langid, licenses, mixing, quality, secrets, simhash, sql, substrings, toxicity
 from specmark.llm.common import table
 
 
@@ -71,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scans": licenses.ORACLE_SQL}
+    return dict(sql.ORACLES)
