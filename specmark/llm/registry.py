@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from specmark.llm import decontamination, html, langid, licenses, mixing, quality, secrets, simhash, sql, substrings, toxicity
 from specmark.llm.common import table
@@ -38,7 +39,8 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+    kept = substrings.deduplicate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,6 @@ Rows with the same doc_id are one document as owners and are cut one by one. Oth
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +28,7 @@ from specmark.llm.common import materialize
 
 WINDOW, GRAM = 50, 8
 _SECOND = 0xA0761D6478BD642F | 1
-_PROFILE = "doc_id long, text_key long, text_key2 long, n_words long, sha string, anchors array<long>"
+_PROFILE = "doc_id long, text_key long, text_key2 long, n_words long, anchors array<long>"
 
 
 def _window_anchors(h: np.ndarray) -> np.ndarray:
@@ -63,18 +61,15 @@ def _profile_batches(batches):
             fresh[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
             anchors, owner = anchors[fresh].view(np.int64), owner[fresh]
             per = np.searchsorted(owner, np.arange(n + 1))
-            raw = data.tobytes()
-            sha = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(at, n),
                     pa.array(_sequence_keys(h, w.firsts).view(np.int64)),
                     pa.array(_sequence_keys(h2, w.firsts).view(np.int64)),
                     pa.array(np.diff(w.firsts).astype(np.int64)),
-                    pa.array(sha),
                     pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), pa.array(anchors)),
                 ],
-                names=["doc_id", "text_key", "text_key2", "n_words", "sha", "anchors"],
+                names=["doc_id", "text_key", "text_key2", "n_words", "anchors"],
             )
 
 
@@ -163,11 +158,17 @@ def _suspect_windows(shared):
     return run
 
 
-def _candidate_texts(shared):
+def _split(batch: pa.RecordBatch, bitmap: np.ndarray, touched: bool) -> pa.RecordBatch:
+    """The rows that a decision may be about, or the rest; a row without a doc_id is never touched."""
+    ids = batch.column(0)
+    hit = _has(bitmap, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(hit if touched else ~hit))
+
+
+def _texts(shared):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            some = batch.filter(pa.array(_has(shared.value, ids)))
+            some = _split(batch, shared.value, True)
             for at, n, data, offsets in tb.chunks(some.column(1)):
                 w = tb.words(data, offsets)
                 keys = _sequence_keys(w.hashes(), w.firsts).view(np.int64)
@@ -176,27 +177,56 @@ def _candidate_texts(shared):
     return run
 
 
+_KEPT = "doc_id long, n_words long, n_removed long, text string"
+
+
+def _kept_batch(ids: pa.Array, words: list[list[bytes]], gone: list[np.ndarray | None]) -> pa.RecordBatch:
+    left = [w if g is None else [x for x, out in zip(w, g.tolist()) if not out] for w, g in zip(words, gone)]
+    return pa.RecordBatch.from_arrays(
+        [
+            ids,
+            pa.array([len(w) for w in words], pa.int64()),
+            pa.array([len(w) - len(k) for w, k in zip(words, left)], pa.int64()),
+            pa.array([b" ".join(k) for k in left], pa.binary()).cast(pa.string()),
+        ],
+        names=["doc_id", "n_words", "n_removed", "text"],
+    )
+
+
+def _words_of(text: pa.Scalar) -> list[bytes]:
+    return text.as_buffer().to_pybytes().split() if text.is_valid else []
+
+
+def _untouched(shared):
+    def run(batches):
+        for batch in batches:
+            rest = _split(batch, shared.value, False)
+            for at in range(0, rest.num_rows, 256):
+                part = rest.slice(at, 256)
+                words = [_words_of(t) for t in part.column(1)]
+                yield _kept_batch(part.column(0), words, [None] * len(words))
+
+    return run
+
+
 def _cut(batches):
+    """(doc_id, text, starts of removed windows or null, is it removed whole or null)"""
     for batch in batches:
-        removed, sha = [], []
-        texts, starts = batch.column(1), batch.column(2)
-        for i in range(batch.num_rows):
-            words = (texts[i].as_py() or "").encode().split()
-            cover = np.zeros(len(words) + 1, np.int64)
-            at = starts[i].values.to_numpy(zero_copy_only=False)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + WINDOW, -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            removed.append(int(gone.sum()))
-            sha.append(hashlib.sha256(b" ".join([x for x, g in zip(words, gone.tolist()) if not g])).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len((t.as_py() or "").encode().split()) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256"],
-        )
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            words, gone = [_words_of(t) for t in part.column(1)], []
+            for w, starts, whole in zip(words, part.column(2), part.column(3)):
+                cover = np.zeros(len(w) + 1, np.int64)
+                if starts.is_valid:
+                    first = starts.values.to_numpy(zero_copy_only=False)
+                    np.add.at(cover, first, 1)
+                    np.add.at(cover, first + WINDOW, -1)
+                gone.append(np.ones(len(w), bool) if whole.as_py() else np.cumsum(cover[:-1]) > 0)
+            yield _kept_batch(part.column(0), words, gone)
 
 
 def deduplicate(docs: DataFrame, batches: int = 3, fan_in: int = 2, bits: int = 1 << 27) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 (the kept words, joined by single spaces)."""
+    """One row per document: doc_id, n_words, n_removed and text, the kept words joined by single spaces."""
     spark = docs.sparkSession
     rows = _rows(docs)
     profiles = materialize(rows.mapInArrow(_profile_batches, _PROFILE), "profiles")
@@ -234,15 +264,12 @@ def deduplicate(docs: DataFrame, batches: int = 3, fan_in: int = 2, bits: int =
     # a copy of a whole text is settled already
     copies = known.filter("is_copy").select("doc_id", "text_key")
     cut = materialize(starts.join(copies, ["doc_id", "text_key"], "left_anti"), "cuts")
-    cut_ids = spark.sparkContext.broadcast(_bitmap(cut.select("doc_id"), bits))
-    texts = rows.mapInArrow(_candidate_texts(cut_ids), "doc_id long, text_key long, text string")
-    done = texts.join(cut, ["doc_id", "text_key"]).select("doc_id", "text", "starts").mapInArrow(
-        _cut, "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    )
-    whole = known.join(cut.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti").select(
-        "doc_id",
-        "n_words",
-        F.when(F.col("is_copy"), F.col("n_words")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
-        F.when(F.col("is_copy"), F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
+    none = F.array().cast("array<int>")
+    decisions = cut.select("doc_id", "text_key", "starts", F.lit(False).alias("whole")).unionByName(
+        copies.distinct().select("doc_id", "text_key", none.alias("starts"), F.lit(True).alias("whole"))
     )
-    return whole.unionByName(done)
+    # texts that no decision can be about pass straight through; the others meet the decisions
+    touched = spark.sparkContext.broadcast(_bitmap(cut.select("doc_id").unionByName(copies.select("doc_id")), bits))
+    met = rows.mapInArrow(_texts(touched), "doc_id long, text_key long, text string").join(decisions, ["doc_id", "text_key"], "left")
+    done = met.select("doc_id", "text", "starts", "whole").mapInArrow(_cut, _KEPT)
+    return rows.mapInArrow(_untouched(touched), _KEPT).unionByName(done)
