@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specmark.llm.common import WORD, materialize, text_of
+from specmark.llm.common import WORD, materialize, packed, text_of, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -276,3 +276,21 @@ def mixed_rows(docs: DataFrame, shards: int = 16, block_docs: int = 1024, seed:
         .select("doc_id", "copy", "shard", whole.alias("words"), F.xxhash64("doc_id", "copy", F.lit(seed + 3)).alias("local_order"))
         .filter(F.col("words") > 0)
     )
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, block_docs: int = 1024, seed: int = 42) -> None:
+    """The mix as files: docs' columns for each copy taken, in one folder per shard, in the shard's shuffled order.
+
+    Rows are dealt by ranges of (shard, order), so that a shard is as many sorted files as its size needs. A document
+    that the border of its source cuts keeps its first words. doc_id must be unique and not null.
+    """
+    rows = mixed_rows(docs, shards, block_docs, seed).withColumnsRenamed({"doc_id": "_x_id", "shard": "_x_shard", "words": "_x_words", "local_order": "_x_order"})
+    size = F.regexp_count(text_of(), F.lit(WORD))
+    source = packed(docs, F.col("doc_id").alias("_p_id"), F.col("text").alias("_p_text"), size.alias("_p_size"))
+    joined = source.join(rows, F.col("_p_id") == F.col("_x_id"))
+    cut = F.array_join(F.slice(words_of(F.col("_p_text")), F.lit(1), F.col("_x_words").cast("int")), " ")
+    text = F.when(F.col("_x_words") < F.col("_p_size"), cut).otherwise(F.col("_p_text"))
+    out = joined.select(
+        *((text if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns), F.col("_x_shard").alias("_shard"), F.col("_x_order").alias("_order")
+    )
+    out.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").drop("_order").write.mode("overwrite").partitionBy("_shard").parquet(path)

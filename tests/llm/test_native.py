@@ -221,3 +221,15 @@ def test_hypergeometric(spark):
     df = spark.createDataFrame(cases, "n long, k long, m long, u double")
     rows = df.select("*", mixing.hypergeometric(F.col("n"), F.col("k"), F.col("m"), F.col("u")).alias("x")).collect()
     assert all(r.x == brute(r.n, r.k, r.m, r.u) for r in rows)
+
+
+def test_shards_are_written(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"d{i} " * (3 + i % 9), "en", "ab"[i % 2], 1) for i in range(60)], SCHEMA)
+    mixing.write_shards(docs, str(tmp_path / "mix"), shards=3, block_docs=4)
+    rows = spark.read.parquet(str(tmp_path / "mix")).collect()
+    words = collections.Counter()
+    for r in rows:
+        words[r.doc_id] += len(r.text.split())
+        assert set(r.text.split()) == {f"d{r.doc_id}"} and r.source == "ab"[r.doc_id % 2]
+    assert words == {r.doc_id: r.taken for r in mixing.mix(docs, shards=3, block_docs=4).collect() if r.taken}
+    assert {r._shard for r in rows} == {0, 1, 2}
