@@ -202,8 +202,12 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the documents that a smaller doc_id of their component stands for; one row of each that stays."""
+    """docs without the documents that a smaller doc_id of their component stands for; one row of each that stays.
+
+    Of rows without a doc_id, those that no other row stands for stay, one of each text.
+    """
     groups = materialize(simhash_groups(docs), "simhash-groups")
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k_id")).distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(kept["_k_id"])
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"])
+    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    return docs.join(kept, same, "left_semi").withColumn("_k_text", unnamed).dropDuplicates(["doc_id", "_k_text"]).drop("_k_text")

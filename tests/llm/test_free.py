@@ -154,10 +154,10 @@ def test_simhash_groups(spark):
 
 
 def test_simhash_null_and_repeated_ids(spark):
-    docs = spark.createDataFrame([(None, "one two three"), (4, "one two three"), (4, "one two three"), (None, "other text"), (2, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(None, "one two three"), (4, "one two three"), (4, "one two three"), (None, "other text"), (2, None), (None, "a third one")], "doc_id long, text string")
     rows = sorted(((repr(r.doc_id), r.component_id) for r in simhash.simhash_groups(docs).collect()), key=repr)
-    assert rows == [("2", 2), ("4", 4), ("4", 4), ("None", 4), ("None", None)]
-    assert simhash.drop_near_duplicates(docs).count() == 3
+    assert rows == [("2", 2), ("4", 4), ("4", 4), ("None", 4), ("None", None), ("None", None)]
+    assert simhash.drop_near_duplicates(docs).count() == 4
 
 
 def test_components(spark):
