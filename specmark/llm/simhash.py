@@ -206,8 +206,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Of rows without a doc_id, those that no other row stands for stay, one of each text.
     """
-    groups = materialize(simhash_groups(docs), "simhash-groups")
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k_id")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(kept["_k_id"])
-    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return docs.join(kept, same, "left_semi").withColumn("_k_text", unnamed).dropDuplicates(["doc_id", "_k_text"]).drop("_k_text")
+    # a row without an id goes by its text, as an id above all others
+    by_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    own = F.coalesce(F.col("doc_id").cast("long"), by_text)
+    groups = materialize(simhash_groups(docs.select(own.alias("doc_id"), "text")), "simhash-groups")
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_k_id")).distinct()
+    named = docs.withColumn("_k_own", own)
+    return named.join(kept, named["_k_own"] == kept["_k_id"], "left_semi").dropDuplicates(["_k_own"]).drop("_k_own")
