@@ -182,9 +182,9 @@ def quality_report(docs: DataFrame, min_group: int = 200) -> DataFrame:
 
 def filter_quality(docs: DataFrame, min_group: int = 200) -> DataFrame:
     """The documents that pass, with their own columns. Texts are read twice and never shuffled by group."""
-    thresholds = materialize(
-        adaptive_thresholds(sketch_groups(quality_signals(docs.select("lang", "source", "text"), ["lang", "source"])), min_group), "quality-fences"
-    )
+    signals = quality_signals(docs.select("lang", "source", "text"), ["lang", "source"])
+    sketches = materialize(sketch_groups(signals), "quality-sketches")  # read three times
+    thresholds = materialize(adaptive_thresholds(sketches, min_group), "quality-fences")
     rows = packed(docs, F.col("lang").alias("lang"), F.col("source").alias("source"), F.col("text").alias("text"))
     carried = quality_signals(rows, ["_row", "lang", "source"])
     return unpacked(judge(carried, thresholds).filter("_q_kept"), docs.columns)
