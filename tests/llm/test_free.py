@@ -263,6 +263,14 @@ def test_extraction():
     assert html.extract("<article>" + "<p>y</p>" * 5000 + "<div>" * 300 + "z", None).endswith("y\n\nz")
 
 
+def test_copies_of_a_page_keep_their_text():
+    page = "<body><div>A long article text that all pages have.</div><div>Tail {}</div></body>"
+    whole = lambda i: f"A long article text that all pages have.\n\nTail {i}"
+    for pages in ([page.format(1)] * 4, [page.format(i) for i in range(4)]):
+        wrapper = html.infer(pages) | {"region": None}
+        assert [html.extract(p, wrapper) for p in pages] == [whole(p.split("Tail ")[1][0]) for p in pages]
+
+
 def test_repeats_collapse():
     items = [(k, None, (), False, 1) for k in "x p # /p p # /p p # /p y".split()]
     assert [i[0] for i in html.collapse(items)] == ["x", "p", "#", "/p", "y"]
