@@ -30,11 +30,10 @@ def words_of(text: Column) -> Column:
 def first_by_hash(df: DataFrame, key: str, order: list[Column], k: int, salts: int = 64) -> DataFrame:
     """The first k rows of each key in the given order, which starts with a hash.
 
-    The limit is applied before each shuffle and first per part of the key, so that a hot key's task sees at most
-    salts * k rows.
+    Each task of the input sends at most k rows of a key, and these meet in two steps, so that a hot key's last task
+    sees salts * k rows however many tasks there were. Which rows are first does not depend on how they are dealt.
     """
-    part = F.pmod(F.xxhash64(order[0]), F.lit(salts)).alias("_f_part")
-    salted = df.select("*", part)
+    salted = df.select("*", (F.spark_partition_id() % salts).alias("_f_part"))
     for keys in ([key, "_f_part"], [key]):
         rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
         salted = salted.withColumn("_f_rank", rank).filter(F.col("_f_rank") <= k)
