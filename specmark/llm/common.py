@@ -15,7 +15,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; where its files have far fewer parts than there are cores (one small file, say), dealt out over all."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in ("documents", "pages") and 4 * rows.rdd.getNumPartitions() <= cores else rows
 
 
 def text_of(column: str = "text") -> Column:
