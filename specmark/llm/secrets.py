@@ -47,7 +47,13 @@ MORE_RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{20,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    # to the END line, or else over the lines of base64 that follow (the last may be short), line breaks escaped or not
+    Rule(
+        "pem",
+        r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+        r"|(?:(?:[\x20\x09-\x0D]|\\[nr])*+(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:(?:[\x20\x09-\x0D]|\\[nr])*+[A-Za-z0-9+/]{20,}+=*+)*+"
+        r"(?:(?:[\x20\x09-\x0D]|\\[nr])*+[A-Za-z0-9+/]++=*+(?=[\x20\x09\r]*+(?![^\n\\])))?+)",
+    ),
     Rule("url", r"[a-z]{2,10}://[A-Za-z0-9._-]{1,64}:[^@/:\x20\x09-\x0D]{3,64}@[A-Za-z0-9.-]{3,}"),
 )
 RULES = BASE_RULES + MORE_RULES
