@@ -271,6 +271,12 @@ def test_copies_of_a_page_keep_their_text():
         assert [html.extract(p, wrapper) for p in pages] == [whole(p.split("Tail ")[1][0]) for p in pages]
 
 
+def test_attributes_are_read_by_whole_names():
+    page = """<body><div style="overflow:hidden" data-id="ad-3"><p title='is hidden' data-class=menu>One <a href="/hidden/x">two</a> <a href=?id=search>three</a></p>
+<img alt="x" " hidden="><p data-hidden>four</p><p hidden>gone</p><p CLASS = "x ad">gone</p><p id=ad>gone</p><p class='a' aria-hidden="true">gone</p></div></body>"""
+    assert html.extract(page, None) == "One two three\n\nfour"
+
+
 def test_repeats_collapse():
     items = [(k, None, (), False, 1) for k in "x p # /p p # /p p # /p y".split()]
     assert [i[0] for i in html.collapse(items)] == ["x", "p", "#", "/p", "y"]
