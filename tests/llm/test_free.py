@@ -277,6 +277,13 @@ def test_attributes_are_read_by_whole_names():
     assert html.extract(page, None) == "One two three\n\nfour"
 
 
+def test_slots_outside_the_region_stay():
+    page = "<body><div class=top>Welcome to all</div><div id=content><h1>Title {0}</h1><p class=lead>Lead {0} of it</p><div class=body>{1}</div></div><div class=when>Day {0}</div></body>"
+    pages = [page.format(i, f"body {i} " * 30) for i in range(5)]
+    wrapper = html.infer(pages)
+    assert [html.extract(p, wrapper) for p in pages] == [f"Title {i}\n\nLead {i} of it\n\n{' '.join([f'body {i}'] * 30)}\n\nDay {i}" for i in range(5)]
+
+
 def test_repeats_collapse():
     items = [(k, None, (), False, 1) for k in "x p # /p p # /p p # /p y".split()]
     assert [i[0] for i in html.collapse(items)] == ["x", "p", "#", "/p", "y"]
