@@ -284,6 +284,15 @@ def test_slots_outside_the_region_stay():
     assert [html.extract(p, wrapper) for p in pages] == [f"Title {i}\n\nLead {i} of it\n\n{' '.join([f'body {i}'] * 30)}\n\nDay {i}" for i in range(5)]
 
 
+def test_all_layouts_of_a_host_are_read(spark):
+    one = "<body><div class=top>Welcome to all</div><div id=content>{}</div></body>"
+    two = "<body><section class=shop><div>Our fine shop</div><table><tr><td>{}</td></tr></table></section></body>"
+    text = lambda i: " ".join([f"body {i}"] * 9)
+    rows = [(i, None, (two if i % 40 == 0 else one).format(text(i))) for i in range(200)] + [(1000 + i, None, one.format(text(1))) for i in range(50)]
+    got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == text(i) for i in range(200)) and all(got[1000 + i] == text(1) for i in range(50))
+
+
 def test_repeats_collapse():
     items = [(k, None, (), False, 1) for k in "x p # /p p # /p p # /p y".split()]
     assert [i[0] for i in html.collapse(items)] == ["x", "p", "#", "/p", "y"]
