@@ -6,7 +6,7 @@ in both directions, attention pools their states, and a linear layer gives the w
 of the whole text are scored; a text scores as its highest window.
 
 Fitting uses a bounded sample of labelled rows (``sample_toxic`` and ``sample_clean`` documents, the first of a hashed
-order; up to ``windows_per_text`` windows of each). One column of the embeddings starts as the log odds of a word or
+order; all windows of each). One column of the embeddings starts as the log odds of a word or
 n-gram between toxic and clean documents of the sample; everything is then trained together by Adam on the highest
 windows of each text, so that clean texts give their hardest windows. Scoring is one narrow pass, with memory bounded
 by a chunk of texts.
@@ -245,7 +245,7 @@ def _log_odds(buckets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return (odds * seen / (seen + 5)).astype(F32)
 
 
-def train(texts: pa.Array, labels: list[int], epochs: int = 8, seed: int = 7, windows_per_text: int = 64) -> Model:
+def train(texts: pa.Array, labels: list[int], epochs: int = 8, seed: int = 7) -> Model:
     y = np.array(labels, np.int64)
     share = float(y.mean()) if len(y) else 0.0
     model = Model(min(share, 0.49))
@@ -271,9 +271,6 @@ def train(texts: pa.Array, labels: list[int], epochs: int = 8, seed: int = 7, wi
     p["out"][[0, HIDDEN]] += 2.0
     p["att"][[0, HIDDEN]] += 2.0
     start, length, owner = windows(t.firsts, model.window, model.stride)
-    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    some = nth < windows_per_text
-    start, length, owner = start[some], length[some], owner[some]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     step = 0
     for epoch in range(epochs):

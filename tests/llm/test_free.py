@@ -340,6 +340,15 @@ def test_gradients():
         assert (up - down) / (2 * eps) == pytest.approx(float(g[k].reshape(-1)[where]), rel=0.05, abs=2e-4), k
 
 
+def test_training_reads_whole_texts(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(_prose(rng, 4000) + ["vilebrat"] * (i % 2)) for i in range(6)]
+    ends, own = [], toxicity._score
+    monkeypatch.setattr(toxicity, "_score", lambda t, start, length, *rest: ends.append(int((start + length).max())) or own(t, start, length, *rest))
+    toxicity.train(pa.array(texts), [i % 2 for i in range(6)], epochs=2)
+    assert ends == [sum(len(t.split()) for t in texts)] * 2
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     bad = ["vilebrat", "vilecrut"]
