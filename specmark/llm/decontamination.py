@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specmark.llm import textbytes as tb
@@ -157,8 +157,8 @@ def _alignments(shared, least: float):
     def run(batches):
         items = shared.value
         for batch in batches:
-            ids = batch.column(0)
-            out = ([], [], [], [], [])
+            ids, keys = batch.column(0), batch.column(2)
+            out = ([], [], [], [], [], [])
             for at, _, data, offsets in tb.chunks(batch.column(1)):
                 w = tb.words(data, offsets, tb.FOLD)
                 h = w.hashes()
@@ -171,22 +171,37 @@ def _alignments(shared, least: float):
                 for a, b in zip([0, *edges.tolist()] if len(text) else [], [*edges.tolist(), len(text)]):
                     t, i = int(text[a]), int(item[a])
                     if found := align(h[w.firsts[t] : w.firsts[t + 1]], items.words[i], start[a:b], least):
-                        for column, value in zip(out, (ids[at + t].as_py(), items.ids[i], *found)):
+                        for column, value in zip(out, (ids[at + t].as_py(), items.ids[i], *found, keys[at + t].as_py())):
                             column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))],
-                names=["doc_id", "item_id", "score", "start_word", "end_word"],
+                [pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))],
+                names=["doc_id", "item_id", "score", "start_word", "end_word", "_key"],
             )
 
     return run
 
 
+_LEAKS = "doc_id long, item_id long, score double, start_word long, end_word long, _key long"
+
+
+def _key() -> Column:
+    """What tells rows without an id apart: the text, as its hash."""
+    return F.when(F.col("doc_id").cast("long").isNull(), F.xxhash64(F.col("text").cast("string")))
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, rare_share: float = 1e-4, least_seeds: int = 8, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """doc_id, item_id, score and the word span (end exclusive) for each item that a document has a copy of."""
+    return _keyed_leaks(docs, benchmark, least, rare_share, least_seeds, block_bytes).drop("_key")
+
+
+def _keyed_leaks(
+    docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, rare_share: float = 1e-4, least_seeds: int = 8, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """The leaks, with the key of documents without an id."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _key().alias("_key"))
     n_docs, size = rows.count(), benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     found = None
@@ -204,12 +219,13 @@ def find_leaks(
         rank[by] = np.arange(len(by)) - np.searchsorted(items.item[by], items.item[by])
         seeds = items.only((df <= rare_share * n_docs) | (rank < least_seeds))
         if len(seeds.gram):
-            one = rows.mapInArrow(_alignments(spark.sparkContext.broadcast(seeds), least), "doc_id long, item_id long, score double, start_word long, end_word long")
+            one = rows.mapInArrow(_alignments(spark.sparkContext.broadcast(seeds), least), _LEAKS)
             found = one if found is None else found.unionByName(one)
-    return spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long") if found is None else found
+    return spark.createDataFrame([], _LEAKS) if found is None else found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a copy of a benchmark item."""
-    leaked = materialize(find_leaks(docs, benchmark), "leaks").select(F.col("doc_id").alias("_d_id")).distinct()
-    return docs.join(leaked, docs["doc_id"].cast("long") == leaked["_d_id"], "left_anti")
+    """docs without those that hold a copy of a benchmark item; rows without an id go by their text."""
+    leaked = materialize(_keyed_leaks(docs, benchmark), "leaks").select(F.col("doc_id").alias("_d_id"), F.col("_key").alias("_d_key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(leaked["_d_id"]) & _key().eqNullSafe(leaked["_d_key"])
+    return docs.join(leaked, same, "left_anti")

@@ -78,6 +78,15 @@ def test_leaks(spark):
     assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0 and decontamination.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_without_an_id_go(spark):
+    rng = random.Random(5)
+    item = _prose(rng, 20)
+    rows = [(None, " ".join(_prose(rng, 30) + item)), (None, "clean text without an id"), (None, None), (1, " ".join(item)), (2, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = decontamination.drop_leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert sorted(map(repr, left.collect())) == sorted(repr(r) for r in docs.collect() if r.text in (None, "clean text without an id", "clean"))
+
+
 def test_smith_waterman_equals_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):
