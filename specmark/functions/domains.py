@@ -16,7 +16,6 @@ ACTIVE_COLUMN = "Emo"
 LINGUISTIC_COLUMNS = ("elongation", "ironie", "insulte", "mépris / haine", "argot", "abréviation", "interjection")
 CONTEXT_COLUMNS = ("ROLE", "HATE", "TARGET", "VERBAL_ABUSE", "INTENTION", "CONTEXT", "SENTIMENT")
 
-BASE_EMOTIONS, COMPLEX_EMOTIONS = EMOTIONS[:6], EMOTIONS[6:]
 UNIT_TYPES = ("SitEmo", "Autre")
 OTHER = "Autre"
 
