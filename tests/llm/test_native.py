@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import duckdb
@@ -57,8 +58,45 @@ def test_quality_adapts_to_its_group(spark):
 
 
 def test_quality_null_groups(spark):
-    rows = [(1, " ".join(map(str, range(40))), None, None, 1), (None, " ".join(map(str, range(40))), None, "s", 1)]
-    assert [r.kept for r in quality.quality_report(spark.createDataFrame(rows, SCHEMA)).collect()] == [True, True]
+    text = " ".join(map(str, range(40)))
+    rows = [(1, text, None, None, 1), (None, text, None, "s", 1), (1, text, None, None, 1), (1, text + " <###>" * 30, None, None, 1)]
+    assert sorted((r.doc_id or 0, r.n_words, r.kept) for r in quality.quality_report(spark.createDataFrame(rows, SCHEMA)).collect()) == [(0, 40, True), (1, 40, True), (1, 40, True), (1, 70, False)]
+
+
+def _exact(values, q):
+    return sorted(values)[int(q * (len(values) - 1))]
+
+
+def test_quality_sketches_are_exact_enough_and_merge(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(words) + rng.choice(("", "", ",", ".", "#$")) for _ in range(rng.randint(12, 90))) for _ in range(700)]
+    docs = _docs(spark, texts + texts[:90] * 3).withColumn("source", F.when(F.col("doc_id") % 700 < 200, "a").otherwise("b"))
+    signals = quality.quality_signals(docs, ["doc_id", "lang", "source"])
+    whole = quality.sketch_groups(signals)
+    # batches merge by adding, and rows dealt anew give the same sketch
+    parts = [quality.sketch_groups(signals.filter(F.col("source") == s)) for s in "ab"]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(whole) == rows(parts[0].unionByName(parts[1])) == rows(quality.sketch_groups(quality.quality_signals(docs.repartition(7, "text"), ["lang", "source"])))
+    got = {r.source: r for r in quality.sketch_quantiles(whole, "source", quantiles={"low": 0.25, "high": 0.75, "top": 0.99}).collect()}
+    by = {}
+    for r in signals.filter("NOT _q_base_failed").dropDuplicates(["source", "_q_key"]).collect():
+        by.setdefault(r.source, []).append(r)
+    for source, found in by.items():
+        assert got[source]._q_n == len(found)
+        for i, s in enumerate(quality.SIGNALS):
+            values = [r[f"_q_{s.name}"] for r in found]
+            for name, q in (("low", 0.25), ("high", 0.75), ("top", 0.99)):
+                assert abs(got[source][f"_q_{name}{i}"] - _exact(values, q)) <= max(quality.ACCURACY * 1.001 * _exact(values, q), quality.LEAST)
+
+
+@pytest.mark.skipif(not (DATA / "sf0.1").exists(), reason="the driver's tables are not here")
+def test_quality_thresholds_differ_between_groups(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")
+    fences = quality.adaptive_thresholds(quality.sketch_groups(quality.quality_signals(docs, ["lang", "source"]))).collect()
+    for s in quality.SIGNALS:
+        values = {r[f"_q_f_{s.name}"] for r in fences}  # some meet in a bucket
+        assert 3 * len(values) > len(fences) and max(values) > 1.15 * min(values)
 
 
 @needs_data
