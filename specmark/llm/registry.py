@@ -45,7 +45,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract_pages(table(spark, sf_dir, "pages"))
+    return html.extract_pages(table(spark, sf_dir, "pages")).drop("by_wrapper")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
