@@ -3,16 +3,25 @@
 The benchmark is a stated query set. It is taken in blocks of bounded size (``block_bytes`` of text, by a hash of the
 item), which alone are sent to the executors; each block meets all documents in two narrow passes without a shuffle:
 
-1. The document frequency of every benchmark n-gram is counted over all documents, but for documents that share several
-   n-grams with its item: what a leak repeats says nothing of how common the n-gram is by itself.
-2. An item's seeds are its n-grams of a frequency of at most ``rare_share`` of the documents, and its ``least_seeds``
-   rarest in any case. Seeds found in a document propose alignments by their diagonal; each proposed passage is aligned with the item by Smith-Waterman (match 2, mismatch
-   and gap -1) unless the words they share cannot reach the threshold. The score is divided by that of the item
-   with itself: an exact copy has 1, and edited or paraphrased copies lose by what was changed.
+1. The document frequency of every benchmark n-gram of four, three and two words is counted over all documents, but for
+   documents that share several n-grams of four words with its item: what a leak repeats says nothing of how common the
+   n-gram is by itself.
+2. An item's seeds are its rare n-grams, and the ``least_seeds`` rarest of each length in any case. Rare is what is in
+   ``rare_share`` of the documents at most, or in ``rare_floor`` documents where that is more, but never in more than
+   ``rare_ceiling``: the bounds in documents keep the seeds of small corpora from being few and those of large ones from
+   being common. A document that holds a seed of three or four words of an item, or two of two words, is a candidate:
+   an alignment that reaches the threshold without two words in a row is all gaps. Its seeds propose alignments by their
+   diagonal; each proposed passage is aligned with the item by Smith-Waterman (match 2, mismatch and gap -1) unless the
+   words they share cannot reach the threshold. The score is divided by that of the item with itself: an exact copy has
+   1, and edited or paraphrased copies lose by what was changed. The span of words is that of the alignment, whose start
+   is found by aligning backwards from its end.
 
 Words are compared with case, punctuation and white space folded. Null and empty texts and items match nothing. Items
 shorter than an n-gram are sought as a whole. Repeated documents or items give a row each time. Ties between passages go
-to the first. Documents without a match give no row. Other columns are unused by ``find_leaks`` and kept by ``drop_leaks``.
+to the first. Documents without a match give no row, an empty table on either side gives none at all. A very long text
+is read whole, in time linear in its words but for its candidates. Other columns are unused by ``find_leaks`` and kept by
+``drop_leaks``, whatever their names; rows go by id and text, so that neither a null id nor one that unlike texts share
+misleads.
 """
 
 from __future__ import annotations
@@ -27,7 +36,7 @@ from pyspark.sql import functions as F
 from specmark.llm import textbytes as tb
 from specmark.llm.common import materialize
 
-GRAM = 4
+GRAMS = (4, 3, 2)
 LEAST_SCORE = 0.5
 SEVERAL = 4
 BLOCK_BYTES = 16 << 20
@@ -35,14 +44,19 @@ BLOCK_BYTES = 16 << 20
 
 @dataclass
 class Items:
-    """A block of the benchmark: ids, words of each item, and its n-grams (hash, item, place), sorted by hash."""
+    """A block of the benchmark: ids, words of each item, and its n-grams (hash, item, place, words), sorted by hash."""
 
     ids: list
     words: list[np.ndarray]
     gram: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    sizes: tuple[int, ...]
+    size: np.ndarray
+
+    @property
+    def whole(self) -> np.ndarray:
+        """Which n-grams are of the longest length that the item has."""
+        return self.size == np.minimum(GRAMS[0], np.fromiter(map(len, self.words), np.int64, len(self.words)))[self.item]
 
     def __post_init__(self):
         self.filter = np.zeros(1 << 20, bool)
@@ -55,35 +69,36 @@ class Items:
         return maybe[self.gram[np.minimum(at, len(self.gram) - 1)] == grams[maybe]]
 
     def only(self, keep: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.gram[keep], self.item[keep], self.place[keep], self.sizes)
+        return Items(self.ids, self.words, self.gram[keep], self.item[keep], self.place[keep], self.size[keep])
 
 
 def build_items(rows: list) -> Items:
     """rows: (item_id, text)."""
-    ids, words, gram, item, place, sizes = [], [], [], [], [], set()
+    ids, words, gram, item, place, size = [], [], [], [], [], []
     for item_id, text in rows:
         data = np.frombuffer((text or "").encode(), np.uint8)
         w = tb.words(data, np.array([0, len(data)]), tb.FOLD).hashes()
         if len(w):
-            n = min(GRAM, len(w))
-            g = tb.ngrams(w, n) + np.uint64(n)
-            sizes.add(n)
-            gram.append(g)
-            item.append(np.full(len(g), len(ids)))
-            place.append(np.arange(len(g)))
+            for n in sorted({min(n, len(w)) for n in GRAMS}):
+                g = tb.ngrams(w, n) + np.uint64(n)
+                gram.append(g)
+                item.append(np.full(len(g), len(ids)))
+                place.append(np.arange(len(g)))
+                size.append(np.full(len(g), n))
             ids.append(item_id)
             words.append(w)
     if not ids:
-        return Items([], [], np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), ())
-    g, i, p = map(np.concatenate, (gram, item, place))
+        none = np.zeros(0, np.int64)
+        return Items([], [], none.astype(np.uint64), none, none, none)
+    g, i, p, n = map(np.concatenate, (gram, item, place, size))
     order = np.argsort(g, kind="stable")
-    return Items(ids, words, g[order], i[order], p[order], tuple(sorted(sizes)))
+    return Items(ids, words, g[order], i[order], p[order], n[order])
 
 
 def _hits(w: tb.Words, h: np.ndarray, items: Items):
     """(place, gram) of each n-gram of these texts that the block has."""
     places, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for n in items.sizes:
+    for n in np.unique(items.size).tolist():
         g = tb.ngrams(h, n) + np.uint64(n)
         at = items.where(g)
         at = at[tb.inside(w.firsts, n)[at]]
@@ -131,21 +146,24 @@ def align(words: np.ndarray, item: np.ndarray, starts: np.ndarray, least: float)
             continue
         score, end = smith_waterman(item, passage)
         if score >= least * 2 * n and (best is None or score / (2 * n) > best[0]):
-            best = (score / (2 * n), max(0, low + end - n), low + end)
+            _, back = smith_waterman(item[::-1], passage[:end][::-1])
+            best = (score / (2 * n), low + end - back, low + end)
     return best
 
 
 def _frequencies(shared):
     def run(batches):
         items = shared.value
-        grams = np.bincount(items.item, minlength=len(items.ids))
+        whole = items.whole
+        grams = np.bincount(items.item[whole], minlength=len(items.ids))
         for batch in batches:
             for _, n, data, offsets in tb.chunks(batch.column(1)):
                 w = tb.words(data, offsets, tb.FOLD)
                 text, entry, _ = _pairs(w, w.hashes(), items)
                 once = np.unique(entry * n + text)
                 entry, text = once // n, once % n
-                pair, of, held = np.unique(text * len(items.ids) + items.item[entry], return_inverse=True, return_counts=True)
+                pair, of = np.unique(text * len(items.ids) + items.item[entry], return_inverse=True)
+                held = np.bincount(of, weights=whole[entry], minlength=len(pair))
                 alone = held[of] < np.minimum(SEVERAL, grams[items.item[entry]])
                 entries, counts = np.unique(entry[alone], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(entries.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["entry", "n"])
@@ -153,6 +171,24 @@ def _frequencies(shared):
     return run
 
 
+def _candidates(text: np.ndarray, entry: np.ndarray, place: np.ndarray, items: Items):
+    """(text, item, entries, places) of each document and item with seeds enough, by text and item."""
+    item = items.item[entry]
+    order = np.lexsort((entry, item, text))
+    text, item, entry, place = text[order], item[order], entry[order], place[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0)
+    first = np.nonzero(new)[0]
+    # a seed of two words counts half, and once; a short item is one n-gram
+    fresh = new.copy()
+    fresh[1:] |= np.diff(entry) != 0
+    weight = np.where(fresh, np.where((items.size[entry] > 2) | items.whole[entry], 2, 1), 0)
+    enough = np.add.reduceat(weight, first) >= 2 if len(first) else np.zeros(0, bool)
+    ends = np.append(first[1:], len(text))
+    for a, b in zip(first[enough].tolist(), ends[enough].tolist()):
+        yield int(text[a]), int(item[a]), entry[a:b], place[a:b]
+
+
 def _alignments(shared, least: float):
     def run(batches):
         items = shared.value
@@ -162,15 +198,8 @@ def _alignments(shared, least: float):
             for at, _, data, offsets in tb.chunks(batch.column(1)):
                 w = tb.words(data, offsets, tb.FOLD)
                 h = w.hashes()
-                text, entry, place = _pairs(w, h, items)
-                item = items.item[entry]
-                start = place - w.firsts[text] - items.place[entry]
-                order = np.lexsort((item, text))
-                text, item, start = text[order], item[order], start[order]
-                edges = np.nonzero(np.diff(text) | np.diff(item))[0] + 1 if len(text) else np.zeros(0, np.int64)
-                for a, b in zip([0, *edges.tolist()] if len(text) else [], [*edges.tolist(), len(text)]):
-                    t, i = int(text[a]), int(item[a])
-                    if found := align(h[w.firsts[t] : w.firsts[t + 1]], items.words[i], start[a:b], least):
+                for t, i, entry, place in _candidates(*_pairs(w, h, items), items):
+                    if found := align(h[w.firsts[t] : w.firsts[t + 1]], items.words[i], place - w.firsts[t] - items.place[entry], least):
                         for column, value in zip(out, (ids[at + t].as_py(), items.ids[i], *found, keys[at + t].as_py())):
                             column.append(value)
             yield pa.RecordBatch.from_arrays(
@@ -185,24 +214,24 @@ _LEAKS = "doc_id long, item_id long, score double, start_word long, end_word lon
 
 
 def _key() -> Column:
-    """What tells rows without an id apart: the text, as its hash."""
-    return F.when(F.col("doc_id").cast("long").isNull(), F.xxhash64(F.col("text").cast("string")))
+    """What tells rows of one id, or of none, apart: the text, as its hash."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
-def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, rare_share: float = 1e-4, least_seeds: int = 8, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, **options) -> DataFrame:
     """doc_id, item_id, score and the word span (end exclusive) for each item that a document has a copy of."""
-    return _keyed_leaks(docs, benchmark, least, rare_share, least_seeds, block_bytes).drop("_key")
+    return _keyed_leaks(docs, benchmark, least, **options).drop("_key")
 
 
 def _keyed_leaks(
-    docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, rare_share: float = 1e-4, least_seeds: int = 8, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """The leaks, with the key of documents without an id."""
+    docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE,
+    rare_share: float = 1e-4, rare_floor: int = 50, rare_ceiling: int = 100_000, least_seeds: int = 8, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The leaks, with the key of their texts."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _key().alias("_key"))
     n_docs, size = rows.count(), benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rare = min(max(rare_share * n_docs, rare_floor), rare_ceiling)
     blocks = -(-size // block_bytes) or 1
     found = None
     for block in range(blocks):
@@ -214,18 +243,19 @@ def _keyed_leaks(
         table = counted.toArrow()  # at most the n-grams of the block
         df = np.zeros(len(items.gram), np.int64)
         df[table["entry"].to_numpy()] = table["n"].to_numpy()
-        by = np.lexsort((df, items.item))
+        # the place of each n-gram among those of its item and length, the rarest first
+        group = items.item * (GRAMS[0] + 1) + items.size
+        by = np.lexsort((df, group))
         rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by)) - np.searchsorted(items.item[by], items.item[by])
-        seeds = items.only((df <= rare_share * n_docs) | (rank < least_seeds))
-        if len(seeds.gram):
-            one = rows.mapInArrow(_alignments(spark.sparkContext.broadcast(seeds), least), _LEAKS)
-            found = one if found is None else found.unionByName(one)
+        rank[by] = np.arange(len(by)) - np.searchsorted(group[by], group[by])
+        seeds = items.only((df <= rare) | (rank < least_seeds))
+        one = rows.mapInArrow(_alignments(spark.sparkContext.broadcast(seeds), least), _LEAKS)
+        found = one if found is None else found.unionByName(one)
     return spark.createDataFrame([], _LEAKS) if found is None else found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a copy of a benchmark item; rows without an id go by their text."""
+    """docs without the rows that hold a copy of a benchmark item."""
     leaked = materialize(_keyed_leaks(docs, benchmark), "leaks").select(F.col("doc_id").alias("_d_id"), F.col("_key").alias("_d_key")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(leaked["_d_id"]) & _key().eqNullSafe(leaked["_d_key"])
+    same = docs["doc_id"].cast("long").eqNullSafe(leaked["_d_id"]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(leaked["_d_key"])
     return docs.join(leaked, same, "left_anti")

@@ -19,8 +19,10 @@ shares as the one that reports it; dense groups thus do not multiply rows. Links
 ``components``.
 
 Null texts count as empty and have fingerprint zero, linked like any other. Rows with a null doc_id are fingerprinted
-and placed in a component, which the least non-null doc_id names. Repeated rows get a row each. Input columns other
-than doc_id and text are ignored by ``simhash_groups`` and kept by ``drop_near_duplicates``.
+and placed in a component, which the least non-null doc_id names. Repeated rows get a row each. Ties cannot be: links are a
+matter of bits, and a component's name is its least id. A very long text takes time linear in its words. An empty table
+gives no rows. Input columns other than doc_id and text are ignored by ``simhash_groups`` and kept by
+``drop_near_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specmark.llm.common import materialize
+from specmark.llm.common import materialize, packed, unpacked
 from specmark.llm.components import components
 
 SHINGLE = 4
@@ -67,14 +69,15 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary())
+        texts = batch.column(batch.num_columns - 1).cast(pa.large_binary())
         fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], names=[*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *carry: Column) -> DataFrame:
+    """The carried columns of longs (doc_id if there are none) and fp."""
+    rows = docs.select(*(carry or [F.col("doc_id").cast("long")]), F.col("text").cast("string").alias("_s_text"))
+    return rows.mapInArrow(_fingerprints, ", ".join(f"{c} long" for c in rows.columns[:-1]) + ", fp long")
 
 
 @cache
@@ -185,14 +188,20 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+def _labels(classes: DataFrame) -> DataFrame:
+    """classes (fp, ...): with the label of each fingerprint's component."""
+    spark = classes.sparkSession
+    # a key per codeword makes a hundred rows of each: dealt out, however small the file is
+    links = fingerprint_links(classes.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = classes.join(labels, F.col("fp") == F.col("node"), "left").select(*classes.columns, F.coalesce("component", "fp").alias("label"))
+    return materialize(placed, "simhash-labels")
+
+
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     fps = materialize(fingerprints(docs), "simhash")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    links = fingerprint_links(classes.select("fp"))
-    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
-    placed = materialize(placed, "simhash-labels")
+    placed = _labels(materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes"))
     # written, so that the join can split a component that holds a good part of all
     named = materialize(placed.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-names")
     by_fp = materialize(placed.join(named, "label").select(F.col("fp").alias("_fp"), "component_id"), "simhash-components")
@@ -202,14 +211,15 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the documents that a smaller doc_id of their component stands for; one row of each that stays.
-
-    Of rows without a doc_id, those that no other row stands for stay, one of each text.
-    """
-    # a row without an id goes by its text, as an id above all others
-    by_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    own = F.coalesce(F.col("doc_id").cast("long"), by_text)
-    groups = materialize(simhash_groups(docs.select(own.alias("doc_id"), "text")), "simhash-groups")
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_k_id")).distinct()
-    named = docs.withColumn("_k_own", own)
-    return named.join(kept, named["_k_own"] == kept["_k_id"], "left_semi").dropDuplicates(["_k_own"]).drop("_k_own")
+    """docs with one row of each component: that of the least doc_id, rows without one coming last, and then of the text
+    with the least hash. Rows go by id and text, so that unlike texts under one id, or under none, are judged apart."""
+    # in order: without an id or not, the id, the text
+    keys = [F.col("doc_id").isNull().cast("long").alias("_k_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_k_id"), F.xxhash64("text").alias("_k_text")]
+    names = ["_k_none", "_k_id", "_k_text"]
+    fps = materialize(fingerprints(docs, *keys), "simhash")
+    placed = _labels(materialize(fps.groupBy("fp").agg(F.min(F.struct(*names)).alias("least")), "simhash-classes"))
+    stays = placed.groupBy("label").agg(F.min("least").alias("least")).select(*(F.col("least")[n].alias(f"{n}s") for n in names))
+    # rows that repeat become one before the shuffle by key, which is the only one that texts take part in
+    once = packed(docs, *keys).dropDuplicates(names)
+    kept = once.join(materialize(stays, "simhash-stays"), [F.col(n) == F.col(f"{n}s") for n in names], "left_semi")
+    return unpacked(kept, docs.columns)

@@ -80,6 +80,54 @@ def test_leaks(spark):
     assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0 and decontamination.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def _edited(rng, words, share, even):
+    """A share of the words replaced, dropped or with a word before them; evenly spread, or anywhere."""
+    out = []
+    for k, w in enumerate(words):
+        if (int((k + 1) * share) > int(k * share)) if even else rng.random() < share:
+            out += rng.choice(([f"z{rng.randint(0, 99)}"], [], [f"z{rng.randint(0, 99)}", w]) if not even else ([f"z{rng.randint(0, 99)}"],))
+        else:
+            out.append(w)
+    return out
+
+
+def test_edited_copies_are_found_in_a_small_corpus(spark):
+    """Against the alignment of every item with every text, in a vocabulary so small that n-grams are frequent."""
+    rng = random.Random(9)
+    prose = lambda n: [f"w{min(rng.randint(0, 150), rng.randint(0, 150))}" for _ in range(n)]
+    items = [prose(rng.randint(12, 40)) for _ in range(60)]
+    shares = (0.1, 0.2, 0.25, 0.3, 0.35)
+    texts = [prose(60) + _edited(rng, items[i % 60], shares[i // 60], i % 2) + prose(60) for i in range(300)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.find_leaks(_docs(spark, map(" ".join, texts)), bench).collect()}
+    number = {w: k for k, w in enumerate(sorted({w for t in (*texts, *items) for w in t}))}
+    as_numbers = lambda w: np.array([number[x] for x in w])
+    numbered = [as_numbers(t) for t in texts]
+    want = {}
+    for i, item in enumerate(items):
+        of = as_numbers(item)
+        for d, t in enumerate(numbered):
+            if np.isin(of, t).sum() >= len(of) / 2 and (score := decontamination.smith_waterman(of, t)[0]) >= len(of):
+                want[d, i] = score / (2 * len(of))
+    found = {k for k in want if k in got}
+    for a in range(5):
+        planted = {k for k in want if k[0] // 60 == a and k[1] == k[0] % 60}
+        assert len(planted) > 30 and len(planted & found) >= 0.95 * len(planted)
+    assert set(got) <= set(want) and len(found) >= 0.95 * len(want)
+    for (d, i), r in got.items():
+        assert r.score <= want[d, i] + 1e-9
+        # the span holds the whole alignment
+        assert decontamination.smith_waterman(as_numbers(items[i]), numbered[d][r.start_word : r.end_word])[0] == round(r.score * 2 * len(items[i]))
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    rng = random.Random(6)
+    item, clean = _prose(rng, 20), " ".join(_prose(rng, 40))
+    docs = spark.createDataFrame([(4, " ".join(item)), (4, clean), (4, clean), (None, clean)], "doc_id long, text string").withColumn("_d_id", F.lit(4))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in decontamination.drop_leaks(docs, bench).collect()) == [(0, clean), (4, clean), (4, clean)]
+
+
 def test_leaks_without_an_id_go(spark):
     rng = random.Random(5)
     item = _prose(rng, 20)
@@ -101,6 +149,19 @@ def test_smith_waterman_equals_brute_force():
 
 
 # --- simhash ---
+def test_near_duplicates_go_by_id_and_text(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(_prose(rng, 80)) for _ in range(3))
+    near = a + " more"
+    while bin(simhash.fingerprint(a.encode()) ^ simhash.fingerprint(near.encode())).count("1") > simhash.MOST_BITS:
+        near = a + f" x{rng.randint(0, 10**6)}"
+    rows = [(4, a), (4, b), (5, c), (4, b), (None, a), (None, c), (None, near), (7, near), (None, "alone at last"), (None, "alone at last"), (3, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_k_id", F.lit("clash")).withColumn("_row", F.lit(1))
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(4, a), (4, b), (5, c), (0, "alone at last"), (2, "")])
+
+
 def _fingerprint(text):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
