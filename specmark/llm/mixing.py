@@ -17,8 +17,11 @@ Work that grows with the corpus is keyed by (source, block), which no hot source
 few (they are what weights are given for); their table has one row each. All choices are hashes of ids and the seed,
 so reruns agree.
 
-Null texts and texts without words have size 0 and are never taken. A null source is a source of its own, last in
-order. Repeated rows share the id's place in the order and each counts its own size. An empty table gives no rows.
+Rows go by their id and text, so unlike texts under one id, or under none, are dealt apart. Null texts and texts without
+words have size 0 and are never taken. A null source is a source of its own, last in order. Repeated rows have one place
+in the order and each counts its own size; which of them a border cuts makes no difference. A very long text is one
+document like others. An empty table gives no rows. Other columns are unused by ``mix`` and kept by ``mixed_rows``, but
+for those of the names that it adds.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specmark.llm.common import WORD, materialize, packed, text_of, words_of
+from specmark.llm.common import WORD, materialize, text_of, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -38,12 +41,13 @@ def _same_source(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def sized(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def sized(docs: DataFrame, *carry: Column) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("_m_id"),
         F.col("source").cast("string").alias("_m_source"),
+        F.xxhash64(F.col("doc_id"), F.col("text")).alias("_m_key"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("_m_size"),
-        *(carry or []),
+        *carry,
     )
 
 
@@ -179,15 +183,18 @@ def shard_quotas(draws: DataFrame, shards: int, seed: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, shards: int = 16, block_docs: int = 1024, seed: int = 42) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, and the shard of each copy taken."""
+def _mix(docs: DataFrame, shards: int, block_docs: int, seed: int, with_rows: bool) -> DataFrame:
+    """One row per document: _m_id, _m_key, _m_size, its source's size and target, _taken words, the _shards of the copies
+    taken and, if asked for, _row."""
     sizes = materialize(sized(docs), "mix-sizes")
     targets = materialize(source_targets(sizes), "mix-targets")
     # ids are hashed alike everywhere: block, order of blocks, order in a block
     n_blocks = F.ceil(F.col("_t_docs") / block_docs).cast("long")
-    placed = sizes.join(targets, _same_source("_m_source", "_t_source")).select(
-        "_m_id", "_m_size", "_t_rank", F.pmod(F.xxhash64("_m_id", F.lit(seed)), n_blocks).alias("_b")
-    )
+    def placed_in(rows: DataFrame) -> DataFrame:
+        own = [c for c in rows.columns if c != "_m_source"]
+        return rows.join(targets, _same_source("_m_source", "_t_source")).select(*own, "_t_rank", F.pmod(F.xxhash64("_m_key", F.lit(seed)), n_blocks).alias("_b"))
+
+    placed = placed_in(sizes)
     blocks = placed.groupBy("_t_rank", "_b").agg(F.sum("_m_size").alias("_b_size")).withColumn("_b_hash", F.xxhash64("_b", "_t_rank", F.lit(seed + 1)))
     blocks = materialize(blocks, "mix-blocks")
     # prefix sums and ranks of blocks in hashed order: first over 4096 ranges of the hash, then inside each
@@ -242,9 +249,11 @@ def mix(docs: DataFrame, shards: int = 16, block_docs: int = 1024, seed: int = 4
         ),
         "mix-shards",
     )
+    if with_rows:
+        placed = placed_in(sized(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")))
     joined = placed.join(dealt, (F.col("_t_rank") == F.col("_o_rank")) & (F.col("_b") == F.col("_o_b")))
     at_border = (F.col("_o_room") > 0) & (F.col("_o_room") < F.col("_b_size"))
-    w_docs = W.partitionBy("_o_rank", "_o_b").orderBy(F.xxhash64("_m_id", F.lit(seed + 2)), "_m_id", "_m_size")
+    w_docs = W.partitionBy("_o_rank", "_o_b").orderBy(F.xxhash64("_m_key", F.lit(seed + 2)), "_m_key", "_m_id", "_m_size")
     inside = joined.filter(at_border).withColumn(
         "_once_more",
         F.greatest(
@@ -257,40 +266,45 @@ def mix(docs: DataFrame, shards: int = 16, block_docs: int = 1024, seed: int = 4
     )
     outside = joined.filter(~at_border).withColumn("_once_more", F.when(F.col("_o_room") > 0, F.col("_m_size")).otherwise(F.lit(0).cast("long")))
     return outside.unionByName(inside).select(
-        F.col("_m_id").alias("doc_id"),
-        F.col("_m_size").alias("size"),
-        F.col("_o_source_size").alias("source_size"),
-        F.col("_t_target").alias("target"),
-        (F.col("_t_copies") * F.col("_m_size") + F.col("_once_more")).alias("taken"),
-        F.when(F.col("_once_more") > 0, F.col("_o_shards")).otherwise(F.slice("_o_shards", 1, F.col("_t_copies"))).alias("shards"),
+        "_m_id",
+        "_m_key",
+        "_m_size",
+        "_o_source_size",
+        "_t_target",
+        (F.col("_t_copies") * F.col("_m_size") + F.col("_once_more")).alias("_taken"),
+        F.when(F.col("_once_more") > 0, F.col("_o_shards")).otherwise(F.slice("_o_shards", 1, F.col("_t_copies"))).alias("_shards"),
+        *(["_row"] if with_rows else []),
     )
 
 
+def mix(docs: DataFrame, shards: int = 16, block_docs: int = 1024, seed: int = 42) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, and the shard of each copy taken."""
+    names = {"_m_id": "doc_id", "_m_size": "size", "_o_source_size": "source_size", "_t_target": "target", "_taken": "taken", "_shards": "shards"}
+    return _mix(docs, shards, block_docs, seed, False).select(*(F.col(c).alias(n) for c, n in names.items()))
+
+
+ADDED = ("copy", "shard", "words", "local_order")
+
+
 def mixed_rows(docs: DataFrame, shards: int = 16, block_docs: int = 1024, seed: int = 42) -> DataFrame:
-    """One row per copy that the mix takes: doc_id, copy, shard, words, and local_order, by which a shard is shuffled."""
-    taken = mix(docs, shards, block_docs, seed)
-    whole = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
-    return (
-        taken.filter(F.col("taken") > 0)
-        .select("doc_id", "size", "taken", F.posexplode("shards").alias("copy", "shard"))
-        .select("doc_id", "copy", "shard", whole.alias("words"), F.xxhash64("doc_id", "copy", F.lit(seed + 3)).alias("local_order"))
-        .filter(F.col("words") > 0)
-    )
+    """The mix: a row of docs' columns for each copy that it takes, and its copy, shard, words and local_order, by which a
+    shard is shuffled. A document that the border of its source cuts keeps its first words. Texts move once, to the blocks'
+    table where that is too large to be sent to them."""
+    taken = _mix(docs, shards, block_docs, seed, True).filter("_taken > 0")
+    whole = F.least(F.col("_m_size"), F.col("_taken") - F.col("_copy") * F.col("_m_size"))
+    copies = taken.select("_row", "_m_id", "_m_key", "_m_size", "_taken", F.posexplode("_shards").alias("_copy", "_shard")).withColumn("_words", whole).filter("_words > 0")
+    cut = F.array_join(F.slice(words_of(F.col("_row.text")), F.lit(1), F.col("_words").cast("int")), " ")
+    text = F.when(F.col("_words") < F.col("_m_size"), cut).otherwise(F.col("_row.text"))
+    added = (F.col("_copy"), F.col("_shard"), F.col("_words"), F.xxhash64("_m_key", "_copy", F.lit(seed + 3)))
+    kept = ((text if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns if c not in ADDED)
+    return copies.select(*kept, *(c.alias(n) for c, n in zip(added, ADDED)))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, block_docs: int = 1024, seed: int = 42) -> None:
     """The mix as files: docs' columns for each copy taken, in one folder per shard, in the shard's shuffled order.
 
-    Rows are dealt by ranges of (shard, order), so that a shard is as many sorted files as its size needs. A document
-    that the border of its source cuts keeps its first words. doc_id must be unique and not null.
+    Rows are dealt by ranges of (shard, order), so that a shard is as many sorted files as its size needs.
     """
-    rows = mixed_rows(docs, shards, block_docs, seed).withColumnsRenamed({"doc_id": "_x_id", "shard": "_x_shard", "words": "_x_words", "local_order": "_x_order"})
-    size = F.regexp_count(text_of(), F.lit(WORD))
-    source = packed(docs, F.col("doc_id").alias("_p_id"), F.col("text").alias("_p_text"), size.alias("_p_size"))
-    joined = source.join(rows, F.col("_p_id") == F.col("_x_id"))
-    cut = F.array_join(F.slice(words_of(F.col("_p_text")), F.lit(1), F.col("_x_words").cast("int")), " ")
-    text = F.when(F.col("_x_words") < F.col("_p_size"), cut).otherwise(F.col("_p_text"))
-    out = joined.select(
-        *((text if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns), F.col("_x_shard").alias("_shard"), F.col("_x_order").alias("_order")
-    )
-    out.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").drop("_order").write.mode("overwrite").partitionBy("_shard").parquet(path)
+    rows = mixed_rows(docs, shards, block_docs, seed).drop("copy", "words").withColumnRenamed("shard", "_shard")
+    out = rows.repartitionByRange("_shard", "local_order").sortWithinPartitions("_shard", "local_order")
+    out.drop("local_order").write.mode("overwrite").partitionBy("_shard").parquet(path)

@@ -242,8 +242,6 @@ def _check_mix(docs, **options):
 
 
 def test_mix(spark):
-    import random
-
     rng = random.Random(2)
     sources = ["a"] * 200 + ["b"] * 40 + ["ç"] * 7 + ["z"] * 90 + [None] * 20 + ["empty"] * 3
     rows = [(i, None if s == "empty" else "w " * rng.randint(0, 60), "en", s, 1) for i, s in enumerate(sources)]
@@ -257,6 +255,31 @@ def test_mix(spark):
     assert {r.shard for r in drawn.select("shard").distinct().collect()} == set(range(5))
 
 
+def test_mix_goes_by_id_and_text(spark):
+    rows = [(None, f"n{i} " * 10, "en", "a", 1) for i in range(80)] + [(7, f"s{i} " * 10, "en", "a", 1) for i in range(80)] + [(9, "same " * 10, "en", None, 1)] * 5
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("shard", F.lit("clash")).withColumn("_row", F.lit(1)).withColumn("_words", F.lit(2))
+    out = mixing.mixed_rows(docs, shards=4, block_docs=8).collect()
+    words = collections.Counter()
+    for r in out:
+        assert r.words == len(r.text.split()) and len(set(r.text.split())) == 1 and isinstance(r.shard, int) and r._row == 1
+        words[r.source] += r.words
+    sizes = [160 * 10, 5 * 10]
+    assert [words["a"], words[None]] == [pytest.approx(t, abs=1) for t in _targets(sizes)]
+    # null ids are spread over blocks and shards like others
+    assert {r.shard for r in out if r.doc_id is None and r.source == "a"} == set(range(4))
+
+
+def test_quotas_add_up(spark):
+    draws = {1: 1000, 2: 37, 3: 0, 4: 250, 5: 1}
+    df = spark.createDataFrame(list(draws.items()), "_t_rank int, _t_draws long")
+    ends = {r._s_rank: list(r._s_ends) for r in mixing.shard_quotas(df, 6, 42).collect()}
+    assert {k: v[-1] for k, v in ends.items()} == draws and all(v == sorted(v) and len(v) == 6 for v in ends.values())
+    per_shard = [sum(v[i] - (v[i - 1] if i else 0) for v in ends.values()) for i in range(6)]
+    assert sum(per_shard) == sum(draws.values()) and max(per_shard) - min(per_shard) <= 3
+    # each source is spread as drawing without replacement spreads it: within six standard deviations of its share
+    assert all(abs(v[0] - n / 6) <= 6 * math.sqrt(max(n, 1) * 5 / 36) for k, n in draws.items() for v in [ends[k]])
+
+
 def test_mix_edge_cases(spark):
     _check_mix(_docs(spark, EDGE), block_docs=2)
     assert mixing.mix(_docs(spark, EDGE).limit(0)).count() == 0
