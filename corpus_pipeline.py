@@ -4,11 +4,12 @@
 2. near_dedup: one document of each near-duplicate group stays.
 3. decontaminate: documents that hold a copy of a benchmark item go.
 4. redact_secrets: each secret in a text is replaced by its kind in brackets, and n_chars follows.
-5. mix_sources: the rows of the mix, one for each copy of a document that it takes, with shard and order in the shard.
+5. mix_sources: the mix, a row with its text for each copy of a document that it takes, with shard and order in the shard.
 
-All but the last return the columns of ``documents``. Nulls, empty and long texts, ties and repeated rows are treated
-as the operators say: a document without words is rejected by stage 1, repeated rows leave one row in stage 2. An empty
-table stays empty through all stages.
+All but the last return the columns of ``documents``, and any others that the table has. Nulls, empty and long texts, ties
+and repeated rows are treated as the operators say: a document without words is rejected by stage 1, repeated rows leave
+one row in stage 2; rows go by id and text, so that none is lost or kept for an id that is null or that unlike texts
+share. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
