@@ -2,25 +2,32 @@
 
 From each rule's regular expression a Boolean query over trigrams is derived: an OR of ANDs of trigrams that any match
 must contain (folded to lower case). The index holds a posting (gram, document) for each trigram that some query
-mentions. Postings are intersected per document with bit masks (one bit per trigram of a conjunction, combined by
-bit_or before and after the shuffle), and only candidates are verified by the regular expression. Rules without
-mandatory trigrams scan every text. Verification shuffles the text of documents that meet a query's condition only.
+mentions; it is written, can be kept (``trigram_index``) and answers other rules as far as it holds their trigrams. Postings are
+intersected per document with bit masks (one bit per trigram of a conjunction, combined by bit_or before and after the
+shuffle), and only the candidates that are left are verified by the regular expression. Rules without mandatory trigrams
+scan every text. So that the texts of all documents need not move to meet the candidates, those without the rarest
+trigram of some conjunction, by the index's own counts, stay where they are.
 
 Offsets are code points, end exclusive. Matches of a rule are leftmost and non-overlapping; those that are too short
-are dropped after matching. Null texts count as empty and have no spans. Repeated rows each get the same spans. Input
-columns other than doc_id and text are ignored by ``secret_spans`` and kept by ``redact_secrets``.
+are dropped after matching. What lies between and in the matches gives their offsets by sums in order, over rows of
+numbers, so that a very long text with very many matches takes time in proportion to them. Null texts count as empty and
+have no spans. Ties of spans go to the kind that is listed first. Repeated rows each get the same spans; unlike texts
+under one id are told apart. An empty table gives no rows. Input columns other than doc_id and text are ignored by
+``secret_spans`` and kept by ``redact_secrets``, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from re import _constants as C
 from re import _parser as P
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specmark.llm.common import computed_once, packed, text_of, unpacked
+from specmark.llm.common import computed_once, materialize, packed, text_of, unpacked
 
 
 @dataclass(frozen=True)
@@ -142,30 +149,35 @@ def trigram_query(pattern: str) -> list[list[str]] | None:
     return None if frozenset() in query else sorted(sorted(x) for x in query)
 
 
-def _terms(rules: tuple[Rule, ...]) -> list[tuple[int, int, list[str]]]:
-    return [(r, c, grams) for r, rule in enumerate(rules) for c, grams in enumerate(trigram_query(rule.pattern) or [])]
+def trigrams(rules: tuple[Rule, ...]) -> frozenset[str]:
+    """Every trigram that a query of the rules mentions."""
+    return frozenset(g for rule in rules for grams in trigram_query(rule.pattern) or [] for g in grams)
+
+
+def _terms(rules: tuple[Rule, ...], known: frozenset[str]) -> list[tuple[int, int, list[str]]]:
+    """(rule, conjunction, trigrams) as far as an index of the known trigrams can tell; none of rules that must be scanned."""
+    out = []
+    for r, rule in enumerate(rules):
+        told = [[g for g in grams if g in known] for grams in trigram_query(rule.pattern) or []]
+        if all(told):
+            out += [(r, c, grams) for c, grams in enumerate(told)]
+    return out
 
 
 # --- spans ---
-_SPANS = "array<struct<start:int,kind:int,end:int>>"
+_MATCHES = "array<struct<kind:int,nth:int,gap:int,len:int,ok:boolean>>"
 
 
-def _spans(text: str, rule: Rule, order: int) -> Column:
-    """All spans of a rule: the pieces between matches and the matches, laid end to end, give the offsets."""
+def _matches(text: str, rule: Rule, order: int) -> Column:
+    """The matches of a rule in order: what lies before each since the last, its length, and whether it is long enough."""
     t, p = F.col(text), F.lit(rule.pattern)
     lengths = lambda xs: F.transform(xs, F.length)
     matched, measured = F.regexp_extract_all(t, p, F.lit(0)), F.regexp_extract_all(t, p, F.lit(rule.group))
-    two = F.zip_with(lengths(F.split(t, rule.pattern, -1)), lengths(matched), lambda a, b: F.struct(a.alias("gap"), b.alias("len")))
-    steps = F.zip_with(two, lengths(measured), lambda x, c: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), c.alias("least")))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["len"], F.lit(0))
-        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["least"] >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    return F.when(F.regexp_like(t, p), F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
+    both = F.zip_with(lengths(matched), lengths(measured), lambda n, m: F.struct(n.alias("len"), (m >= rule.least).alias("ok")))
+    gaps = lengths(F.slice(F.split(t, rule.pattern, -1), F.lit(1), F.size(matched)))
+    rows = F.zip_with(gaps, both, lambda g, x: F.struct(g.alias("gap"), x["len"].alias("len"), x["ok"].alias("ok")))
+    listed = F.transform(rows, lambda x, i: F.struct(F.lit(order).alias("kind"), i.alias("nth"), x["gap"].alias("gap"), x["len"].alias("len"), x["ok"].alias("ok")))
+    return F.when(F.regexp_like(t, p), listed).otherwise(F.array().cast(_MATCHES))
 
 
 def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -179,28 +191,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("_s_id"), text_of().alias("_s_text")).select("*", F.xxhash64("_s_text").alias("_s_key"))
 
 
-def _meets(folded: Column, rules: tuple[Rule, ...]) -> Column:
-    """The same Boolean queries as a condition on one text: what may be verified at all."""
-    hit = F.lit(False)
-    for _, _, grams in _terms(rules):
-        every = F.lit(True)
-        for g in grams:
-            every = every & F.contains(folded, F.lit(g))
-        hit = hit | every
-    return hit
-
-
 def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Postings (_s_gram, _s_id, _s_key) for each trigram that a query mentions."""
-    grams = sorted({g for _, _, gs in _terms(rules) for g in gs})
+    grams = sorted(trigrams(rules))
     folded = _keyed(docs).select("_s_id", "_s_key", F.lower("_s_text").alias("_s_folded"))
-    held = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("_s_folded"), g))
+    held = F.filter(F.array(*map(F.lit, grams)).cast("array<string>"), lambda g: F.contains(F.col("_s_folded"), g))
     return folded.select("_s_id", "_s_key", F.explode(held).alias("_s_gram"))
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES, known: frozenset[str] = trigrams(RULES)) -> DataFrame:
     """_s_id, _s_key and the numbers of the rules whose query the postings satisfy."""
-    terms = [(g, r, c, 1 << i, (1 << len(gs)) - 1) for r, c, gs in _terms(rules) for i, g in enumerate(gs)]
+    terms = [(g, r, c, 1 << i, (1 << len(gs)) - 1) for r, c, gs in _terms(rules, known) for i, g in enumerate(gs)]
     schema = "_t_gram string, _t_rule int, _t_conj int, _t_bit bigint, _t_full bigint"
     table = index.sparkSession.createDataFrame(terms, schema)  # as many rows as the rules have trigrams
     return (
@@ -213,72 +214,93 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
-def _spans_table(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """_s_id, _s_key and all spans in order, a row for each row of docs."""
-    keyed = _keyed(docs)
-    indexed = [i for i, r in enumerate(rules) if trigram_query(r.pattern)]
-    scanned = [i for i in range(len(rules)) if i not in indexed]
-    everywhere = computed_once(
-        keyed, ["_s_id", "_s_key"], [F.concat(F.array().cast(_SPANS), *(_spans("_s_text", rules[i], i) for i in scanned)).alias("_s_scanned")]
-    )
-    possible = keyed.filter(_meets(F.lower("_s_text"), rules))
-    verified = (
-        possible.join(candidates(trigram_index(docs, rules), rules), F.col("_s_id").eqNullSafe(F.col("_c_id")) & (F.col("_s_key") == F.col("_c_key")))
-        .dropDuplicates(["_s_id", "_s_key"])
-        .select(
-            F.col("_s_id").alias("_v_id"),
-            F.col("_s_key").alias("_v_key"),
-            F.concat(
-                F.array().cast(_SPANS),
-                *(F.when(F.array_contains("_c_rules", i), _spans("_s_text", rules[i], i)).otherwise(F.array().cast(_SPANS)) for i in indexed),
-            ).alias("_v_spans"),
-        )
-    )
-    same = F.col("_s_id").eqNullSafe(F.col("_v_id")) & (F.col("_s_key") == F.col("_v_key"))
-    spans = F.sort_array(F.concat("_s_scanned", F.coalesce("_v_spans", F.array().cast(_SPANS))))
-    return everywhere.join(verified, same, "left").select("_s_id", "_s_key", spans.alias("_s_spans"))
+def probes(index: DataFrame, rules: tuple[Rule, ...] = RULES, known: frozenset[str] = trigrams(RULES)) -> list[str]:
+    """The rarest trigram of each conjunction; the index's counts are as many as the rules have trigrams."""
+    terms = [gs for _, _, gs in _terms(rules, known)]
+    wanted = sorted({g for gs in terms for g in gs})
+    counts = {r["_s_gram"]: r["count"] for r in index.filter(F.col("_s_gram").isin(wanted)).groupBy("_s_gram").count().collect()}
+    rarest = (min(gs, key=lambda g: (counts.get(g, 0), g)) for gs in terms)
+    return sorted({g for g in rarest if g in counts})
+
+
+def _any_of(text: Column, grams: list[str]) -> Column:
+    folded = F.lower(text)
+    return reduce(lambda a, b: a | b, (F.contains(folded, F.lit(g)) for g in grams), F.lit(False))
+
 
+def _scanned(rules: tuple[Rule, ...], known: frozenset[str]) -> list[int]:
+    return sorted(set(range(len(rules))) - {r for r, _, _ in _terms(rules, known)})
 
-def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Per document: counts of the base kinds, the digest of the base spans and all spans as text."""
+
+def span_rows(docs: DataFrame, rules: tuple[Rule, ...], index: DataFrame, known: frozenset[str]) -> DataFrame:
+    """_s_id, _s_key, kind, start, end of all spans, once for each different row."""
+    keyed, scanned = _keyed(docs), _scanned(rules, known)
+    none = F.array().cast(_MATCHES)
+    everywhere = keyed.select("_s_id", "_s_key", F.inline(F.concat(none, *(_matches("_s_text", rules[i], i) for i in scanned))))
+    same = F.col("_s_id").eqNullSafe(F.col("_c_id")) & (F.col("_s_key") == F.col("_c_key"))
+    met = keyed.filter(_any_of(F.col("_s_text"), probes(index, rules, known))).join(candidates(index, rules, known), same)
+    own = (F.when(F.array_contains("_c_rules", i), _matches("_s_text", r, i)).otherwise(none) for i, r in enumerate(rules) if i not in scanned)
+    verified = met.select("_s_id", "_s_key", F.inline(F.concat(none, *own)))
+    once = everywhere.unionByName(verified).groupBy("_s_id", "_s_key", "kind", "nth").agg(F.first("gap").alias("gap"), F.first("len").alias("len"), F.first("ok").alias("ok"))
+    upto = F.sum(F.col("gap") + F.col("len")).over(W.partitionBy("_s_id", "_s_key", "kind").orderBy("nth").rowsBetween(W.unboundedPreceding, 0))
+    return once.withColumn("end", upto.cast("int")).filter("ok").select("_s_id", "_s_key", "kind", (F.col("end") - F.col("len")).alias("start"), "end")
+
+
+def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None, indexed: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Per document: counts of the base kinds, the digest of the base spans and all spans as text. index: one that was kept,
+    made for the rules ``indexed``; rules that its trigrams tell nothing of are scanned."""
     n = len(BASE_RULES)
-    found = _spans_table(docs, rules)
-    base = F.filter("_s_spans", lambda s: s["kind"] < n)
-    count = lambda k: F.size(F.filter("_s_spans", lambda s: s["kind"] == k)).cast("long")
-    return found.select(
+    if index is None:
+        index, indexed = materialize(trigram_index(docs, rules), "secret-postings"), rules
+    rows = span_rows(docs, rules, index, trigrams(indexed))
+    per = rows.groupBy(F.col("_s_id").alias("_p_id"), F.col("_s_key").alias("_p_key")).agg(
+        *(F.count_if(F.col("kind") == k).alias(f"_p_n{k}") for k in range(n)),
+        F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("_p_spans"),
+    )
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    keyed = _keyed(docs).select("_s_id", "_s_key").join(per, F.col("_s_id").eqNullSafe(F.col("_p_id")) & (F.col("_s_key") == F.col("_p_key")), "left")
+    spans = F.coalesce("_p_spans", none)
+    return keyed.select(
         F.col("_s_id").alias("doc_id"),
-        *(count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)),
-        F.sha2(_joined(base, rules), 256).alias("base_sha256"),
-        _joined(F.col("_s_spans"), rules).alias("spans"),
+        *(F.coalesce(f"_p_n{k}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)),
+        F.sha2(_joined(F.filter(spans, lambda s: s["kind"] < n), rules), 256).alias("base_sha256"),
+        _joined(spans, rules).alias("spans"),
     )
 
 
-def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with each secret replaced by [kind] and n_chars, if there, set anew. Only texts that may hold one move."""
-    text = text_of()
-    scanned = [r for r in rules if not trigram_query(r.pattern)]
-    may = _meets(F.lower(text), rules)
-    for r in scanned:
-        may = may | F.regexp_like(text, F.lit(r.pattern))
-    spans = _spans_table(docs.select("doc_id", "text").filter(may), rules).filter(F.size("_s_spans") > 0).dropDuplicates(["_s_id", "_s_key"])
-    names = F.array(*(F.lit(r.kind) for r in rules))
+#: A text is cut in parts of so many code points, in which places are counted off.
+_PART = 1024
 
-    source = F.col("_r_text")
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(source, acc["at"] + 1, s["start"] - acc["at"])
-        cut = F.concat(acc["out"], kept, F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], cut).otherwise(acc["out"]).alias("out"))
+def _piece(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text in parts."""
+    first = F.floor(start / _PART).cast("int")
+    held = F.array_join(F.slice(parts, first + 1, F.greatest(F.floor((end - 1) / _PART).cast("int") - first + 1, F.lit(0))), "")
+    return F.when(end > start, F.substring(held, F.pmod(start, F.lit(_PART)) + 1, end - start)).otherwise("")
 
-    cleaned = F.aggregate(
-        "_s_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda acc: F.concat(acc["out"], F.substring(source, acc["at"] + 1, F.length(source))),
-    )
+
+def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with each secret replaced by [kind] and n_chars, if there, set anew. Overlapping spans go as one, by the kind of
+    the first. Only texts that may hold one move."""
+    index, known = materialize(trigram_index(docs.select("doc_id", "text"), rules), "secret-postings"), trigrams(rules)
+    text = text_of()
+    may = reduce(lambda a, b: a | b, (F.regexp_like(text, F.lit(rules[i].pattern)) for i in _scanned(rules, known)), _any_of(text, probes(index, rules, known)))
+    before = F.max("end").over(W.partitionBy("_s_id", "_s_key").orderBy("start", "kind", "end").rowsBetween(W.unboundedPreceding, -1))
+    rows = span_rows(docs.select("doc_id", "text"), rules, index, known).withColumn("before", F.coalesce(before, F.lit(0)))
+    # of what overlaps, the first span stands for all
+    apart = F.when(F.col("start") >= F.col("before"), F.struct("start", "before", "kind"))
+    cuts = rows.groupBy("_s_id", "_s_key").agg(F.sort_array(F.collect_list(apart)).alias("_s_cuts"), F.max("end").alias("_s_last"))
+    names = F.array(*(F.lit(r.kind) for r in rules))
+    parts = F.col("_r_parts")
+    hidden = F.transform("_s_cuts", lambda s: F.concat(_piece(parts, s["before"], s["start"]), F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]")))
+    cleaned = F.concat(F.array_join(hidden, ""), _piece(parts, F.col("_s_last"), F.col("_r_length")))
     flagged = packed(docs.filter(may), F.col("doc_id").alias("_r_id"), text.alias("_r_text")).withColumn("_r_key", F.xxhash64("_r_text"))
-    joined = flagged.join(spans, F.col("_r_id").eqNullSafe(F.col("_s_id")) & (F.col("_r_key") == F.col("_s_key")), "left")
-    renewed = joined.select("_row", F.when(F.col("_s_spans").isNotNull(), cleaned).alias("_r_new"))
+    joined = flagged.join(cuts, F.col("_r_id").eqNullSafe(F.col("_s_id")) & (F.col("_r_key") == F.col("_s_key")), "left")
+    cut = computed_once(
+        joined, ["_row", "_s_cuts", "_s_last"],
+        [F.when(F.col("_s_cuts").isNotNull(), F.regexp_extract_all("_r_text", F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0))).alias("_r_parts"), F.length("_r_text").alias("_r_length")],
+    )
+    renewed = cut.select("_row", F.when(F.col("_s_cuts").isNotNull(), cleaned).alias("_r_new"))
     new = {"text": F.coalesce("_r_new", F.col("_row.text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.coalesce(F.length("_r_new").cast(docs.schema["n_chars"].dataType), F.col("_row.n_chars"))

@@ -11,14 +11,25 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+#: The rule of private keys without possessive quantifiers and looking ahead: the span is one of the groups, and what ends the
+#: line of a short last part is matched after it.
+_SPACES = r"(?:[\x20\x09-\x0D]|\\[nr])*"
+_KEY = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+_WHOLE = r"[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]{0,20}PRIVATE KEY-----"
+_LINES = rf"(?:{_SPACES}(?:Proc-Type|DEK-Info):[^\n\\]*)*(?:{_SPACES}[A-Za-z0-9+/]{{20,}}=*)*"
+PLAIN = {"pem": rf"({_KEY}{_WHOLE})|({_KEY}{_LINES}{_SPACES}[A-Za-z0-9+/]+=*)[\x20\x09\r]*(?:\n|\\|$)|({_KEY}{_LINES})"}
+
+
 def secret_spans_sql(rules: tuple[secrets.Rule, ...] = secrets.RULES) -> str:
     """Every rule over every text: a match begins after the pieces and the matches before it."""
 
     def one(k: int, rule: secrets.Rule) -> str:
-        p = _quoted(rule.pattern)
+        p = _quoted(PLAIN.get(rule.kind, rule.pattern))
+        found = lambda g: f"regexp_extract_all(t, {p}, {g})"
+        x = f"list_transform(range(1, len({found(0)}) + 1), lambda i: coalesce({found(1)}[i], {found(2)}[i], {found(3)}[i]))" if rule.kind in PLAIN else found(0)
         return (
-            f"SELECT doc_id, {k} AS k, {_quoted(rule.kind)} AS kind, {rule.least} AS least, regexp_extract_all(t, {p}, 0) AS m,"
-            f" regexp_extract_all(t, {p}, {rule.group}) AS g, regexp_split_to_array(t, {p}) AS s FROM d WHERE regexp_matches(t, {p})"
+            f"SELECT doc_id, {k} AS k, {_quoted(rule.kind)} AS kind, {rule.least} AS least, {found(0)} AS m, {x} AS x,"
+            f" {x if rule.kind in PLAIN else found(rule.group)} AS g, regexp_split_to_array(t, {p}) AS s FROM d WHERE regexp_matches(t, {p})"
         )
 
     base = secrets.BASE_RULES
@@ -29,7 +40,7 @@ def secret_spans_sql(rules: tuple[secrets.Rule, ...] = secrets.RULES) -> str:
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({found}),
 i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
-a AS (SELECT doc_id, k, kind, length(array_to_string(s[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS b, length(m[i]) AS n
+a AS (SELECT doc_id, k, kind, length(array_to_string(s[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS b, length(x[i]) AS n
   FROM i WHERE length(g[i]) >= least),
 j AS (SELECT doc_id, {counts}, string_agg({span}, ',' ORDER BY b, k) FILTER (WHERE k < {len(base)}) AS base,
   string_agg({span}, ',' ORDER BY b, k, n) AS spans FROM a GROUP BY doc_id)
