@@ -222,13 +222,42 @@ def test_private_keys_go_whole(spark):
 
 # --- licenses ---
 def test_licenses(spark):
-    texts = [*EDGE, "intro\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0", "Licensed under\nthe Apache License,\nVersion 2.0.", licenses.TEMPLATES[16][1] + " Or so.", "under the license of version"]
+    texts = [*EDGE, "intro\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0", "Licensed under\nthe Apache License,\nVersion 2.0.", licenses._MIT_GRANT + " Or so.", "under the license of version"]
     rows = licenses.scan_licenses(_docs(spark, texts)).orderBy("doc_id").collect()
     assert [r.license for r in rows] == [None] * len(EDGE) + ["mit", "cc-by-nc-4.0", "apache-2.0", "mit", None]
     assert rows[-5].dice == 1.0 and rows[0].n_units == 0 and rows[-1].dice == 0.0
     assert licenses.scan_licenses(_docs(spark, texts).limit(0)).count() == 0
 
 
+def test_whole_licenses_and_notices(spark):
+    bsd = [licenses._BSD_GRANT, *licenses._BSD_CONDITIONS.replace(" 2. ", "\n\n2. ").split("\n\n")]
+    three = [*bsd, "3. " + licenses._BSD_NAMES, licenses._BSD_DISCLAIMER]
+    lgpl = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+    gpl = """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version."""
+    code = "\n\n".join(f"int f{i}(void)\n{{ return {i}; }}" for i in range(60))
+    wrap = lambda text, n=70: re.sub(rf"(.{{1,{n}}})(?:\s+|$)", r"\1\n", text).strip()
+    copyright = "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n"
+    mit = f"MIT License\n\n{copyright}{wrap(licenses._MIT_GRANT)}\n\n{wrap(licenses._MIT_REST)}"
+    texts = [
+        copyright + "\n\n".join(map(wrap, three)), copyright + "\n\n".join(map(wrap, [*bsd, licenses._BSD_DISCLAIMER])), f"/*\n{copyright}" + "\n\n".join(map(wrap, three)) + f"\n*/\n\n{code}",
+        lgpl, gpl, f"/*\n{gpl}\n*/\n\n{code}", mit, wrap(licenses._gnu("This program", "GNU Affero General Public License", "3")[1]), wrap(licenses._gnu("This program", "GNU General Public License", "3")[1]),
+        licenses._BSD_GRANT, licenses._BSD_NAMES,
+    ]
+    docs = _docs(spark, texts).withColumn("license", F.lit("clash")).withColumn("_u_no", F.lit(1))
+    rows = licenses.scan_licenses(docs).orderBy("doc_id").collect()
+    assert [r.license for r in rows] == [
+        "bsd-3-clause", "bsd-2-clause", "bsd-3-clause", "lgpl-2.1", "gpl-2.0", "gpl-2.0", "mit", "agpl-3.0", "gpl-3.0", "bsd-2-clause", "bsd-3-clause",
+    ]
+    same = spark.createDataFrame([(1, gpl), (1, lgpl), (1, lgpl), (None, gpl), (1, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.license or "") for r in licenses.scan_licenses(same).collect()) == [(0, "gpl-2.0"), (1, ""), (1, "gpl-2.0"), (1, "lgpl-2.1"), (1, "lgpl-2.1")]
+
+
 def test_pivots_lose_no_match():
     """Templates with words cut out: whatever still reaches the threshold holds a pivot."""
     pivots = licenses.pivots()
