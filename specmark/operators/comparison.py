@@ -27,8 +27,8 @@ def compare(left: DataFrame, right: DataFrame) -> dict[str, DataFrame]:
     """What both have, what one alone has, and all."""
     return {
         "intersect": left.intersect(right),
-        "except_left": left.exceptAll(right).distinct(),
-        "except_right": right.exceptAll(left).distinct(),
+        "except_left": left.subtract(right),
+        "except_right": right.subtract(left),
         "union": left.union(right).distinct(),
     }
 

@@ -7,6 +7,7 @@ from functools import reduce
 from math import log2
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specmark.functions.domains import MODES
@@ -22,12 +23,20 @@ def _sum(columns: list[Column], start) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(start))
 
 
+def _counts(markers: DataFrame, by: list[str], condition: str, valid: Sequence[str], *more: Column) -> DataFrame:
+    """Per marker: a count for each class, their total, and more.
+
+    Markers are counted by marker and the columns ``by`` first, one number each; what is made wide is that table.
+    """
+    rows = markers.filter(F.col("marker_value").isNotNull() & F.col("marker_type").isNotNull())
+    cells = rows.groupBy(*KEYS, *by).agg(F.count(F.lit(1)).alias("_n"))
+    per = cells.groupBy(*KEYS).agg(*(F.sum(F.when(F.col(condition) == c, F.col("_n")).otherwise(0)).alias(c) for c in valid), *more)
+    return per.withColumn("total_count", _sum([q(c) for c in valid], 0).cast("long"))
+
+
 def class_counts(markers: DataFrame, condition: str, valid: Sequence[str]) -> DataFrame:
-    """Counts per marker and class and their total; one shuffle of partially aggregated counts."""
-    rows = markers.filter(F.col(condition).isin(*valid) & F.col("marker_value").isNotNull() & F.col("marker_type").isNotNull())
-    wide = rows.groupBy(*KEYS).pivot(condition, list(valid)).count()
-    filled = wide.select(*KEYS, *(F.coalesce(q(c), F.lit(0)).cast("long").alias(c) for c in valid))
-    return filled.withColumn("total_count", _sum([q(c) for c in valid], 0).cast("long"))
+    """Counts per marker and class and their total."""
+    return _counts(markers.filter(F.col(condition).isin(*valid)), [condition], condition, valid)
 
 
 def with_entropy(counts: DataFrame, valid: Sequence[str]) -> DataFrame:
@@ -54,21 +63,74 @@ def extreme(entropy: DataFrame, n: int = 10, highest: bool = False) -> DataFrame
     return entropy.orderBy(F.desc("entropy") if highest else F.asc("entropy"), *KEYS).limit(n)
 
 
-def entropy_of_modes(markers: DataFrame, entropy: DataFrame, modes: Sequence[str] = MODES, column: str = "mode") -> DataFrame:
-    """(mode, marker_value, marker_type, entropy) for each marker of each mode, in one join for all modes."""
-    seen = markers.filter(F.col(column).isin(*modes)).select(F.col(column).alias("mode"), *KEYS).distinct()
-    return seen.join(entropy.select(*KEYS, "entropy"), KEYS, "inner").select("mode", *KEYS, "entropy")
+#: Entropies are compared and ranked as rounded values, so that equal distributions tie whatever the order of their classes.
+PLACES = 9
+
+
+def entropy_of_modes(
+    markers: DataFrame, condition: str, valid: Sequence[str], min_freq: int = 3, modes: Sequence[str] = MODES, column: str = "mode"
+) -> DataFrame:
+    """(mode, marker_value, marker_type, entropy) for each marker of each mode.
+
+    The marker's counts and the modes that have it come from one aggregate, so there is neither a second pass nor a join.
+    """
+    if len(modes) > 62:
+        raise ValueError("at most 62 modes")
+    bit = F.coalesce(*(F.when(F.col(column) == m, F.lit(1 << i)) for i, m in enumerate(modes))).cast("long")
+    # classes and modes that do not count are one, so that they make few cells
+    known = lambda c, names: F.when(F.col(c).isin(*names), F.col(c)).alias(c)
+    seen = markers.select(*KEYS, known(condition, valid), known(column, modes)).filter(F.col(condition).isNotNull() | F.col(column).isNotNull())
+    counts = _counts(seen, [condition, column], condition, valid, F.bit_or(bit).alias("_modes")).filter(F.col("total_count") >= min_freq)
+    entropy = with_entropy(counts, valid).select(*KEYS, "_modes", F.round("entropy", PLACES).alias("entropy"))
+    held = F.array_compact(F.array(*(F.when(F.col("_modes").bitwiseAND(F.lit(1 << i)) != 0, F.lit(m)) for i, m in enumerate(modes))))
+    return entropy.select(F.explode(held).alias("mode"), *KEYS, "entropy")
+
+
+def spectrum(of_modes: DataFrame, modes: Sequence[str] = MODES) -> DataFrame:
+    """How many markers of each mode have each entropy: entropy, c0, c1, ... in the order of modes, and the counts up to and
+    with it, u0, u1, ...
+
+    Prefix sums are taken over fixed ranges of entropies, then inside each range, so that no task sees more than a range:
+    a thousandth of a bit, which holds a million different values at most, as entropies are rounded.
+    """
+    n = range(len(modes))
+    held = of_modes.filter(F.col("mode").isin(*modes) & F.col("entropy").isNotNull())
+    per = held.groupBy("entropy").agg(*(F.sum(F.when(F.col("mode") == m, 1).otherwise(0)).alias(f"c{i}") for i, m in enumerate(modes)))
+    ranged = per.withColumn("_range", F.floor(F.col("entropy") * 1000))
+    # as many rows as there are ranges: a thousand for each bit of entropy
+    below = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(*(F.sum(f"c{i}").alias(f"s{i}") for i in n))
+    before = totals.select(F.col("_range").alias("_of"), *(F.coalesce(F.sum(f"s{i}").over(below), F.lit(0)).alias(f"b{i}") for i in n))
+    within = W.partitionBy("_range").orderBy("entropy").rowsBetween(W.unboundedPreceding, 0)
+    inside = ranged.select("*", *(F.sum(f"c{i}").over(within).alias(f"w{i}") for i in n))
+    return inside.join(F.broadcast(before), F.col("_range") == F.col("_of")).select(
+        "entropy", *(f"c{i}" for i in n), *((F.col(f"b{i}") + F.col(f"w{i}")).alias(f"u{i}") for i in n)
+    )
 
 
 def summarise_modes(of_modes: DataFrame, modes: Sequence[str] = MODES, population: bool = False) -> DataFrame:
     """A9 (sample deviation) or A10 (population): always a row per mode, with n = 0 and nulls where it has no marker."""
-    spread = F.stddev_pop("entropy") if population else F.stddev_samp("entropy")
-    stats = of_modes.groupBy("mode").agg(
-        F.count("entropy").alias("n_markers"), F.avg("entropy").alias("mean_entropy"), F.median("entropy").alias("median_entropy"), spread.alias("std_entropy")
-    )
-    order = of_modes.sparkSession.createDataFrame(list(enumerate(modes)), "_at int, mode string")
-    joined = F.broadcast(order).join(stats, "mode", "left").withColumn("n_markers", F.coalesce("n_markers", F.lit(0).cast("long")))
-    return joined.orderBy("_at").select("mode", "n_markers", "mean_entropy", "median_entropy", "std_entropy")
+    return summary_of(spectrum(of_modes, modes), modes, population)
+
+
+def summary_of(spectrum: DataFrame, modes: Sequence[str] = MODES, population: bool = False) -> DataFrame:
+    """The same from a spectrum: moments from the counts, medians from the counts up to each entropy."""
+    pairs = F.array(*(F.struct(F.lit(i).alias("_at"), F.col(f"c{i}").alias("_c"), F.col(f"u{i}").alias("_u")) for i in range(len(modes))))
+    long = spectrum.select("entropy", F.inline(pairs)).filter("_c > 0")
+    n, e = F.col("_n"), F.col("entropy")
+    first = long.groupBy("_at").agg(F.sum("_c").alias("_n"), (F.sum(F.col("_c") * e) / F.sum("_c")).alias("_mean"))
+    joined = long.join(F.broadcast(first.withColumnRenamed("_at", "_of")), F.col("_at") == F.col("_of"))  # a row per mode
+    place = lambda k: F.min(F.when(F.col("_u") >= k, e))
+    spread = F.sum(F.col("_c") * (e - F.col("_mean")) * (e - F.col("_mean")))
+    stats = joined.groupBy("_at", "_n", "_mean").agg(((place(F.floor((n + 1) / 2)) + place(F.floor(n / 2) + 1)) / 2).alias("_median"), spread.alias("_spread"))
+    order = spectrum.sparkSession.createDataFrame(list(enumerate(modes)), "_mode int, mode string")
+    return (
+        F.broadcast(order).join(stats, F.col("_mode") == F.col("_at"), "left").orderBy("_mode")
+        .select(
+            "mode", F.coalesce("_n", F.lit(0)).cast("long").alias("n_markers"), F.col("_mean").alias("mean_entropy"), F.col("_median").alias("median_entropy"),
+            F.sqrt(F.try_divide(F.col("_spread"), n if population else n - 1)).alias("std_entropy"),
+        )
+    )
 
 
 def mean_entropy(entropy: DataFrame) -> DataFrame:

@@ -28,8 +28,7 @@ def explode_markers(
 
     def typed(values: Column, kind: str) -> Column:
         if remove_stopwords and kind != "punctuation":
-            stop = F.array(*map(F.lit, STOPWORDS))
-            values = F.filter(values, lambda v: ~F.array_contains(stop, v))
+            values = F.filter(values, lambda v: ~v.isin(*STOPWORDS))  # looked up in a hash set
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("marker_type"), v.alias("marker_value")))
 
     source = F.col(f"`{text}`")

@@ -31,17 +31,17 @@ class Specificity:
     def report(self) -> str:
         return hypothesis_report(self.of_modes)
 
-    def write(self, directory: str, with_report: bool = True) -> None:
-        """K3, K4."""
-        sinks.write_summary(E.by_entropy(self.by_emotion), f"{directory}/entropy_per_marker_emotion.csv")
-        sinks.write_summary(E.by_entropy(self.by_mode), f"{directory}/entropy_per_marker_mode.csv")
-        sinks.write_summary(self.summary, f"{directory}/entropy_by_mode_summary.csv")
+    def write(self, directory: str, with_report: bool = True, summary_name: str = "entropy_by_mode_summary.csv") -> None:
+        """K3, K4: the tables per marker as folders of CSV parts in order, the summary as one file."""
+        sinks.write_csv(E.by_entropy(self.by_emotion), f"{directory}/entropy_per_marker_emotion.csv")
+        sinks.write_csv(E.by_entropy(self.by_mode), f"{directory}/entropy_per_marker_mode.csv")
+        sinks.write_summary(self.summary, f"{directory}/{summary_name}")
         if with_report:
             sinks.write_text(self.summary.sparkSession, f"{directory}/hypothesis_report.txt", self.report())
 
 
-def parse(spark: SparkSession, directories: dict[str, str], only: str | None = None) -> DataFrame:
-    return glozz.read_corpora(spark, directories, only)
+def parse(spark: SparkSession, directories: dict[str, str], only: str | None = None, ordered: bool = True) -> DataFrame:
+    return glozz.read_corpora(spark, directories, only, ordered)
 
 
 def markers(annotations: DataFrame, use_lemma: bool = True, lemmatizer: str = "spacy", batch_size: int = 256, include_empty: bool = False, remove_stopwords: bool = False) -> DataFrame:
@@ -55,7 +55,7 @@ def specificity(marked: DataFrame, min_freq: int = 3, marker_type: str = "all")
     rows = marked if marker_type == "all" else marked.filter(marked["marker_type"] == marker_type)
     by_emotion = E.conditional_entropy(rows, "categorie1", EMOTIONS, min_freq)
     by_mode = E.conditional_entropy(rows, "mode", MODES, min_freq)
-    of_modes = E.entropy_of_modes(rows, by_emotion)
+    of_modes = E.entropy_of_modes(rows, "categorie1", EMOTIONS, min_freq)
     return Specificity(by_emotion, by_mode, E.summarise_modes(of_modes), of_modes)
 
 
@@ -66,7 +66,7 @@ def markers_of_folder(spark: SparkSession, folder: str, use_lemma: bool = True,
 
 def run_annotations(spark: SparkSession, directories: dict[str, str], output: str, min_freq: int = 3, marker_type: str = "all", only: str | None = None, **options) -> Specificity:
     """All stages over stand-off annotations; Parquet between them."""
-    sinks.write_table(parse(spark, directories, only), f"{output}/annotations")
+    sinks.write_table(parse(spark, directories, only, ordered=False), f"{output}/annotations")  # what follows only counts
     sinks.write_table(markers(spark.read.parquet(f"{output}/annotations"), **options), f"{output}/markers", "marker_type")
     result = specificity(spark.read.parquet(f"{output}/markers"), min_freq, marker_type)
     result.write(f"{output}/specificity_results")
@@ -77,7 +77,7 @@ def run_tables(spark: SparkSession, folder: str, output: str, min_freq: int = 5,
     """All stages over one-hot tables. No report is written for these."""
     sinks.write_table(markers_of_folder(spark, folder, use_lemma, lemmatizer), f"{output}/markers", "marker_type")
     result = specificity(spark.read.parquet(f"{output}/markers"), min_freq)
-    result.write(f"{output}/specificity_results", with_report=False)
+    result.write(f"{output}/specificity_results", with_report=False, summary_name="mean_entropy_by_mode.csv")
     return result
 
 
@@ -108,11 +108,3 @@ def dashboard(spark: SparkSession, annotation_paths: list[str], table_paths: lis
     items = [C.items_of_annotations(m) for p in annotation_paths if (m := read_markers(spark, p)) is not None]
     items += [C.items_of_table(m) for p in table_paths if (m := read_markers(spark, p)) is not None and "Désignée" in m.columns]
     return C.dashboard_sets(*items) if items else spark.createDataFrame([], "marker string, corpora array<string>, emotions array<string>")
-
-
-def designated_sets(annotation_markers: DataFrame, table_markers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets of designated markers that two corpora are compared by."""
-    return (
-        C.marker_set(annotation_markers.filter(C.is_designee(annotation_markers["mode"]))),
-        C.marker_set(table_markers.filter(table_markers["`Désignée`"] == 1)),
-    )

@@ -20,6 +20,7 @@ from specmark.operators import entropy as E
 from specmark.operators import markers as M
 from specmark.operators import ranking as R
 from specmark.operators import stats as S
+from specmark.sources import glozz
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,10 +68,7 @@ def _entropy(spark: SparkSession, sf_dir: str, condition: str = "categorie1", va
 
 
 def _of_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = _markers(spark, sf_dir)
-    # the entropies are ranked and compared as rounded values, so that equal distributions tie
-    entropy = E.conditional_entropy(marked, "categorie1", CLASSES).withColumn("entropy", F.round("entropy", 9))
-    return E.entropy_of_modes(marked, entropy, LANGS)
+    return E.entropy_of_modes(_markers(spark, sf_dir), "categorie1", CLASSES, modes=LANGS)
 
 
 def _rounded(df: DataFrame, *columns: str, to: int = 6) -> DataFrame:
@@ -187,9 +185,7 @@ def annotation_span_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("t"), (F.col("doc_id") % 40).cast("int").alias("s"), (F.col("doc_id") % 97).cast("int").alias("e")
     )
-    s, e = F.col("s"), F.col("e")
-    span = F.when((s <= e) & (e <= F.length("t")), F.substring(F.col("t"), s + 1, e - s)).otherwise("")
-    return rows.select("doc_id", F.translate(span, "\n\r", "  ").alias("text_span"))
+    return rows.select("doc_id", glozz.span_of(F.col("t"), F.col("s"), F.col("e")).alias("text_span"))
 
 
 # --- entropy (F12-F14, A1-A12, J1, O1, O2) ---

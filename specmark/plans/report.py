@@ -24,6 +24,18 @@ VERDICTS = {
     "p < 0.05": "SUPPORTÉE (p < 0.05)",
     "p >= 0.05": "NON SUPPORTÉE (p >= 0.05)",
 }
+KRUSKAL = "TEST DE KRUSKAL-WALLIS (4 modes)"
+DIFFERENT = "Différence significative entre les modes (p < 0.05)"
+ALIKE = "Pas de différence significative entre les modes (p >= 0.05)"
+MANN_WHITNEY = "TEST DE MANN-WHITNEY U (Montree+Suggeree vs Designee+Comportementale)"
+ONE_SIDED = "  Hypothèse H1 : entropie(Montree+Suggeree) > entropie(Designee+Comportementale)"
+PAIRS = "COMPARAISONS PAR PAIRES (Mann-Whitney U, bilatéral)"
+#: Where all entropies tie, no test says anything.
+UNDEFINED = "non défini (toutes les entropies sont égales)"
+
+
+def _number(x: float | None, places: int) -> str:
+    return "non défini" if x is None else f"{x:.{places}f}"
 
 
 def _section(title: str, body: list[str], rule: str = "-") -> list[str]:
@@ -31,40 +43,39 @@ def _section(title: str, body: list[str], rule: str = "-") -> list[str]:
 
 
 def hypothesis_report(of_modes: DataFrame, modes: Sequence[str] = MODES) -> str:
-    of_modes = of_modes.persist()
+    spectrum = E.spectrum(of_modes, modes).persist()
     try:
-        summary = E.summarise_modes(of_modes, modes, population=True).collect()
-        kruskal = stats.kruskal_wallis(of_modes, modes).collect()
-        high_low = stats.mann_whitney(of_modes, high=(modes[2], modes[3]), low=(modes[1], modes[0])).collect()
-        pairs = stats.mann_whitney_pairs(of_modes, modes).collect()
+        summary = E.summary_of(spectrum, modes, population=True).collect()
+        kruskal = stats.kruskal_wallis_of(spectrum, modes).collect()
+        high_low = stats.mann_whitney_of(spectrum, modes, high=(modes[2], modes[3]), low=(modes[1], modes[0])).collect()
+        pairs = stats.mann_whitney_pairs_of(spectrum, modes).collect()
     finally:
-        of_modes.unpersist()
+        spectrum.unpersist()
     if not any(s.n_markers for s in summary):
         return "Aucune donnée d'entropie disponible."
     described = [
-        f"  {s.mode:20s} : n={s.n_markers:5d}, moy={s.mean_entropy:.4f}, méd={s.median_entropy:.4f}, σ={s.std_entropy:.4f}"
+        f"  {s.mode:20s} : n={s.n_markers:5d}, moy={s.mean_entropy:.4f}, méd={s.median_entropy:.4f}, σ={_number(s.std_entropy, 4)}"
         if s.n_markers
         else f"  {s.mode:20s} : aucun marqueur"
         for s in summary
     ]
     lines = _section(TITLE, ["", *HYPOTHESIS, ""], "=") + _section("STATISTIQUES DESCRIPTIVES PAR MODE", [*described, ""])
     for k in kruskal:
-        sure = "Différence significative entre les modes (p < 0.05)" if k.p < 0.05 else "Pas de différence significative entre les modes (p >= 0.05)"
-        lines += _section("TEST DE KRUSKAL-WALLIS (4 modes)", [f"  H = {k.h:.4f}, p = {k.p:.6f}", f"  → {sure}", ""])
+        lines += _section(KRUSKAL, [f"  H = {_number(k.h, 4)}, p = {_number(k.p, 6)}", f"  → {UNDEFINED if k.p is None else DIFFERENT if k.p < 0.05 else ALIKE}", ""])
     for m in high_low:
         lines += _section(
-            "TEST DE MANN-WHITNEY U (Montree+Suggeree vs Designee+Comportementale)",
+            MANN_WHITNEY,
             [
-                "  Hypothèse H1 : entropie(Montree+Suggeree) > entropie(Designee+Comportementale)",
-                f"  U = {m.u:.4f}, p (unilatéral) = {m.p:.6f}",
+                ONE_SIDED,
+                f"  U = {m.u:.4f}, p (unilatéral) = {_number(m.p, 6)}",
                 f"  Moyenne Montree+Suggeree     : {m.mean_high:.4f} (n={m.n1})",
                 f"  Moyenne Designee+Comportementale : {m.mean_low:.4f} (n={m.n2})",
                 f"  Différence de moyennes       : {m.difference:.4f}",
                 f"  Taille d'effet (r)           : {m.r:.4f}",
-                f"  → Hypothèse : {VERDICTS[m.verdict]}",
+                f"  → Hypothèse : {VERDICTS.get(m.verdict, UNDEFINED)}",
                 "",
             ],
         )
-    compared = [f"  {x.mode1} vs {x.mode2} : U={x.u:.1f}, p={x.p:.6f} [{x.stars}]" for x in pairs]
-    lines += _section("COMPARAISONS PAR PAIRES (Mann-Whitney U, bilatéral)", [*compared, ""])
+    compared = [f"  {x.mode1} vs {x.mode2} : U={x.u:.1f}, p={_number(x.p, 6)} [{x.stars or '-'}]" for x in pairs]
+    lines += _section(PAIRS, [*compared, ""])
     return "\n".join(lines + _section("FIN DU RAPPORT", [], "="))

@@ -64,6 +64,12 @@ def _index(side: str) -> tuple[Column, Column]:
     return number, F.col(f"unit.positioning.{side}").isNotNull() & number.isNotNull() & text.isNotNull()
 
 
+def span_of(text: Column, start: Column, end: Column) -> Column:
+    """the span by code-point offsets, line ends as blanks; empty where the offsets do not fit."""
+    fits = (start >= 0) & (start <= end) & (end <= F.length(text))
+    return F.translate(F.when(fits, F.substring(text, start + 1, end - start)).otherwise(""), "\n\r", "  ")
+
+
 def annotations_of(units: DataFrame, texts: DataFrame, corpus: str) -> DataFrame:
     """One row per kept unit whose file has a text."""
     kind = trim_all(F.col("unit.characterisation.type"))
@@ -73,11 +79,10 @@ def annotations_of(units: DataFrame, texts: DataFrame, corpus: str) -> DataFrame
         "file_id", "_at", F.coalesce("unit._id", F.lit("")).alias("unit_id"), kind.alias("type"), start.alias("start_idx"), end.alias("end_idx"),
         *(_feature(n).alias(c) for n, c in (("Mode", "mode"), ("Categorie", "categorie1"), ("Categorie2", "categorie2"), ("Remarque", "remarque"))),
     )
-    s, e = F.col("start_idx"), F.col("end_idx")
-    span = F.when((s >= 0) & (s <= e) & (e <= F.length("text")), F.substring(F.col("text"), s + 1, e - s)).otherwise("")
+    span = span_of(F.col("text"), F.col("start_idx"), F.col("end_idx"))
     return kept.join(texts, "file_id").select(
         F.lit(corpus).alias("corpus"), "file_id", "unit_id", "type", "start_idx", "end_idx",
-        F.translate(span, "\n\r", "  ").alias("text_span"),
+        span.alias("text_span"),
         *(F.when(is_situation, F.col(c)).alias(c) for c in ("mode", "categorie1", "categorie2")), F.when(is_other, F.col("remarque")).alias("remarque"), "_at",
     )
 
@@ -95,13 +100,15 @@ def read_corpus(spark: SparkSession, directory: str, corpus: str) -> DataFrame |
     return annotations_of(read_units(spark, aa), read_texts(spark, ac), corpus)
 
 
-def read_corpora(spark: SparkSession, directories: dict[str, str], only: str | None = None) -> DataFrame:
-    """All corpora, or one; rows in order of corpus, file and unit."""
+def read_corpora(spark: SparkSession, directories: dict[str, str], only: str | None = None, ordered: bool = True) -> DataFrame:
+    """All corpora, or one; rows in order of corpus, file and unit, unless their order does not matter."""
     chosen = {k: v for k, v in directories.items() if only in (None, k)}
     found = [df for name, path in chosen.items() if (df := read_corpus(spark, path, name)) is not None]
     if not found:
         return spark.createDataFrame([], ANNOTATIONS)
     rows = reduce(lambda a, b: a.unionByName(b), found)
+    if not ordered:
+        return rows.drop("_at")
     place = F.array_position(F.array(*(F.lit(c) for c in chosen)), F.col("corpus"))
     return rows.orderBy(place, "file_id", "_at").drop("_at")
 

@@ -29,20 +29,21 @@ def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """K1: a folder of CSV parts with headers."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    """K1, for tables of any size: a folder of CSV parts, each with a BOM and a header, in the order of df."""
+    named = df.toDF(BOM + df.columns[0], *df.columns[1:])  # the header's first name carries the BOM into each part
+    named.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
 
 
-def write_summary(df: DataFrame, path: str, most_rows: int = 1_000_000) -> None:
-    """K1, K3, K5: one CSV file with a BOM, for summaries; larger tables go to a folder of parts of the same name."""
-    if df.limit(most_rows + 1).count() > most_rows:
-        write_csv(df, path)
-        return
+def write_summary(df: DataFrame, path: str, most_rows: int = 100_000) -> None:
+    """K1, K3, K5, for summaries: one CSV file with a BOM. A table of more than ``most_rows`` is none, and is refused."""
+    rows = df.limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} rows: write_csv is for tables of any size")
     out = io.StringIO()
-    rows = csv.writer(out, lineterminator="\n")
-    rows.writerow(df.columns)
-    for row in df.toLocalIterator():
-        rows.writerow(["" if v is None else v for v in row])
+    lines = csv.writer(out, lineterminator="\n")
+    lines.writerow(df.columns)
+    for row in rows:
+        lines.writerow(["" if v is None else v for v in row])
     write_text(df.sparkSession, path, BOM + out.getvalue())
 
 
@@ -80,9 +81,13 @@ show();
 """
 
 
-def dashboard_html(sets: DataFrame, title: str = "Marqueurs désignés") -> str:
-    """K6: a page with the items as JSON; values reach the page as text only."""
-    items = [json.loads(r.j) for r in sets.selectExpr("to_json(struct(marker, corpora, emotions)) AS j").toLocalIterator()]
+def dashboard_html(sets: DataFrame, title: str = "Marqueurs désignés", most_items: int = 500_000) -> str:
+    """K6: a page with the items as JSON; values reach the page as text only. The page holds all items, as does the driver
+    while it is made: more than ``most_items`` are refused, and are for ``write_table``."""
+    rows = sets.selectExpr("to_json(struct(marker, corpora, emotions)) AS j").limit(most_items + 1).collect()
+    if len(rows) > most_items:
+        raise ValueError(f"more than {most_items} items for one page")
+    items = [json.loads(r.j) for r in rows]
     names = sorted({c for i in items for c in i["corpora"]})
     emotions = sorted({e for i in items for e in i["emotions"]})
     option = lambda value, label: f'<option value="{html.escape(value)}">{html.escape(label)}</option>'

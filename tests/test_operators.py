@@ -34,7 +34,7 @@ def test_empty_input_keeps_the_schema(spark):
     none = spark.createDataFrame([], "marker_value string, marker_type string, mode string, categorie1 string")
     entropy = E.conditional_entropy(none, "categorie1", EMOTIONS)
     assert entropy.count() == 0 and "P(Colere)" in entropy.columns
-    summary = E.summarise_modes(E.entropy_of_modes(none, entropy)).collect()
+    summary = E.summarise_modes(E.entropy_of_modes(none, "categorie1", EMOTIONS)).collect()
     assert [(r.mode, r.n_markers, r.mean_entropy) for r in summary] == [(m, 0, None) for m in MODES]
     assert R.top_markers(entropy).count() == 0
 

@@ -133,8 +133,13 @@ def test_summary_csv(spark, tmp_path):
     df = spark.range(3).withColumn("x", F.when(F.col("id") > 0, F.lit('a "b", c')))
     sinks.write_summary(df.orderBy("id"), str(tmp_path / "s.csv"))
     assert (tmp_path / "s.csv").read_text("utf-8-sig") == 'id,x\n0,\n1,"a ""b"", c"\n2,"a ""b"", c"\n'
-    sinks.write_summary(df, str(tmp_path / "large.csv"), most_rows=2)
-    assert (tmp_path / "large.csv").is_dir()
+    with pytest.raises(ValueError):
+        sinks.write_summary(df, str(tmp_path / "large.csv"), most_rows=2)
+    sinks.write_csv(df.repartitionByRange(3, "id"), str(tmp_path / "parts.csv"))
+    parts = [p.read_text("utf-8") for p in (tmp_path / "parts.csv").glob("part-*")]
+    assert len(parts) == 3 and all(p.startswith("\ufeffid,x\n") for p in parts)
+    again = tabular.read_csv(spark, str(tmp_path / "parts.csv"))
+    assert again.columns == ["id", "x"] and sorted((r.id, r.x) for r in again.collect()) == [(0, None), (1, 'a "b", c'), (2, 'a "b", c')]
 
 
 def test_command_line(spark, corpus, tmp_path, capsys):

@@ -1,9 +1,13 @@
 import math
 import random
+import statistics
+from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from specmark.functions.domains import MODES
+from specmark.operators import entropy as E
 from specmark.operators import stats as S
 from specmark.plans.report import hypothesis_report
 
@@ -41,9 +45,39 @@ def test_u_equals_brute_force_and_adds_up(spark):
     assert sum(r.n1 * r.n2 - r.u for r in crossing) == row.u
 
 
-def test_published_figures_are_consistent():
-    assert S.rank_biserial(4490988, 2860, 2830) == pytest.approx(-0.1097, abs=5e-5)
-    assert S.rank_biserial(4308025, 2805, 2775) == pytest.approx(-0.1069, abs=5e-5)
+def test_published_figures_are_consistent(spark):
+    sums = spark.createDataFrame([(2860.0, 2830.0, 4490988.0), (2805.0, 2775.0, 4308025.0)], "n1 double, n2 double, u double")
+    sums = sums.selectExpr("n1", "n2", "u + n1 * (n1 + 1) / 2 AS r1", "0D AS ties", "0D AS s1", "0D AS s2")
+    assert sorted(r.r for r in S._u_statistics(sums).collect()) == [pytest.approx(-0.1097, abs=5e-5), pytest.approx(-0.1069, abs=5e-5)]
+
+
+def test_exact_tail_equals_all_subsets(spark):
+    for n1, n2 in ((1, 1), (3, 5), (6, 4), (2, 9)):
+        us = [sum(sum(x > y for y in set(range(n1 + n2)) - set(c)) for x in c) for c in combinations(range(n1 + n2), n1)]
+        for u in range(n1 * n2 + 1):
+            assert S.exact_tail(u, n1, n2) == pytest.approx(sum(x >= u for x in us) / len(us))
+    rows = [("Montree", f"a{i}", "word", 1.0 + i / 7) for i in range(4)] + [("Designee", f"b{i}", "word", 0.5 + i / 5) for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    row, pair = S.mann_whitney(df).first(), S.mann_whitney_pairs(df).first()
+    assert row.p == pytest.approx(S.exact_tail(row.u, 4, 5)) and pair.p == pytest.approx(min(1, 2 * S.exact_tail(max(pair.u, 20 - pair.u), 5, 4)))
+
+
+def test_medians_and_moments_of_a_spectrum(spark):
+    df = _values(spark, 7, 9).filter("mode <> 'Suggeree'")
+    by = _by_mode(df)
+    for population in (False, True):
+        for r in E.summarise_modes(df, population=population).collect():
+            v = by[r.mode]
+            if not v:
+                assert (r.n_markers, r.mean_entropy, r.median_entropy, r.std_entropy) == (0, None, None, None)
+                continue
+            spread = (statistics.pstdev if population else statistics.stdev)(v)
+            assert (r.n_markers, r.mean_entropy, r.median_entropy, r.std_entropy) == (len(v), pytest.approx(statistics.mean(v)), statistics.median(v), pytest.approx(spread))
+
+
+def test_report_where_all_entropies_tie(spark):
+    text = hypothesis_report(_values(spark).withColumn("entropy", F.lit(1.0)))
+    assert "H = non défini" in text and text.count("non défini") >= 9
 
 
 def test_tails():
