@@ -116,15 +116,16 @@ def pivots(least: float = LEAST_DICE) -> list[tuple[str, ...]]:
     """Words, or pairs of words, of which a unit must hold one (both) to reach ``least`` with any template.
 
     A match shares ``least / (2 - least)`` of the template's bigrams at least. If more bigrams than may be missing have
-    one of some words, or are among some pairs, then a match has one of these. Long words are taken first, and those
-    that serve others already; then pairs. What contains another pivot is left out.
+    one of some words, or are among some pairs, then a match has one of these. Templates are taken from the shortest on, so
+    that long ones get by with what serves short ones already; then words in most bigrams, long words, and then pairs. What
+    contains another pivot is left out.
     """
     chosen: set[tuple[str, ...]] = set()
-    for _, text in TEMPLATES:
+    for _, text in sorted(TEMPLATES, key=lambda t: (len(t[1]), t)):
         w = _normal(text)
         grams = sorted({(a, b) for a, b in zip(w, w[1:])}, key=lambda g: (g not in chosen, -len(g[0] + g[1]), g))
         may_miss = int(len(grams) * (1 - least / (2 - least)) + 1e-9)
-        words = sorted({x for x in w if len(x) > 4}, key=lambda x: ((x,) not in chosen, -len(x), x))
+        words = sorted({x for x in w if len(x) > 4}, key=lambda x: ((x,) not in chosen, -sum(x in g for g in grams), -len(x), x))
         covered: set[tuple[str, str]] = set()
         for pivot in [*((x,) for x in words), *grams]:
             if len(covered) > may_miss:
