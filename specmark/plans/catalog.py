@@ -10,6 +10,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specmark.functions.domains import STOPWORDS
@@ -20,7 +21,8 @@ from specmark.operators import entropy as E
 from specmark.operators import markers as M
 from specmark.operators import ranking as R
 from specmark.operators import stats as S
-from specmark.sources import glozz
+from specmark.plans import analysis, fixtures
+from specmark.sources import glozz, sinks, tabular
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -390,6 +392,80 @@ def onehot_active_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.filter("marker_type = 'word'").groupBy(F.col("marker_value").alias("marker")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- files (S1-S14, K1, K2, F1, F2, F4, J3, U1) ---
+_UNITS_SQL = """
+d AS (SELECT doc_id, lang, source, replace(coalesce(text, ''), chr(13), ' ') AS t, doc_id % 16 AS b FROM documents),
+o AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY b ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM d),
+u AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE off + doc_id % 5 END AS s, off + least(doc_id % 37, length(t)) AS e, doc_id % 5 <> 1 AS situation
+  FROM o WHERE b < 13 AND doc_id % 5 <> 0 AND (doc_id % 11 <> 0))"""
+
+
+@_query(
+    f"""WITH {_UNITS_SQL}
+SELECT CASE WHEN b % 2 = 0 THEN 'A' ELSE 'B' END AS corpus, 'f' || b AS file_id, 'u' || doc_id AS unit_id, CASE WHEN situation THEN 'SitEmo' ELSE 'Autre' END AS type,
+  CAST(s AS INT) AS start_idx, CAST(e AS INT) AS end_idx, CASE WHEN s >= 0 AND s <= e THEN replace(substring(t, CAST(s - off + 1 AS BIGINT), CAST(e - s AS BIGINT)), chr(10), ' ') ELSE '' END AS text_span,
+  CASE WHEN situation THEN lang END AS mode, CASE WHEN situation THEN source END AS categorie1, CAST(NULL AS VARCHAR) AS categorie2, CASE WHEN NOT situation THEN 'r' || doc_id END AS remarque FROM u"""
+)
+def annotation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as texts with units beside them, among broken and unpaired files, and read back."""
+    return glozz.read_corpora(spark, fixtures.write_annotations(_table(spark, sf_dir, "documents")), ordered=False)
+
+
+@_query(
+    f"""WITH {_UNITS_SQL}
+SELECT 'u' || doc_id AS unit_id, row_number() OVER (ORDER BY 'f' || b, doc_id) AS place FROM u WHERE b % 2 = 0"""
+)
+def annotation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each unit of one corpus, by file and unit."""
+    rows = glozz.read_corpora(spark, fixtures.write_annotations(_table(spark, sf_dir, "documents")), only="A")
+    # the rank of a row is the parts before its own, by their sizes, and its place there
+    at = rows.select("unit_id", F.shiftright(F.monotonically_increasing_id(), 33).alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("nth"))
+    path = fixtures.shared_folder(spark, "order")
+    sinks.write_table(at, path)
+    at = spark.read.parquet(path)
+    sizes = at.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per part of the sort
+    before = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return at.join(before, "part").select("unit_id", (F.col("before") + F.col("nth") + 1).alias("place"))
+
+
+@_query("SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS corpus, 'f' || (doc_id % 16) AS file_id FROM documents WHERE doc_id % 16 IN (14, 15)")
+def annotation_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose text is missing or not UTF-8."""
+    folders = fixtures.write_annotations(_table(spark, sf_dir, "documents"))
+    found = [glozz.unpaired(spark, folders[c]).select(F.lit(c).alias("corpus"), "file_id") for c in "AB"]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS \"ID\", coalesce(source, '') AS \"NAME\", coalesce(text, '') AS \"TEXT\", CAST(CASE lang WHEN 'fr' THEN 1 END AS DOUBLE) AS \"Joie\" FROM documents")
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts through CSV parts with a BOM, with quotes, line ends and blanks as they were."""
+    path = f"{fixtures.shared_folder(spark, 'table')}.csv"
+    docs = _table(spark, sf_dir, "documents")
+    sinks.write_csv(docs.select(F.col("doc_id").cast("string").alias("ID"), F.col("source").alias("NAME"), F.col("text").alias("TEXT"), F.when(F.col("lang") == "fr", 1).alias("Joie")), path)
+    return tabular.read_input(spark, path)
+
+
+@_query(f"WITH {_MARKERS_SQL},{_counts_sql('source', CLASSES)} SELECT marker_value, marker_type, total_count, src0 FROM n")
+def marker_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers through Parquet by type, their counts through CSV parts."""
+    folder = fixtures.shared_folder(spark, "markers")
+    sinks.write_table(_markers(spark, sf_dir).select("marker_value", "marker_type", "categorie1"), f"{folder}/markers", "marker_type")
+    counts = E.class_counts(analysis.read_markers(spark, f"{folder}/markers"), "categorie1", CLASSES).filter("total_count >= 3")
+    sinks.write_csv(counts.select("marker_value", "marker_type", "total_count", "src0"), f"{folder}/counts.csv")
+    return tabular.read_csv(spark, f"{folder}/counts.csv", "marker_value string, marker_type string, total_count long, src0 long")
+
+
+@_query(
+    """SELECT CAST(n_nationkey AS VARCHAR) AS idx, 'i' || n_nationkey AS "ID", n_name AS "NAME", n_name || ' & Co' AS "TEXT", 'w' || (n_regionkey % 2) || '.xlsx' AS source_file,
+  CAST(CASE WHEN n_regionkey % 2 = 0 AND n_nationkey % 3 > 0 THEN 1 END AS DOUBLE) AS "Joie", CAST(CASE WHEN n_regionkey % 2 = 0 AND n_nationkey % 2 = 0 THEN 1 END AS DOUBLE) AS "Désignée",
+  CAST(CASE WHEN n_regionkey % 2 = 1 AND n_nationkey % 3 > 0 THEN 1 END AS DOUBLE) AS "Peur", CAST(CASE WHEN n_regionkey % 2 = 1 AND n_nationkey % 2 = 0 THEN 1 END AS DOUBLE) AS "Montrée" FROM nation"""
+)
+def workbook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks of unlike columns, read as one table."""
+    return tabular.read_folder(spark, fixtures.write_workbooks(_table(spark, sf_dir, "nation")))
+
+
 # --- tests (H1-H6, A14) ---
 def _u_sql(source: str, keys: str = "") -> str:
     by, part = (f"{keys}, ", f"PARTITION BY {keys} ") if keys else ("", "")
@@ -433,13 +509,36 @@ def kruskal_h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(S.kruskal_wallis(_of_modes(spark, sf_dir), LANGS).drop("p"), "h", to=4)
 
 
-@_query()
+def _tail_sql(z: str) -> str:
+    """The upper tail of the normal distribution, by Simpson's rule over 2,000 steps from zero."""
+    point = f"({z}) * i / 2000"
+    weight = "CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(0.5 - (SELECT sum({weight} * exp(-({point}) * ({point}) / 2)) FROM range(2001) r(i)) * ({z}) / 6000 / sqrt(2 * pi()))"
+
+
+_Z_SQL = "sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * (n1 + n2 + 1 - ties / (CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1))))"
+
+
+@_query(
+    f"""WITH {_OF_MODES_SQL}, q AS (SELECT * FROM (VALUES {", ".join(f"('{a} vs {b}', '{a}', '{b}')" for i, a in enumerate(LANGS) for b in LANGS[i + 1:])}) t(test, mode1, mode2)),
+v AS (SELECT test, CASE WHEN mode = mode1 THEN 1 ELSE 2 END AS side, entropy FROM o JOIN q ON mode = mode1 OR mode = mode2
+  UNION ALL SELECT 'mann-whitney greater', CASE WHEN mode IN ('es', 'fr') THEN 1 ELSE 2 END, entropy FROM o), {_u_sql("v", "test")},
+z AS (SELECT test, test LIKE '% vs %' AS two_sided, (CASE WHEN test LIKE '% vs %' THEN greatest(u, CAST(n1 AS DOUBLE) * n2 - u) ELSE u END - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5) / {_Z_SQL} AS z FROM u WHERE n1 > 0 AND n2 > 0),
+w AS (SELECT test, least(1.0, CASE WHEN two_sided THEN 2 ELSE 1 END * {_tail_sql("z")}) AS p FROM z),
+kg AS (SELECT entropy, {", ".join(_KW)}, CAST(count(*) AS DOUBLE) AS c FROM o GROUP BY entropy),
+kk AS (SELECT *, sum(c) OVER (ORDER BY entropy ROWS UNBOUNDED PRECEDING) - (c - 1) / 2 AS rank FROM kg),
+kt AS (SELECT sum(c) AS n, sum(c * c * c - c) AS ties, {" + ".join(f"sum(c{i} * rank) * sum(c{i} * rank) / sum(c{i})" for i in range(4))} AS terms FROM kk),
+kh AS (SELECT (12 / (n * (n + 1)) * terms - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM kt),
+r AS (SELECT test, p FROM w UNION ALL SELECT 'kruskal-wallis', 2 * {_tail_sql("sqrt(h)")} + sqrt(2 * h / pi()) * exp(-h / 2) FROM kh)
+SELECT test, abs(round(p, 6)) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM r"""
+)
 def rank_test_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The p-values of all tests: the normal and chi-square tails are not in SQL."""
-    of_modes = _of_modes(spark, sf_dir)
+    """H1, H2, H4, H5: the p-values of all tests, from one spectrum. The SQL sums the tails up; four languages have three degrees of freedom."""
+    spectrum = E.spectrum(_of_modes(spark, sf_dir), LANGS)
     parts = [
-        S.kruskal_wallis(of_modes, LANGS).select(F.lit("kruskal-wallis").alias("test"), "p"),
-        S.mann_whitney(of_modes, HIGH, LOW).select(F.lit("mann-whitney greater").alias("test"), "p"),
-        S.mann_whitney_pairs(of_modes, LANGS).select(F.concat_ws(" vs ", "mode1", "mode2").alias("test"), "p"),
+        S.kruskal_wallis_of(spectrum, LANGS).select(F.lit("kruskal-wallis").alias("test"), "p"),
+        S.mann_whitney_of(spectrum, LANGS, HIGH, LOW).select(F.lit("mann-whitney greater").alias("test"), "p"),
+        S.mann_whitney_pairs_of(spectrum, LANGS).select(F.concat_ws(" vs ", "mode1", "mode2").alias("test"), "p"),
     ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    return every.select("test", F.abs(F.round("p", 6)).alias("p"), S.stars(F.col("p")).alias("stars"))

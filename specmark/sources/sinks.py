@@ -12,16 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 BOM = "﻿"
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One UTF-8 file, in whatever store the path names."""
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """One file, in whatever store the path names."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One UTF-8 file."""
+    write_bytes(spark, path, text.encode())
+
+
 def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
     """K2, the native form of large results."""
     writer = df.write.mode("overwrite")
@@ -31,7 +36,8 @@ def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
 def write_csv(df: DataFrame, path: str) -> None:
     """K1, for tables of any size: a folder of CSV parts, each with a BOM and a header, in the order of df."""
     named = df.toDF(BOM + df.columns[0], *df.columns[1:])  # the header's first name carries the BOM into each part
-    named.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    # blanks at the ends of a text are part of it
+    named.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_summary(df: DataFrame, path: str, most_rows: int = 100_000) -> None:
