@@ -1,10 +1,11 @@
 """Incremental substring deduplication over a log-structured fingerprint index.
 
 A window is ``WINDOW`` consecutive words. Each window has an anchor, the least hash of the 8-word grams inside it, so
-equal windows have equal anchors while a text has few different ones. The index holds (anchor, doc_id) in immutable runs,
-sorted by anchor. A batch of documents becomes a run; its anchors are merge-joined with each older run and with each
-other, and those met in two documents are suspects. When ``fan_in`` runs of a level have gathered, they are compacted
-into one of the next level.
+equal windows have equal anchors while a text has few different ones. The index holds anchors with the least and largest
+doc_id that they were seen in, as immutable runs, bucketed and sorted by anchor. A batch of documents becomes a run, which
+is merge-joined with each older run; anchors met in two documents are suspects. When ``fan_in`` runs of a level have
+gathered, they are compacted into one of the next level. The index can be kept and opened again: a later batch is judged
+against it, and of the earlier documents only the texts' windows with a suspect anchor are looked at.
 
 Suspects are verified: one narrow pass over the texts gives 96 bits of two independent hashes of each whole window with a
 suspect anchor (a bitmap of suspect anchors of fixed size is sent to the executors; where it says yes too often, more
@@ -18,13 +19,17 @@ Rows with the same doc_id are one document as owners and are cut one by one. Oth
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specmark.llm import textbytes as tb
-from specmark.llm.common import materialize
+from specmark.llm.common import materialize, shared_dir
+from specmark.sources import sinks
 
 WINDOW, GRAM = 50, 8
 _SECOND = 0xA0761D6478BD642F | 1
@@ -78,38 +83,90 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, doc_id); ``ingest`` returns the suspects among a batch and what it met."""
-
-    def __init__(self, spark: SparkSession, fan_in: int = 4):
-        self.spark, self.fan_in, self.levels = spark, fan_in, []
-
-    def runs(self) -> list[DataFrame]:
+    """Immutable runs of (anchor, low, high): the least and the largest doc_id that an anchor was seen in.
+
+    Runs lie below ``path``, bucketed and sorted by anchor: a batch is aggregated into buckets once, and after that runs
+    meet, and two runs are compacted, without a shuffle. A hot anchor is one row of a run. A manifest names the live
+    runs; each change writes the next manifest and only then deletes the runs that it no longer names, so a call that is
+    lost leaves the index as it was. A path that holds an index opens it. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = 2):
+        self.spark, self.fan_in = spark, fan_in
+        self.path = (path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}").rstrip("/")
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._store = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.version, self.levels = 0, []
+        self.buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        found = sorted(f.getPath().toString() for f in self._store.globStatus(self._hadoop(f"{self.path}/manifest-*.json")) or [])
+        if found:
+            held = json.loads(spark.read.text(found[-1], wholetext=True).first()[0])
+            self.version, self.buckets, self.levels = held["version"], held["buckets"], held["levels"]
+
+    def _publish(self) -> None:
+        """The levels as they are now, under the next number; a manifest is whole from when it has its name."""
+        self.version += 1
+        draft, name = f"{self.path}/draft-{uuid.uuid4().hex}", f"{self.path}/manifest-{self.version:09d}.json"
+        sinks.write_text(self.spark, draft, json.dumps({"version": self.version, "buckets": self.buckets, "levels": self.levels}))
+        if not self._store.rename(self._hadoop(draft), self._hadoop(name)):
+            raise RuntimeError(f"{name} is there already: another writer")
+        self._store.delete(self._hadoop(f"{self.path}/manifest-{self.version - 1:09d}.json"), False)
+
+    def _table(self, run: str) -> DataFrame:
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {run} (anchor BIGINT, low BIGINT, high BIGINT) USING parquet"
+            f" CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'"
+        )
+        return self.spark.table(run)
+
+    def _write(self, rows: DataFrame) -> str:
+        run = f"run_{uuid.uuid4().hex}"
+        rows.write.format("parquet").bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.path}/{run}").saveAsTable(run)
+        return run
+
+    def _delete(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        self._store.delete(self._hadoop(f"{self.path}/{run}"), True)
+
+    def names(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
-    def _sorted_run(self, postings: DataFrame) -> DataFrame:
-        return materialize(postings.repartition("anchor", "doc_id").sortWithinPartitions("anchor"), "index-run")
+    def runs(self) -> list[DataFrame]:
+        return [self._table(run) for run in self.names()]
 
     def ingest(self, postings: DataFrame) -> DataFrame:
-        """postings (anchor, doc_id) of a batch; the anchors that now are in two documents or more."""
-        run = self._sorted_run(postings.distinct())
-        known = run.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        suspects = known.filter("low < high").select("anchor")
+        """postings (anchor, doc_id) of a batch; the anchors of the batch that now are in two documents or more."""
+        name = self._write(postings.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
+        run = self._table(name)
+        suspects = run.filter("low < high").select("anchor")
         for older in self.runs():
-            suspects = suspects.unionByName(known.join(older, "anchor", "left_semi").select("anchor"))
-        suspects = materialize(suspects.distinct(), "suspects")
-        self._add(run, 0)
+            met = run.filter("low = high").join(older.toDF("anchor", "low2", "high2"), "anchor").filter("low2 < high2 OR low <> low2")
+            suspects = suspects.unionByName(met.select("anchor"))
+        suspects = materialize(suspects, "suspects")
+        gone = self._add(name, 0)
+        self._publish()
+        for run in gone:
+            self._delete(run)
         return suspects
 
-    def _add(self, run: DataFrame, level: int) -> None:
+    def _add(self, run: str, level: int) -> list[str]:
+        """Put a run into its level, compacting as levels fill; the runs that are live no more."""
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fan_in:
-            merged = self.levels[level][0]
-            for other in self.levels[level][1:]:
-                merged = merged.unionByName(other)
-            self.levels[level] = []
-            self._add(self._sorted_run(merged), level + 1)
+        if len(self.levels[level]) < self.fan_in:
+            return []
+        full, self.levels[level] = self.levels[level], []
+        merged = self._table(full[0])
+        for other in full[1:]:
+            both = merged.join(self._table(other).toDF("anchor", "low2", "high2"), "anchor", "full_outer")
+            merged = both.select("anchor", F.least("low", "low2").alias("low"), F.greatest("high", "high2").alias("high"))
+        return full + self._add(self._write(merged), level + 1)
+
+    def drop(self) -> None:
+        for run in self.names():
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        self._store.delete(self._hadoop(self.path), True)
 
 
 def _bitmap(values: DataFrame, bits: int) -> np.ndarray:
@@ -225,8 +282,15 @@ def _cut(batches):
             yield _kept_batch(part.column(0), words, gone)
 
 
-def deduplicate(docs: DataFrame, batches: int = 3, fan_in: int = 2, bits: int = 1 << 27) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed and text, the kept words joined by single spaces."""
+def deduplicate(
+    docs: DataFrame, batches: int = 3, fan_in: int = 2, bits: int = 1 << 27, index_path: str | None = None, history: DataFrame | None = None
+) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed and text, the kept words joined by single spaces.
+
+    With ``index_path`` the index there is opened, or made, and kept; ``history`` are the documents it was made of, in
+    earlier calls. Where ids grow from call to call, the calls together give what one pass over all documents gives;
+    a document of an earlier call is not cut again for a smaller id that comes later.
+    """
     spark = docs.sparkSession
     rows = _rows(docs)
     profiles = materialize(rows.mapInArrow(_profile_batches, _PROFILE), "profiles")
@@ -239,7 +303,7 @@ def deduplicate(docs: DataFrame, batches: int = 3, fan_in: int = 2, bits: int =
     originals = materialize(originals.select("doc_id", "anchors"), "originals") if copied.take(1) else originals
     postings = originals.select("doc_id", F.explode("anchors").alias("anchor"))
 
-    index = FingerprintIndex(spark, fan_in)
+    index = FingerprintIndex(spark, index_path, fan_in)
     cuts = profiles.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] or []
     bounds = [None, *sorted(set(cuts)), None]
     suspects = None
@@ -252,13 +316,19 @@ def deduplicate(docs: DataFrame, batches: int = 3, fan_in: int = 2, bits: int =
         met = index.ingest(batch)
         suspects = met if suspects is None else suspects.unionByName(met)
 
+    if index_path is None:
+        index.drop()
     anchors = spark.sparkContext.broadcast(_bitmap(suspects, bits))
-    windows = materialize(
-        rows.filter("doc_id IS NOT NULL").mapInArrow(_suspect_windows(anchors), "w1 long, w2 int, doc_id long, text_key long, start int"), "windows"
-    )
+
+    def suspect_windows(some: DataFrame) -> DataFrame:
+        found = some.filter("doc_id IS NOT NULL").mapInArrow(_suspect_windows(anchors), "w1 long, w2 int, doc_id long, text_key long, start int")
+        return materialize(found, "windows")
+
+    windows = suspect_windows(rows)
+    seen = windows if history is None else windows.unionByName(suspect_windows(_rows(history)))
     # written, so that the join can split a passage that a good part of all documents repeat
     owners = materialize(
-        windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last"), "owners"
+        seen.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last"), "owners"
     )
     starts = windows.join(owners, ["w1", "w2"]).filter("doc_id > owner").groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
     # a copy of a whole text is settled already

@@ -310,7 +310,45 @@ def test_index_compacts(spark):
     batch = lambda *rows: spark.createDataFrame(rows, "anchor long, doc_id long")
     met = [sorted(r.anchor for r in index.ingest(b).collect()) for b in (batch((1, 1), (2, 1), (2, 2)), batch((1, 3), (4, 3)), batch((4, 4), (5, 4)), batch((6, 5), (2, 6)))]
     assert met == [[2], [1], [4], [2]]
-    assert [len(level) for level in index.levels] == [0, 0, 1] and index.runs()[0].count() == 9
+    assert [len(level) for level in index.levels] == [0, 0, 1]
+    assert {tuple(r) for r in index.runs()[0].collect()} == {(1, 1, 3), (2, 1, 6), (4, 3, 4), (5, 4, 4), (6, 5, 5)}
+    # opened again where the catalog knows no runs; a document that comes again meets only itself
+    spark.sql(f"DROP TABLE {index.names()[0]}")
+    again = substrings.FingerprintIndex(spark, index.path)
+    assert (again.version, again.levels) == (index.version, index.levels)
+    assert sorted(r.anchor for r in again.ingest(batch((6, 5), (5, 9), (7, 9))).collect()) == [5]
+    assert len(again.names()) == 2
+    again.drop()
+
+
+def test_runs_meet_without_a_shuffle(spark):
+    index = substrings.FingerprintIndex(spark, fan_in=3)
+    for k in range(2):
+        index.ingest(spark.range(100).selectExpr("id + 50 AS anchor", f"{k} AS doc_id"))
+    one, other = index.runs()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for how in ("inner", "full_outer"):
+            plan = one.join(other.toDF("anchor", "low2", "high2"), "anchor", how)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        index.drop()
+
+
+def test_substrings_in_two_calls(spark, tmp_path):
+    rng = random.Random(9)
+    shared = _prose(rng, 70)
+    rows = [(i, " ".join(_prose(rng, rng.randint(0, 60)) + (shared if i % 3 else shared[: 40 + i % 30]) + _prose(rng, 30))) for i in range(40)]
+    rows += [(40, rows[5][1]), (41, None), (42, ""), (None, " ".join(shared))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    early, late = docs.filter("doc_id < 20"), docs.filter("doc_id >= 20 OR doc_id IS NULL")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    digest = lambda df: [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, sha(r.text)) for r in df.collect()]
+    path = f"file://{tmp_path}/index"
+    got = digest(substrings.deduplicate(early, 1, index_path=path, bits=1 << 20))
+    got += digest(substrings.deduplicate(late, 1, index_path=path, bits=1 << 20, history=early))
+    assert sorted(got) == _dedup(rows)
 
 
 # --- html ---
