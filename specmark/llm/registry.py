@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmark.llm import decontamination, html, langid, licenses, mixing, quality, secrets, simhash, sql, substrings, toxicity
+from specmark.llm import audit, boosting, decontamination, html, langid, licenses, mixing, quality, secrets, simhash, sql, substrings, toxicity, whitening
 from specmark.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosting.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -68,6 +80,9 @@ def queries() -> dict:
         op8_substring_dedup,
         op9_html_extraction,
         op10_toxicity,
+        op11_quality_classifier,
+        op12_embedding_whitening,
+        op13_filter_audit,
         pipeline,
     )
     return {f.__name__: f for f in ops}

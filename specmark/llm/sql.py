@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import log
 
-from specmark.llm import licenses, quality, secrets
+from specmark.llm import audit, licenses, quality, secrets
 
 
 def _quoted(s: str) -> str:
@@ -106,4 +106,5 @@ ORACLES = {
     "op3_license_scans": licenses.ORACLE_SQL,
     "op5_quality_rules": quality_sql(),
     "op8_substring_dedup": SUBSTRINGS,
+    "op13_filter_audit": audit.ORACLE_SQL,
 }

@@ -13,7 +13,8 @@ SF = DATA / "sf0.001"
 @pytest.mark.parametrize("name", sorted(sql.ORACLES))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = db.execute(registry.oracle_sql()[name]).df()
     got = registry.queries()[name](spark, str(SF)).toPandas()
     rows = lambda df: sorted(df[sorted(want.columns)].astype(object).where(df[sorted(want.columns)].notna(), None).itertuples(index=False, name=None), key=repr)
