@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specmark.functions.domains import MODES
+from specmark.operators.moments import deviation, merge_moments, moment_states
+from specmark.sources.store import kept
 
 KEYS = ["marker_value", "marker_type"]
 
@@ -23,20 +25,22 @@ def _sum(columns: list[Column], start) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(start))
 
 
-def _counts(markers: DataFrame, by: list[str], condition: str, valid: Sequence[str], *more: Column) -> DataFrame:
-    """Per marker: a count for each class, their total, and more.
+def _number_of(column: str, names: Sequence[str]) -> Column:
+    """The place of a value among names, null for any other."""
+    return F.coalesce(*(F.when(F.col(column) == c, F.lit(i)) for i, c in enumerate(names)))
 
-    Markers are counted by marker and the columns ``by`` first, one number each; what is made wide is that table.
-    """
-    rows = markers.filter(F.col("marker_value").isNotNull() & F.col("marker_type").isNotNull())
-    cells = rows.groupBy(*KEYS, *by).agg(F.count(F.lit(1)).alias("_n"))
-    per = cells.groupBy(*KEYS).agg(*(F.sum(F.when(F.col(condition) == c, F.col("_n")).otherwise(0)).alias(c) for c in valid), *more)
-    return per.withColumn("total_count", _sum([q(c) for c in valid], 0).cast("long"))
+
+def _counts(markers: DataFrame, condition: str, valid: Sequence[str], *more: Column) -> DataFrame:
+    """Per marker: a count for each class (by its number), and more. One shuffle, of a row per marker and task."""
+    rows = markers.filter(F.col("marker_value").isNotNull() & F.col("marker_type").isNotNull()).withColumn("_k", _number_of(condition, valid))
+    return rows.groupBy(*KEYS).agg(*(F.count_if(F.col("_k") == i).alias(f"_c{i}") for i in range(len(valid))), *more)
 
 
 def class_counts(markers: DataFrame, condition: str, valid: Sequence[str]) -> DataFrame:
     """Counts per marker and class and their total."""
-    return _counts(markers.filter(F.col(condition).isin(*valid)), [condition], condition, valid)
+    counts = _counts(markers.filter(F.col(condition).isin(*valid)), condition, valid)
+    total = _sum([F.col(f"_c{i}") for i in range(len(valid))], 0).cast("long")
+    return counts.select(*KEYS, *(F.col(f"_c{i}").alias(c) for i, c in enumerate(valid)), total.alias("total_count"))
 
 
 def with_entropy(counts: DataFrame, valid: Sequence[str]) -> DataFrame:
@@ -67,45 +71,57 @@ def extreme(entropy: DataFrame, n: int = 10, highest: bool = False) -> DataFrame
 PLACES = 9
 
 
+#: Modes that one number holds, a bit each.
+BITS = 62
+
+
 def entropy_of_modes(
     markers: DataFrame, condition: str, valid: Sequence[str], min_freq: int = 3, modes: Sequence[str] = MODES, column: str = "mode"
 ) -> DataFrame:
     """(mode, marker_value, marker_type, entropy) for each marker of each mode.
 
     The marker's counts and the modes that have it come from one aggregate, so there is neither a second pass nor a join.
+    Modes are bits of as many numbers as they need; Spark's own bitmaps would take four kilobytes a marker for any number.
     """
-    if len(modes) > 62:
-        raise ValueError("at most 62 modes")
-    bit = F.coalesce(*(F.when(F.col(column) == m, F.lit(1 << i)) for i, m in enumerate(modes))).cast("long")
-    # classes and modes that do not count are one, so that they make few cells
-    known = lambda c, names: F.when(F.col(c).isin(*names), F.col(c)).alias(c)
-    seen = markers.select(*KEYS, known(condition, valid), known(column, modes)).filter(F.col(condition).isNotNull() | F.col(column).isNotNull())
-    counts = _counts(seen, [condition, column], condition, valid, F.bit_or(bit).alias("_modes")).filter(F.col("total_count") >= min_freq)
-    entropy = with_entropy(counts, valid).select(*KEYS, "_modes", F.round("entropy", PLACES).alias("entropy"))
-    held = F.array_compact(F.array(*(F.when(F.col("_modes").bitwiseAND(F.lit(1 << i)) != 0, F.lit(m)) for i, m in enumerate(modes))))
-    return entropy.select(F.explode(held).alias("mode"), *KEYS, "entropy")
+    words = -(-len(modes) // BITS)
+    own = markers.withColumn("_m", _number_of(column, modes))
+    seen = own.filter(F.col(condition).isin(*valid) | F.col("_m").isNotNull())
+    bit = lambda i: F.when(F.col("_m").between(i * BITS, i * BITS + BITS - 1), F.expr(f"shiftleft(1L, _m - {i * BITS})"))
+    counts = _counts(seen, condition, valid, *(F.bit_or(bit(i)).alias(f"_w{i}") for i in range(words)))
+    # one array each, so that what follows is as short for hundreds of classes and modes as for four
+    arrays = counts.select(*KEYS, F.array(*(f"_c{i}" for i in range(len(valid)))).alias("_n"), F.array(*(F.coalesce(f"_w{i}", F.lit(0).cast("long")) for i in range(words))).alias("_held"))
+    total = arrays.select("*", F.aggregate("_n", F.lit(0).cast("long"), lambda a, n: a + n).alias("_total")).filter(F.col("_total") >= min_freq)
+    p = lambda n: n / F.col("_total")
+    bits = F.aggregate("_n", F.lit(0.0), lambda a, n: a + F.when(n > 0, p(n) * F.log2(p(n))).otherwise(0.0))
+    held = F.expr(f"filter(sequence(0, {len(modes) - 1}), i -> (shiftright(_held[int(i / {BITS})], i % {BITS}) & 1L) = 1L)")
+    rows = total.select(*KEYS, F.round(F.lit(0.0) - bits, PLACES).alias("entropy"), F.explode(held).alias("_m"))
+    return rows.select(F.array(*(F.lit(m) for m in modes))[F.col("_m")].alias("mode"), *KEYS, "entropy")
 
 
 def spectrum(of_modes: DataFrame, modes: Sequence[str] = MODES) -> DataFrame:
     """How many markers of each mode have each entropy: entropy, c0, c1, ... in the order of modes, and the counts up to and
-    with it, u0, u1, ...
+    with it, u0, u1, ..., and in all, t0, t1, ...
 
-    Prefix sums are taken over fixed ranges of entropies, then inside each range, so that no task sees more than a range:
-    a thousandth of a bit, which holds a million different values at most, as entropies are rounded.
+    The counts are written and read back, so that tests and summaries plan and read a small table and not the markers. Prefix
+    sums are taken over fixed ranges of entropies, then inside each range, so that no task sees more than a range: a
+    thousandth of a bit, which holds a million different values at most, as entropies are rounded.
     """
     n = range(len(modes))
-    held = of_modes.filter(F.col("mode").isin(*modes) & F.col("entropy").isNotNull())
-    per = held.groupBy("entropy").agg(*(F.sum(F.when(F.col("mode") == m, 1).otherwise(0)).alias(f"c{i}") for i, m in enumerate(modes)))
+    held = of_modes.withColumn("_m", _number_of("mode", modes)).filter(F.col("_m").isNotNull() & F.col("entropy").isNotNull())
+    per = kept(held.groupBy("entropy").agg(*(F.count_if(F.col("_m") == i).alias(f"c{i}") for i in n)), "spectrum")
     ranged = per.withColumn("_range", F.floor(F.col("entropy") * 1000))
     # as many rows as there are ranges: a thousand for each bit of entropy
-    below = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    below, every = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
     totals = ranged.groupBy("_range").agg(*(F.sum(f"c{i}").alias(f"s{i}") for i in n))
-    before = totals.select(F.col("_range").alias("_of"), *(F.coalesce(F.sum(f"s{i}").over(below), F.lit(0)).alias(f"b{i}") for i in n))
+    before = totals.select(
+        F.col("_range").alias("_of"), *(F.coalesce(F.sum(f"s{i}").over(below), F.lit(0)).alias(f"b{i}") for i in n), *(F.sum(f"s{i}").over(every).alias(f"t{i}") for i in n)
+    )
     within = W.partitionBy("_range").orderBy("entropy").rowsBetween(W.unboundedPreceding, 0)
     inside = ranged.select("*", *(F.sum(f"c{i}").over(within).alias(f"w{i}") for i in n))
-    return inside.join(F.broadcast(before), F.col("_range") == F.col("_of")).select(
-        "entropy", *(f"c{i}" for i in n), *((F.col(f"b{i}") + F.col(f"w{i}")).alias(f"u{i}") for i in n)
+    placed = inside.join(F.broadcast(before), F.col("_range") == F.col("_of")).select(
+        "entropy", *(f"c{i}" for i in n), *((F.col(f"b{i}") + F.col(f"w{i}")).alias(f"u{i}") for i in n), *(f"t{i}" for i in n)
     )
+    return kept(placed, "spectrum-placed")
 
 
 def summarise_modes(of_modes: DataFrame, modes: Sequence[str] = MODES, population: bool = False) -> DataFrame:
@@ -114,21 +130,20 @@ def summarise_modes(of_modes: DataFrame, modes: Sequence[str] = MODES, populatio
 
 
 def summary_of(spectrum: DataFrame, modes: Sequence[str] = MODES, population: bool = False) -> DataFrame:
-    """The same from a spectrum: moments from the counts, medians from the counts up to each entropy."""
-    pairs = F.array(*(F.struct(F.lit(i).alias("_at"), F.col(f"c{i}").alias("_c"), F.col(f"u{i}").alias("_u")) for i in range(len(modes))))
-    long = spectrum.select("entropy", F.inline(pairs)).filter("_c > 0")
-    n, e = F.col("_n"), F.col("entropy")
-    first = long.groupBy("_at").agg(F.sum("_c").alias("_n"), (F.sum(F.col("_c") * e) / F.sum("_c")).alias("_mean"))
-    joined = long.join(F.broadcast(first.withColumnRenamed("_at", "_of")), F.col("_at") == F.col("_of"))  # a row per mode
-    place = lambda k: F.min(F.when(F.col("_u") >= k, e))
-    spread = F.sum(F.col("_c") * (e - F.col("_mean")) * (e - F.col("_mean")))
-    stats = joined.groupBy("_at", "_n", "_mean").agg(((place(F.floor((n + 1) / 2)) + place(F.floor(n / 2) + 1)) / 2).alias("_median"), spread.alias("_spread"))
+    """The same from a spectrum, read once: moments by merging, and medians where the counts reach half of all."""
+    columns = lambda i: (F.lit(i).alias("_at"), F.col(f"c{i}").alias("_c"), F.col(f"u{i}").alias("_u"), F.col(f"t{i}").alias("_t"))
+    long = spectrum.select("entropy", F.inline(F.array(*(F.struct(*columns(i)) for i in range(len(modes)))))).filter("_c > 0")
+    # the two middle places; one where the number is odd
+    at = lambda k: F.max(F.when((F.col("_u") >= k) & (F.col("_u") - F.col("_c") < k), F.col("entropy")))
+    middle = [at(F.floor((F.col("_t") + 1) / 2)).alias("_low"), at(F.floor(F.col("_t") / 2) + 1).alias("_high")]
+    states = moment_states(long, ["_at"], "entropy", F.col("_c"), more=middle)
+    stats = merge_moments(states, ["_at"], more=[((F.max("_low") + F.max("_high")) / 2).alias("_median")])
     order = spectrum.sparkSession.createDataFrame(list(enumerate(modes)), "_mode int, mode string")
     return (
         F.broadcast(order).join(stats, F.col("_mode") == F.col("_at"), "left").orderBy("_mode")
         .select(
-            "mode", F.coalesce("_n", F.lit(0)).cast("long").alias("n_markers"), F.col("_mean").alias("mean_entropy"), F.col("_median").alias("median_entropy"),
-            F.sqrt(F.try_divide(F.col("_spread"), n if population else n - 1)).alias("std_entropy"),
+            "mode", F.coalesce("n", F.lit(0)).cast("long").alias("n_markers"), F.col("mean").alias("mean_entropy"), F.col("_median").alias("median_entropy"),
+            deviation(population).alias("std_entropy"),
         )
     )
 

@@ -7,8 +7,6 @@ few broken files itself. All lies below the folder that executors share.
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 from html import escape
 
@@ -17,22 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specmark.sources import sinks
+from specmark.sources.store import shared_folder
 
 #: Files per corpus set; the last three are malformed, not UTF-8 and without a text.
 FILES, MALFORMED, NOT_UTF8, ALONE = 16, 13, 14, 15
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, or a local one where the session is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="specmark-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _write_files(lines: DataFrame, folder: str, suffix: str) -> None:
     """lines (file, at, line): a text file for each file, its lines in the order of at."""
     spark = lines.sparkSession

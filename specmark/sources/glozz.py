@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from specmark.functions.domains import UNIT_TYPES
 from specmark.functions.text import trim_all
+from specmark.sources.store import exists
 
 _POSITION = "struct<singlePosition:struct<_index:string>>"
 _SCHEMA = (
@@ -87,11 +88,6 @@ def annotations_of(units: DataFrame, texts: DataFrame, corpus: str) -> DataFrame
     )
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def read_corpus(spark: SparkSession, directory: str, corpus: str) -> DataFrame | None:
     """The annotations of one corpus directory (aa/ and ac/), in file and unit order; None if it is not there."""
     aa, ac = f"{directory}/aa", f"{directory}/ac"
