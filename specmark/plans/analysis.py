@@ -17,6 +17,7 @@ from specmark.operators import markers as M
 from specmark.operators import ranking as R
 from specmark.plans.report import hypothesis_report
 from specmark.sources import glozz, sinks, tabular
+from specmark.sources.store import exists
 
 
 @dataclass
@@ -87,7 +88,7 @@ def top_markers(result: Specificity, n: int = 20) -> dict[str, DataFrame]:
 
 def read_markers(spark: SparkSession, path: str) -> DataFrame | None:
     """Markers that a run has written (Parquet folder, or CSV); None if there are none."""
-    if not glozz.exists(spark, path):
+    if not exists(spark, path):
         return None
     return tabular.read_csv(spark, path) if path.lower().endswith(".csv") else spark.read.parquet(path)
 

@@ -393,11 +393,12 @@ def onehot_active_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- files (S1-S14, K1, K2, F1, F2, F4, J3, U1) ---
-_UNITS_SQL = """
-d AS (SELECT doc_id, lang, source, replace(coalesce(text, ''), chr(13), ' ') AS t, doc_id % 16 AS b FROM documents),
+_UNITS_SQL = f"""
+q AS (SELECT greatest({fixtures.SET}, CAST(ceil(count(*) / {fixtures.PER_FILE}.0) AS BIGINT)) AS files FROM documents),
+d AS (SELECT doc_id, lang, source, replace(coalesce(text, ''), chr(13), ' ') AS t, doc_id % files AS b FROM documents, q),
 o AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY b ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM d),
 u AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE off + doc_id % 5 END AS s, off + least(doc_id % 37, length(t)) AS e, doc_id % 5 <> 1 AS situation
-  FROM o WHERE b < 13 AND doc_id % 5 <> 0 AND (doc_id % 11 <> 0))"""
+  FROM o WHERE b % {fixtures.SET} < {fixtures.MALFORMED} AND doc_id % 5 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0)"""
 
 
 @_query(
@@ -429,7 +430,7 @@ def annotation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.join(before, "part").select("unit_id", (F.col("before") + F.col("nth") + 1).alias("place"))
 
 
-@_query("SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS corpus, 'f' || (doc_id % 16) AS file_id FROM documents WHERE doc_id % 16 IN (14, 15)")
+@_query(f"WITH {_UNITS_SQL} SELECT DISTINCT CASE WHEN b % 2 = 0 THEN 'A' ELSE 'B' END AS corpus, 'f' || b AS file_id FROM d WHERE b % {fixtures.SET} >= {fixtures.NOT_UTF8}")
 def annotation_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose text is missing or not UTF-8."""
     folders = fixtures.write_annotations(_table(spark, sf_dir, "documents"))

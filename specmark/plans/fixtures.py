@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from specmark.sources import sinks
 from specmark.sources.store import shared_folder
 
-#: Files per corpus set; the last three are malformed, not UTF-8 and without a text.
-FILES, MALFORMED, NOT_UTF8, ALONE = 16, 13, 14, 15
+#: Of each sixteen files, three are malformed, not UTF-8 and without a text.
+SET, MALFORMED, NOT_UTF8, ALONE = 16, 13, 14, 15
+#: Documents of a file, on average; so the number of files grows with the table, and a file's task does not.
+PER_FILE = 1000
 
 
 def _write_files(lines: DataFrame, folder: str, suffix: str) -> None:
@@ -43,11 +45,16 @@ def _feature(name: str, value: Column) -> Column:
 
 
 def write_annotations(documents: DataFrame) -> dict[str, str]:
-    """A unit per document over texts of many documents; corpus A has the files of even number, B the others."""
+    """A unit per document over texts of many documents; corpus A has the files of even number, B the others.
+
+    Some units lie in other elements or in other units, some have an empty side, a position without an index or one that is no
+    number, or no position at all.
+    """
     spark = documents.sparkSession
     base = shared_folder(spark, "annotations")
     doc, blank = F.col("doc_id"), F.lit("")
-    number = doc % FILES
+    files = max(SET, -(-documents.count() // PER_FILE))
+    number = doc % files
     docs = documents.select(
         "doc_id", "lang", "source", F.translate(F.coalesce("text", blank), "\r", " ").alias("t"),
         F.when(number % 2 == 0, "A").otherwise("B").alias("corpus"), F.concat(F.lit("f"), number).alias("file"), number.alias("number"),
@@ -55,6 +62,7 @@ def write_annotations(documents: DataFrame) -> dict[str, str]:
     before = W.partitionBy("file").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
     placed = docs.withColumn("offset", F.coalesce(F.sum(F.length("t") + 1).over(before), F.lit(0)))
     start = F.when(doc % 11 == 0, F.lit("x")).when(doc % 7 != 0, (F.col("offset") + doc % 5).cast("string"))
+    first = F.when(doc % 13 == 0, F.lit("<start/>")).when(doc % 17 == 0, F.lit("")).otherwise(_side("start", start))
     end = (F.col("offset") + F.least(doc % 37, F.length("t"))).cast("string")
     kind = F.when(doc % 5 == 0, "paragraph").when(doc % 5 == 1, "Autre").otherwise(" SitEmo ")
     features = F.concat(
@@ -63,20 +71,22 @@ def write_annotations(documents: DataFrame) -> dict[str, str]:
     )
     unit = F.concat(
         F.lit('<unit id="u'), doc, F.lit('"><metadata/><characterisation><type>'), kind, F.lit("</type><featureSet>"), features,
-        F.lit("</featureSet></characterisation><positioning>"), _side("start", start), _side("end", end), F.lit("</positioning></unit>"),
-    )
+        F.lit("</featureSet></characterisation><positioning>"), first, _side("end", end), F.lit("</positioning></unit>"),
+    )
+    inner = F.when(doc % 3 == 0, F.concat(F.lit("<group><part>"), unit, F.lit("</part></group>"))).when(doc % 4 == 0, F.concat(F.lit("<unit>"), unit, F.lit("</unit>"))).otherwise(unit)
     heads = placed.groupBy("corpus", "file", "number").agg(F.max("doc_id").alias("last"))
     ends = heads.select("corpus", "file", F.inline(F.array(
         F.struct(F.lit(-1).cast("long").alias("at"), F.lit("<annotations>").alias("line")),
-        F.struct((F.col("last") + 1).alias("at"), F.when(F.col("number") == MALFORMED, "<open>").otherwise("</annotations>").alias("line")),
+        F.struct((F.col("last") + 1).alias("at"), F.when(F.col("number") % SET == MALFORMED, "<open>").otherwise("</annotations>").alias("line")),
     )))
-    units = placed.select("corpus", "file", doc.alias("at"), unit.alias("line")).unionByName(ends)
-    texts = placed.filter(~number.isin(NOT_UTF8, ALONE)).select("corpus", "file", doc.alias("at"), F.col("t").alias("line"))
+    units = placed.select("corpus", "file", doc.alias("at"), inner.alias("line")).unionByName(ends)
+    texts = placed.filter(~(F.col("number") % SET).isin(NOT_UTF8, ALONE)).select("corpus", "file", doc.alias("at"), F.col("t").alias("line"))
     for corpus in "AB":
         own = F.col("corpus") == corpus
         _write_files(units.filter(own).drop("corpus"), f"{base}/{corpus}/aa", ".aa")
         _write_files(texts.filter(own).drop("corpus"), f"{base}/{corpus}/ac", ".ac")
-    sinks.write_bytes(spark, f"{base}/A/ac/f{NOT_UTF8}.ac", "été".encode("latin-1"))
+    for k in range(NOT_UTF8, files, SET):
+        sinks.write_bytes(spark, f"{base}/{'AB'[k % 2]}/ac/f{k}.ac", "été".encode("latin-1"))
     return {"A": f"{base}/A", "B": f"{base}/B", "missing": f"{base}/none"}
 
 

@@ -1,30 +1,34 @@
 """Stand-off annotations: XML units beside raw texts.
 
-Both file sets are read by Spark's own sources, so any store that Spark reads will do, and are joined on corpus and
-basename. A malformed XML file is dropped whole; a text that is not UTF-8 is dropped with its annotations.
+Both file sets are read by Spark's own source for binary files, so any store that Spark reads will do, and are joined on the
+basename, a row per file. An annotation file is read by events: units are found at any depth and sent on one by one. Spark's
+XML source can neither tell an empty element from a missing one nor drop a file for an error further on; here a file is
+checked to its end first, which keeps nothing, and is dropped whole at its first error. A text that is not UTF-8 is dropped
+with its annotations. Offsets count code points, so spans are cut where the whole text is at hand.
 """
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
 from functools import reduce
+from xml.etree import ElementTree
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specmark.functions.domains import UNIT_TYPES
-from specmark.functions.text import trim_all
 from specmark.sources.store import exists
 
-_POSITION = "struct<singlePosition:struct<_index:string>>"
-_SCHEMA = (
-    "unit array<struct<_id:string,"
-    "characterisation:struct<type:string,featureSet:struct<feature:array<struct<_name:string,_VALUE:string>>>>,"
-    f"positioning:struct<start:{_POSITION},end:{_POSITION}>>>, _corrupt_record string"
-)
-ANNOTATIONS = (
-    "corpus string, file_id string, unit_id string, type string, start_idx int, end_idx int, text_span string,"
-    " mode string, categorie1 string, categorie2 string, remarque string"
-)
+_UNIT = "unit_id string, type string, start_idx int, end_idx int, text_span string, mode string, categorie1 string, categorie2 string, remarque string"
+ANNOTATIONS = f"corpus string, file_id string, {_UNIT}"
+_COLUMNS = [c.split()[0] for c in _UNIT.split(", ")]
+#: Features that a unit of each type carries, by column.
+_FEATURES = {"mode": ("SitEmo", "Mode"), "categorie1": ("SitEmo", "Categorie"), "categorie2": ("SitEmo", "Categorie2"), "remarque": ("Autre", "Remarque")}
+_MOST = 2**31 - 1
+_BATCH = 4096
 
 
 def _file_id(suffix: str) -> Column:
@@ -33,36 +37,69 @@ def _file_id(suffix: str) -> Column:
     return F.regexp_replace(F.url_decode(name), rf"\{suffix}$", "")
 
 
-def read_units(spark: SparkSession, path: str) -> DataFrame:
-    """file_id and one unit per row, of the well-formed .aa files in path."""
-    files = (
-        spark.read.format("xml").option("rowTag", "annotations").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("pathGlobFilter", "*.aa").schema(_SCHEMA).load(path)
-    )
-    named = files.select(_file_id(".aa").alias("file_id"), "unit", "_corrupt_record")
-    return named.filter("_corrupt_record IS NULL").select("file_id", F.posexplode("unit").alias("_at", "unit"))
+def is_well_formed(content: bytes) -> bool:
+    try:
+        expat.ParserCreate(None, "}").Parse(content, True)
+    except expat.ExpatError:
+        return False
+    return True
+
+
+def elements(content: bytes, tag: str) -> Iterator[tuple[int, ElementTree.Element]]:
+    """(place in the document, element) of each element of that name below the root; what is behind them is let go."""
+    at, depth, within, root = -1, 0, [], None
+    for event, node in ElementTree.iterparse(io.BytesIO(content), ("start", "end")):
+        if event == "start":
+            if root is None:
+                root = node
+            elif node.tag == tag:
+                at += 1
+                within.append(at)
+            depth += 1
+            continue
+        depth -= 1
+        if node.tag == tag and depth:
+            yield within.pop(), node
+        if depth == 1:
+            root.clear()
+        elif not within and depth:
+            node.clear()
+
+
+def _offset(unit: ElementTree.Element, side: str) -> int | None:
+    """-1 without the attribute; None, for which the unit goes, without the element or where it is no number."""
+    place = unit.find(f"./positioning/{side}/singlePosition")
+    if place is None:
+        return None
+    try:
+        number = int(place.get("index", "-1"))
+    except ValueError:
+        return None
+    return max(-_MOST, min(_MOST, number))  # no text has offsets beyond
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """file_id and text of the .ac files in path: UTF-8 with a leading BOM kept, line ends as one line feed."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ac").load(path)
-    raw = F.col("content").cast("string")
-    named = files.select(_file_id(".ac").alias("file_id"), raw.alias("text")).filter(F.is_valid_utf8("text"))
-    return named.withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
+def unit_of(node: ElementTree.Element) -> dict | None:
+    """what is kept of a unit, or None."""
+    kind = (node.findtext("./characterisation/type") or "").strip()
+    start, end = _offset(node, "start"), _offset(node, "end")
+    if kind not in UNIT_TYPES or start is None or end is None:
+        return None
+    written = {f.get("name", ""): (f.text or "").strip() or None for f in node.iterfind("./characterisation/featureSet/feature")}  # the last of a name
+    features = {c: written.get(name) if kind == of else None for c, (of, name) in _FEATURES.items()}
+    return {"unit_id": node.get("id", ""), "type": kind, "start_idx": start, "end_idx": end, **features}
 
 
-def _feature(name: str) -> Column:
-    """the last feature of that name, trimmed; empty is null."""
-    values = F.filter(F.col("unit.characterisation.featureSet.feature"), lambda f: f["_name"] == name)
-    return F.nullif(trim_all(F.try_element_at(values, F.lit(-1))["_VALUE"]), F.lit(""))
+def text_of(content: bytes) -> str | None:
+    """UTF-8 with a leading BOM kept, line ends as one line feed; None where it is not UTF-8."""
+    try:
+        return content.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
+    except UnicodeDecodeError:
+        return None
 
 
-def _index(side: str) -> tuple[Column, Column]:
-    """the offset (-1 without the attribute) and whether the unit is to be kept for it."""
-    place = F.col(f"unit.positioning.{side}.singlePosition")
-    text = F.coalesce(place["_index"], F.lit("-1"))
-    number = F.expr(f"try_cast(trim(coalesce(unit.positioning.{side}.singlePosition._index, '-1')) AS INT)")
-    return number, F.col(f"unit.positioning.{side}").isNotNull() & number.isNotNull() & text.isNotNull()
+def _files(spark: SparkSession, path: str, suffix: str, column: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
+    return files.select(_file_id(suffix).alias("file_id"), F.col("content").alias(column))
 
 
 def span_of(text: Column, start: Column, end: Column) -> Column:
@@ -71,29 +108,36 @@ def span_of(text: Column, start: Column, end: Column) -> Column:
     return F.translate(F.when(fits, F.substring(text, start + 1, end - start)).otherwise(""), "\n\r", "  ")
 
 
-def annotations_of(units: DataFrame, texts: DataFrame, corpus: str) -> DataFrame:
-    """One row per kept unit whose file has a text."""
-    kind = trim_all(F.col("unit.characterisation.type"))
-    (start, has_start), (end, has_end) = _index("start"), _index("end")
-    is_situation, is_other = F.col("type") == "SitEmo", F.col("type") == "Autre"
-    kept = units.filter(kind.isin(*UNIT_TYPES) & has_start & has_end).select(
-        "file_id", "_at", F.coalesce("unit._id", F.lit("")).alias("unit_id"), kind.alias("type"), start.alias("start_idx"), end.alias("end_idx"),
-        *(_feature(n).alias(c) for n, c in (("Mode", "mode"), ("Categorie", "categorie1"), ("Categorie2", "categorie2"), ("Remarque", "remarque"))),
-    )
-    span = span_of(F.col("text"), F.col("start_idx"), F.col("end_idx"))
-    return kept.join(texts, "file_id").select(
-        F.lit(corpus).alias("corpus"), "file_id", "unit_id", "type", "start_idx", "end_idx",
-        span.alias("text_span"),
-        *(F.when(is_situation, F.col(c)).alias(c) for c in ("mode", "categorie1", "categorie2")), F.when(is_other, F.col("remarque")).alias("remarque"), "_at",
-    )
+def _annotate(batches):
+    """Units and their spans from pairs of files (file_id, aa, ac), a few thousand rows at a time."""
+    schema = pa.schema([("file_id", pa.string()), *((c, pa.int32() if c.endswith("_idx") else pa.string()) for c in _COLUMNS), ("_at", pa.int64())])
+    rows: list[dict] = []
+    for batch in batches:
+        for k in range(batch.num_rows):
+            file_id, aa, ac = (batch.column(j)[k].as_py() for j in range(3))
+            text = text_of(ac)
+            if text is None or not is_well_formed(aa):
+                continue
+            for at, node in elements(aa, "unit"):
+                unit = unit_of(node)
+                if unit is None:
+                    continue
+                start, end = unit["start_idx"], unit["end_idx"]
+                fits = 0 <= start <= end <= len(text)
+                rows.append(unit | {"file_id": file_id, "text_span": text[start:end].replace("\n", " ") if fits else "", "_at": at})
+                if len(rows) == _BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+    yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def read_corpus(spark: SparkSession, directory: str, corpus: str) -> DataFrame | None:
-    """The annotations of one corpus directory (aa/ and ac/), in file and unit order; None if it is not there."""
+    """The annotations of one corpus directory (aa/ and ac/), with their place in the file; None if it is not there."""
     aa, ac = f"{directory}/aa", f"{directory}/ac"
     if not (exists(spark, aa) and exists(spark, ac)):
         return None
-    return annotations_of(read_units(spark, aa), read_texts(spark, ac), corpus)
+    pairs = _files(spark, aa, ".aa", "aa").join(_files(spark, ac, ".ac", "ac"), "file_id")
+    return pairs.mapInArrow(_annotate, f"file_id string, {_UNIT}, _at long").select(F.lit(corpus).alias("corpus"), "*")
 
 
 def read_corpora(spark: SparkSession, directories: dict[str, str], only: str | None = None, ordered: bool = True) -> DataFrame:
@@ -111,5 +155,5 @@ def read_corpora(spark: SparkSession, directories: dict[str, str], only: str | N
 
 def unpaired(spark: SparkSession, directory: str) -> DataFrame:
     """Basenames of .aa files that have no text and are skipped."""
-    aa = spark.read.format("binaryFile").option("pathGlobFilter", "*.aa").load(f"{directory}/aa").select(_file_id(".aa").alias("file_id"))
-    return aa.join(read_texts(spark, f"{directory}/ac").select("file_id"), "file_id", "left_anti")
+    texts = _files(spark, f"{directory}/ac", ".ac", "ac").filter(F.is_valid_utf8(F.col("ac").cast("string"))).select("file_id")
+    return _files(spark, f"{directory}/aa", ".aa", "aa").select("file_id").join(texts, "file_id", "left_anti")

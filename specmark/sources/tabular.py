@@ -1,8 +1,9 @@
 """One-hot tables from CSV and Excel files (S9-S14, F7 input, F10).
 
-Excel files are read as binary files, so from any store that Spark reads, and unpacked on the executors with the
-standard library: a workbook is a ZIP of XML parts. Each row becomes an array of typed cells; a file's first row names
-its columns. One-hot columns keep numbers only, as a text "1" does not mark a class.
+Excel files are read as binary files, so from any store that Spark reads, which a data source in Python could not open; they
+are unpacked on the executors with the standard library: a workbook is a ZIP of XML parts. One look at the first rows names
+the columns of all workbooks; then each is opened once, whatever its layout, and its sheet is read by events and sent on row
+by row, as cells by column name. One-hot columns keep numbers only, as a text "1" does not mark a class.
 """
 
 from __future__ import annotations
@@ -11,19 +12,17 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from functools import reduce
+from itertools import batched
 from xml.etree import ElementTree
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from specmark.functions.domains import ACTIVE_COLUMN, EMOTION_COLUMNS, META_COLUMNS, MODE_COLUMNS
 
 NUMERIC = (*EMOTION_COLUMNS, *MODE_COLUMNS, *META_COLUMNS, ACTIVE_COLUMN)
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_CELL = T.StructType([T.StructField("number", T.DoubleType()), T.StructField("text", T.StringType())])
 
 
 def _column_number(reference: str) -> int:
@@ -38,65 +37,104 @@ def _string(node) -> str:
     return "".join(t.text or "" for child in node for t in ([child] if child.tag == f"{_NS}t" else child.findall(f"{_NS}t") if child.tag == f"{_NS}r" else []))
 
 
-def workbook_rows(content: bytes) -> list[list[dict | None]]:
-    """Rows of the first sheet; a cell is {number, text} or None."""
+def _elements(part, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of that name, one at a time; each is let go when the next is asked for."""
+    parents: list[ElementTree.Element] = []
+    for event, node in ElementTree.iterparse(part, ("start", "end")):
+        if event == "start":
+            parents.append(node)
+            continue
+        parents.pop()
+        if node.tag == tag:
+            yield node
+            if parents:
+                parents[-1].clear()
+
+
+def _first_sheet(z: zipfile.ZipFile) -> str:
+    names = z.namelist()
+    if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
+        sheets = ElementTree.fromstring(z.read("xl/workbook.xml")).find(f"{_NS}sheets")
+        rid = sheets[0].get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id")
+        for rel in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            if rel.get("Id") == rid:
+                return "xl/" + rel.get("Target").removeprefix("/xl/").removeprefix("xl/")
+    return "xl/worksheets/sheet1.xml"
+
+
+def workbook_rows(content: bytes) -> Iterator[list[tuple[float | None, str] | None]]:
+    """Rows of the first sheet, one by one; a cell is (number, text) or None."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
-        shared = [_string(si) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        target = "worksheets/sheet1.xml"
-        if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
-            sheets = ElementTree.fromstring(z.read("xl/workbook.xml")).find(f"{_NS}sheets")
-            rid = sheets[0].get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id")
-            for rel in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
-                if rel.get("Id") == rid:
-                    target = rel.get("Target").removeprefix("/xl/").removeprefix("xl/")
-        rows: list[list[dict | None]] = []
-        for row in ElementTree.fromstring(z.read(f"xl/{target}")).iter(f"{_NS}row"):
-            cells: list[dict | None] = []
-            for cell in row.findall(f"{_NS}c"):
-                at = _column_number(cell.get("r")) if cell.get("r") else len(cells)
-                cells += [None] * (at + 1 - len(cells))
-                kind, value = cell.get("t", "n"), cell.findtext(f"{_NS}v")
-                if kind == "inlineStr":
-                    cells[at] = {"number": None, "text": _string(cell.find(f"{_NS}is"))}
-                elif value is None or kind == "e":
-                    continue
-                elif kind == "s":
-                    cells[at] = {"number": None, "text": shared[int(value)]}
-                elif kind == "b":
-                    cells[at] = {"number": float(value), "text": "True" if value == "1" else "False"}
-                elif kind == "n":
-                    number = float(value)
-                    cells[at] = {"number": number, "text": str(int(number)) if number.is_integer() else repr(number)}
-                else:
-                    cells[at] = {"number": None, "text": value}
-            rows.append(cells)
-        return rows
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(_CELL)))
-def _unpack(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in contents:
-        yield batch.map(workbook_rows)
-
-
-def _column(cell: Column, name: str) -> Column:
-    return (cell["number"] if name in NUMERIC else cell["text"]).alias(name)
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            with z.open("xl/sharedStrings.xml") as part:
+                shared = [_string(si) for si in _elements(part, f"{_NS}si")]
+        with z.open(_first_sheet(z)) as part:
+            for row in _elements(part, f"{_NS}row"):
+                cells: list[tuple[float | None, str] | None] = []
+                for cell in row.findall(f"{_NS}c"):
+                    at = _column_number(cell.get("r")) if cell.get("r") else len(cells)
+                    cells += [None] * (at + 1 - len(cells))
+                    kind, value = cell.get("t", "n"), cell.findtext(f"{_NS}v")
+                    if kind == "inlineStr":
+                        cells[at] = (None, _string(cell.find(f"{_NS}is")))
+                    elif value is None or kind == "e":
+                        continue
+                    elif kind == "s":
+                        cells[at] = (None, shared[int(value)])
+                    elif kind == "b":
+                        cells[at] = (float(value), "True" if value == "1" else "False")
+                    elif kind == "n":
+                        number = float(value)
+                        cells[at] = (number, str(int(number)) if number.is_integer() else repr(number))
+                    else:
+                        cells[at] = (None, value)
+                yield cells
+
+
+def _header(rows: Iterator[list]) -> list[str | None]:
+    """Names by place, from the first row; a name that occurs again is numbered, and a blank one is None."""
+    names: list[str | None] = []
+    for cell in next(rows, []):
+        name = cell[1] if cell and cell[1] else None
+        again = 0
+        while name is not None and (name if not again else f"{name}.{again}") in names:
+            again += 1
+        names.append(f"{name}.{again}" if again else name)
+    return names
+
+
+def _headers(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            names = [n for n in _header(workbook_rows(batch.column(1)[k].as_py())) if n]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([names], pa.list_(pa.string()))], names=["source_file", "header"])
+
+
+_CELLS = pa.map_(pa.string(), pa.struct([("number", pa.float64()), ("text", pa.string())]))
+
+
+def _rows(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            rows = workbook_rows(batch.column(1)[k].as_py())
+            names = _header(rows)
+            for part in batched(rows, 2048):
+                cells = [[(n, {"number": c[0], "text": c[1]}) for n, c in zip(names, row) if n and c] for row in part]
+                files = pa.array([batch.column(0)[k].as_py()] * len(part))
+                yield pa.RecordBatch.from_arrays([files, pa.array(cells, _CELLS)], names=["source_file", "cells"])
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
     """All workbooks of a path or glob, one schema over the union of their columns, with source_file."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("source_file"), _unpack("content").alias("rows"))
-    headers = files.select(F.transform(F.col("rows")[0], lambda c: c["text"]).alias("h")).distinct().collect()  # a row per layout
-    layouts = [[h for h in r.h] for r in headers if r.h]
-    parts = []
-    for header in layouts:
-        same = F.transform(F.col("rows")[0], lambda c: c["text"]).eqNullSafe(F.array(*(F.lit(h) for h in header)))
-        rows = files.filter(same).select("source_file", F.explode(F.expr("slice(rows, 2, size(rows))")).alias("cells"))
-        parts.append(rows.select(*(_column(F.get("cells", F.lit(i)), h) for i, h in enumerate(header) if h), "source_file"))
-    if not parts:
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("source_file"), "content")
+    headers = files.mapInArrow(_headers, "source_file string, header array<string>")
+    layouts = headers.groupBy("header").agg(F.min("source_file").alias("first")).orderBy("first").collect()  # a row per layout
+    names = list(dict.fromkeys(n for layout in layouts for n in layout.header))
+    if not names:
         raise ValueError(f"no rows in {path}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rows = files.mapInArrow(_rows, "source_file string, cells map<string, struct<number:double,text:string>>")
+    return rows.select(*(F.col("cells")[n]["number" if n in NUMERIC else "text"].alias(n) for n in names), "source_file")
 
 
 def read_table_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -106,17 +144,28 @@ def read_table_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*((F.expr(f"try_cast(`{c}` AS DOUBLE)") if c in NUMERIC else F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in raw.columns))
 
 
+def _is_zip(spark: SparkSession, path: str) -> bool:
+    """Whether the first file of a path begins as workbooks do."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f for f in store.globStatus(hadoop) or [] if f.isFile() and f.getLen() >= 4]
+    if not found:
+        return False
+    stream = store.open(found[0].getPath())
+    try:
+        return stream.readInt() == 0x504B0304
+    finally:
+        stream.close()
+
+
 def read_input(spark: SparkSession, path: str) -> DataFrame:
-    """By extension; an unknown one is tried as Excel, then as CSV."""
+    """By extension; a file of an unknown one is Excel where it begins as a ZIP, and CSV else."""
     lower = path.lower()
     if lower.endswith((".xlsx", ".xls")):
         return read_excel(spark, path)
     if lower.endswith(".csv"):
         return read_table_csv(spark, path)
-    try:
-        return read_excel(spark, path)
-    except Exception:  # whatever a file that is no workbook raises on an executor
-        return read_table_csv(spark, path)
+    return read_excel(spark, path) if _is_zip(spark, path) else read_table_csv(spark, path)
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:

@@ -64,6 +64,31 @@ def test_annotations(spark, corpus):
     assert glozz.read_corpora(spark, {"missing": str(corpus / "none")}).count() == 0
 
 
+def test_units_at_any_depth_and_positions(spark, tmp_path):
+    aa, ac = tmp_path / "C" / "aa", tmp_path / "C" / "ac"
+    aa.mkdir(parents=True), ac.mkdir()
+    bare = lambda id, start: _unit(id, start=None).replace("<positioning>", f"<positioning>{start}")
+    units = (
+        "<group><deep>" + _unit("in group", start=1) + "</deep></group>"
+        + _unit("outer", start=2).replace("</unit>", _unit("in unit", start=3) + "</unit>")
+        + bare("empty side", "<start/>") + bare("no side", "") + bare("other child", "<start><position index='1'/></start>")
+        + bare("no index", "<start><singlePosition/></start>") + bare("spaced", '<start><singlePosition index=" +1 "/></start>')
+        + bare("half", '<start><singlePosition index="1.5"/></start>') + bare("beyond", '<start><singlePosition index="99999999999"/></start>')
+        + '<unit id="no kind"><positioning/></unit>'
+    )
+    (aa / "a.aa").write_text(f"<annotations>{units}</annotations>")
+    (ac / "a.ac").write_text("0123456789")
+    (aa / "late.aa").write_text("<annotations>" + _unit("lost") * 500 + "</annotation>")  # an error at the very end
+    (ac / "late.ac").write_text("0123456789")
+    rows = glozz.read_corpora(spark, {"C": str(tmp_path / "C")}).collect()
+    assert [(r.unit_id, r.start_idx, r.text_span) for r in rows] == [
+        ("in group", 1, "123"), ("outer", 2, "23"), ("in unit", 3, "3"), ("no index", -1, ""), ("spaced", 1, "123"), ("beyond", 2**31 - 1, ""),
+    ]
+    assert not glozz.is_well_formed(b"<a><x:b/></a>") and not glozz.is_well_formed(b"") and glozz.is_well_formed("<a>é</a>".encode())
+    big = b"<r>" + b"<g><unit id='1'><x/></unit></g>" * 20000 + b"</r>"
+    assert [k for k, _ in glozz.elements(big, "unit")] == list(range(20000))
+
+
 def test_run_writes_all_results(spark, corpus, tmp_path):
     out = tmp_path / "out"
     analysis.run_annotations(spark, {"C": str(corpus / "C")}, str(out), min_freq=1, lemmatizer="identity")
@@ -110,6 +135,23 @@ def test_workbooks(spark, tmp_path):
     assert not (tmp_path / "out/specificity_results/hypothesis_report.txt").exists()
 
 
+def test_many_layouts_in_one_pass(spark, tmp_path):
+    names = ["idx", "ID", "NAME", "TEXT"]
+    for k, extra in enumerate((["Joie"], ["Peur", "Peur"], [None, "Joie", "Base"], [])):
+        _workbook(tmp_path / f"w{k}.xlsx", [[*names, *extra], [1, f"i{k}", "n", "t", *([1] * len(extra))], [], [2, f"j{k}", "n", None]])
+    df = tabular.read_folder(spark, str(tmp_path))
+    assert df.columns == [*names, "Joie", "Peur", "Peur.1", "Base", "source_file"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # each workbook is opened once, whatever its layout
+    rows = {r.ID: r for r in df.collect()}
+    assert len(df.collect()) == 12 and rows["i1"].Peur == 1.0 and rows["i1"]["Peur.1"] == "1" and rows["i2"].Joie == 1.0 and rows["j3"].TEXT is None
+    with pytest.raises(ValueError):
+        _workbook(tmp_path / "x" / "none.xlsx", []) if (tmp_path / "x").mkdir() is None else None
+        tabular.read_folder(spark, str(tmp_path / "x"))
+    with zipfile.ZipFile(tmp_path / "w0.xlsx") as z, z.open("xl/worksheets/sheet1.xml") as part:
+        seen = [len(row) for row in tabular._elements(part, f"{tabular._NS}row")]  # rows come one by one, with their cells
+    assert seen == [5, 5, 0, 3]
+
+
 def test_csv_and_dispatch(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_bytes('﻿idx,ID,NAME,TEXT,Joie\n1,a,n,"dit ""oui""\nencore",1\n2,b,,NA,\n'.encode())
