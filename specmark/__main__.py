@@ -77,7 +77,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             print(name)
             sinks.show(C.sample_markers(rows), 30)
     else:
-        sinks.write_text(spark, o.output, sinks.dashboard_html(analysis.dashboard(spark, o.annotations, o.tables)))
+        sinks.write_dashboard(analysis.dashboard(spark, o.annotations, o.tables), o.output)
 
 
 if __name__ == "__main__":

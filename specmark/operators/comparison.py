@@ -45,6 +45,11 @@ def set_sizes(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def french_order(column: str = "marker") -> list[Column]:
+    """As a French dictionary has it (accents and case decide between words of the same letters only), then by code points."""
+    return [F.collate(F.col(column), "fr"), F.col(column)]
+
+
 def sample_markers(markers: DataFrame, n: int = 30) -> DataFrame:
     """O4, in a fixed order."""
     return markers.orderBy("marker").limit(n)

@@ -1,4 +1,4 @@
-"""The most specific markers of each class."""
+"""The most specific markers of each class, and places in an order of all rows."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from specmark.sources.store import kept
+
 
 def probability_columns(entropy: DataFrame) -> dict[str, str]:
     """class by the column of its probability, in column order."""
@@ -36,3 +38,16 @@ def top_markers(entropy: DataFrame, n: int = 20) -> DataFrame:
             F.col("entropy").alias("Entropie"),
         )
     )
+
+
+def places(ordered: DataFrame) -> DataFrame:
+    """The rows of a sorted table with their ``place`` from 1 on: the sizes of the parts before a row's own, and its place there.
+
+    No task sees more than its part; what meets in one task is a row per part of the sort.
+    """
+    number = F.monotonically_increasing_id()
+    at = kept(ordered.select("*", F.shiftright(number, 33).alias("_part"), number.bitwiseAND((1 << 33) - 1).alias("_nth")), "places")
+    sizes = at.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return at.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_nth") + 1).drop("_part", "_nth", "_before")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specmark.functions.domains import EMOTIONS, MODES
+from specmark.functions.numbers import float_text
 from specmark.operators import comparison as C
 from specmark.operators import entropy as E
 from specmark.operators import markers as M
@@ -111,3 +112,17 @@ def test_sets_and_dashboard(spark):
     assert {r.marker: (r.corpora, r.emotions) for r in sets.collect()} == {"rire": (["Glozz", "XLSX"], ["Autre", "Joie", "Peur"]), "seul": (["Glozz"], ["Autre"])}
     count = lambda *a: C.dashboard_filter(sets, *a).count()
     assert (count(), count("both"), count("only:Glozz"), count("XLSX"), count("all", "Peur")) == (2, 1, 1, 1, 1)
+
+
+def test_french_order_and_places(spark):
+    want = ["aujourd'hui", "ca", "ça", "cote", "Cote", "coté", "côte", "côté", "etat", "été", "Été", "étude", "l'été", "la", "œuf", "zèbre"]  # by hand
+    df = spark.createDataFrame([(m,) for m in sorted(want)], "marker string").repartition(4)
+    rows = R.places(df.orderBy(*C.french_order())).collect()
+    assert [r.marker for r in sorted(rows, key=lambda r: r.place)] == want and sorted(r.place for r in rows) == list(range(1, 17))
+    assert R.places(df.limit(0).orderBy("marker")).count() == 0
+
+
+def test_numbers_as_python_writes_them(spark):
+    values = [0.0, -0.0, 1.0, -1.5, 1e7, 123456789.25, 1e15, 1e16, -1.5e16, 0.001, 0.0005, 0.0001, 0.00001, 1.25e-7, 1e100, float("nan"), float("inf"), float("-inf"), 1 / 3, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", float_text(F.col("v")).alias("t")).collect()
+    assert [r.t for r in rows] == [None if v is None else repr(v) for v in values]

@@ -1,4 +1,6 @@
+import csv
 import json
+import re
 import zipfile
 
 import pytest
@@ -163,20 +165,45 @@ def test_csv_and_dispatch(spark, tmp_path):
     M.check_required(tabular.read_input(spark, str(path)))
 
 
-def test_dashboard_page(spark):
-    sets = spark.createDataFrame([("</script><b>", ["XLSX"], ["Joie"])], "marker string, corpora array<string>, emotions array<string>")
-    page = sinks.dashboard_html(sets)
-    assert "</script><b>" not in page
-    data = page.split('id="data">')[1].split("</script>")[0]
-    assert json.loads(data) == [{"marker": "</script><b>", "corpora": ["XLSX"], "emotions": ["Joie"]}]
+def _sets(spark, rows):
+    return spark.createDataFrame(rows, "marker string, corpora array<string>, emotions array<string>")
+
+
+def test_dashboard_page(spark, tmp_path):
+    sinks.write_dashboard(_sets(spark, [("</script><b>", ["XLSX"], ["Joie"]), ("été", ["Glozz"], ["Peur"]), ("etat", ["Glozz", "XLSX"], ["Joie", "Peur"])]), str(tmp_path / "d.html"))
+    page = (tmp_path / "d.html").read_text("utf-8")
+    assert "</script><b>" not in page and '<option value="only:Glozz">' in page
+    shards = json.loads(page.split('id="data">')[1].split("</script>")[0])
+    assert [i["marker"] for s in shards for i in s["items"]] == ["</script><b>", "etat", "été"]
+    sinks.write_dashboard(_sets(spark, []), str(tmp_path / "none.html"))
+    assert "Marqueurs" in (tmp_path / "none.html").read_text("utf-8")
+
+
+def test_dashboard_in_shards(spark, tmp_path):
+    rows = [(f"{'aàâeéz'[k % 6]}{'<b>' if k % 50 == 0 else ''}{k // 6:03d}", ["Glozz", "XLSX"] if k % 2 else ["XLSX"], ["Joie"] if k % 3 else ["Joie", "Peur"]) for k in range(600)]
+    sinks.write_dashboard(_sets(spark, rows).repartition(5), str(tmp_path / "d.html"), per_shard=40, inline=100)
+    page = (tmp_path / "d.html").read_text("utf-8")
+    index = json.loads(page.split('id="data">')[1].split("</script>")[0])[:-1]
+    assert len(index) > 10 and sum(s["n"] for s in index) == 600 and "d.html.data/" in page and "<b>" not in page.split('id="data">')[1]
+    found = []
+    for shard in index:
+        items = [json.loads(x) for x in (tmp_path / "d.html.data" / shard["file"]).read_text("utf-8").split("\n") if x]
+        assert len(items) == shard["n"] and items[0]["marker"] == shard["first"]
+        assert shard["corpora"] == sorted({c for i in items for c in i["corpora"]}) and shard["emotions"] == sorted({e for i in items for e in i["emotions"]})
+        found += items
+    assert sorted((i["marker"], i["corpora"], i["emotions"]) for i in found) == sorted(rows)
+    letters = [re.sub("<b>", "", i["marker"]).translate(str.maketrans("àâé", "aae")) for i in found if "<b>" not in i["marker"]]
+    assert letters == sorted(letters)
 
 
 def test_summary_csv(spark, tmp_path):
     df = spark.range(3).withColumn("x", F.when(F.col("id") > 0, F.lit('a "b", c')))
     sinks.write_summary(df.orderBy("id"), str(tmp_path / "s.csv"))
     assert (tmp_path / "s.csv").read_text("utf-8-sig") == 'id,x\n0,\n1,"a ""b"", c"\n2,"a ""b"", c"\n'
-    with pytest.raises(ValueError):
-        sinks.write_summary(df, str(tmp_path / "large.csv"), most_rows=2)
+    parts = spark.range(5000, numPartitions=7).select(F.col("id").alias("n,m"), (F.col("id") / 8).alias("x"), F.concat(F.lit("é\n"), "id").alias("t"))
+    sinks.write_summary(parts, str(tmp_path / "many.csv"))  # several parts, one file, in order
+    with open(tmp_path / "many.csv", encoding="utf-8-sig", newline="") as f:
+        assert list(csv.reader(f)) == [["n,m", "x", "t"], *([str(i), repr(i / 8), f"é\n{i}"] for i in range(5000))]
     sinks.write_csv(df.repartitionByRange(3, "id"), str(tmp_path / "parts.csv"))
     parts = [p.read_text("utf-8") for p in (tmp_path / "parts.csv").glob("part-*")]
     assert len(parts) == 3 and all(p.startswith("\ufeffid,x\n") for p in parts)
