@@ -55,14 +55,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if o.command == "annotations":
         out = o.output_dir
         if o.step in ("all", "parse"):
-            sinks.write_table(analysis.parse(spark, _corpora(o.corpora), o.corpus), f"{out}/annotations")
+            for name, n in analysis.write_annotations(spark, _corpora(o.corpora), f"{out}/annotations", o.corpus).items():
+                print(f"{name}: {n}")
         if o.step in ("all", "markers"):
             marked = analysis.markers(
-                spark.read.parquet(f"{out}/annotations"), not o.no_lemma, o.lemmatizer, o.batch_size, o.include_empty, o.remove_stopwords
+                analysis.read_stage(spark, f"{out}/annotations", o.corpus), not o.no_lemma, o.lemmatizer, o.batch_size, o.include_empty, o.remove_stopwords
             )
-            sinks.write_table(marked, f"{out}/markers", "marker_type")
+            sinks.write_table(marked, f"{out}/markers", "corpus", "marker_type")
         if o.step in ("all", "specificity"):
-            analysis.specificity(spark.read.parquet(f"{out}/markers"), o.min_freq, o.marker_type).write(f"{out}/specificity_results")
+            analysis.specificity(analysis.read_stage(spark, f"{out}/markers", o.corpus), o.min_freq, o.marker_type).write(f"{out}/specificity_results")
     elif o.command == "tables":
         analysis.run_tables(spark, o.input_dir, o.output_dir, o.min_freq, not o.no_lemma, o.lemmatizer)
     elif o.command == "top":

@@ -10,7 +10,12 @@ def float_text(value: Column) -> Column:
     """A double with its point, and with an exponent below 0.0001 and from 1e16 on; nan for NaN, and null for null.
 
     The digits are those of Spark's own text of a double, which has an exponent from 1e7 on and below 0.001; the point moves.
+    A lambda's body is not put into generated code, which a few columns of it would make too long to be compiled.
     """
+    return F.transform(F.array(value), _text)[0]
+
+
+def _text(value: Column) -> Column:
     own = F.abs(value).cast("string")
     written = F.regexp_extract(own, r"E(-?[0-9]+)$", 1)
     power = F.when(written != "", written.cast("int")).otherwise(0)

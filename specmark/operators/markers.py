@@ -11,6 +11,7 @@ from specmark.functions.domains import (
     ACTIVE_COLUMN, CONTEXT_COLUMNS, EMOTION_COLUMNS, LINGUISTIC_COLUMNS, META_COLUMNS, MODE_COLUMNS, OTHER, REQUIRED_COLUMNS, STOPWORDS,
 )
 from specmark.functions.lemma import lemmas
+from specmark.functions.numbers import float_text
 from specmark.functions.text import is_blank, punctuation, words
 
 
@@ -70,11 +71,19 @@ def propagated(df: DataFrame) -> list[str]:
     return [c for c in wanted if c in df.columns]
 
 
+def as_text(df: DataFrame, column: str) -> Column:
+    """numbers and truth values as Python writes them."""
+    kind, value = df.schema[column].dataType.typeName(), F.col(f"`{column}`")
+    if kind in ("double", "float"):
+        return float_text(value.cast("double"))
+    return F.initcap(value.cast("string")) if kind == "boolean" else value.cast("string")
+
+
 def markers_of_table(table: DataFrame, include_empty: bool = False, **options) -> DataFrame:
     """Markers of a one-hot table."""
     check_required(table)
     kept = active_rows(table, include_empty).select(*(F.col(f"`{c}`") for c in propagated(table)))
-    kept = kept.withColumn("TEXT", F.col("TEXT").cast("string")).filter(~is_blank(F.col("TEXT")))
+    kept = kept.withColumn("TEXT", as_text(kept, "TEXT")).filter(~is_blank(F.col("TEXT")))
     return explode_markers(kept, "TEXT", **options)
 
 

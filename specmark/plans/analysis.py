@@ -8,7 +8,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from specmark.functions.domains import EMOTIONS, MODES
 from specmark.operators import comparison as C
@@ -28,6 +30,7 @@ class Specificity:
     by_mode: DataFrame
     summary: DataFrame
     of_modes: DataFrame
+    figures: dict[str, int] | None = None  # of the stage that parses, where it ran
 
     def report(self) -> str:
         return hypothesis_report(self.of_modes)
@@ -41,8 +44,25 @@ class Specificity:
             sinks.write_text(self.summary.sparkSession, f"{directory}/hypothesis_report.txt", self.report())
 
 
-def parse(spark: SparkSession, directories: dict[str, str], only: str | None = None, ordered: bool = True) -> DataFrame:
-    return glozz.read_corpora(spark, directories, only, ordered)
+def parse(
+    spark: SparkSession, directories: dict[str, str], only: str | None = None, ordered: bool = True, figures: Observation | None = None
+) -> DataFrame:
+    return glozz.read_corpora(spark, directories, only, ordered, figures)
+
+
+def write_annotations(spark: SparkSession, directories: dict[str, str], path: str, only: str | None = None) -> dict[str, int]:
+    """A folder per corpus; returns the figures, which are taken while the rows are written."""
+    figures = Observation("annotations")
+    sinks.write_table(parse(spark, directories, only, ordered=False, figures=figures), path, "corpus")  # what follows only counts
+    return figures.get
+
+
+def read_stage(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+    """What a stage has written, of all corpora or of one, whose folder alone is read then. Names of folders are texts."""
+    found = spark.read.parquet(path).schema
+    texts = StructType([StructField(f.name, StringType()) if f.name in ("corpus", "marker_type") else f for f in found])
+    rows = spark.read.schema(texts).parquet(path)
+    return rows.filter(F.col("corpus") == only) if only else rows
 
 
 def markers(annotations: DataFrame, use_lemma: bool = True, lemmatizer: str = "spacy", batch_size: int = 256, include_empty: bool = False, remove_stopwords: bool = False) -> DataFrame:
@@ -66,10 +86,11 @@ def markers_of_folder(spark: SparkSession, folder: str, use_lemma: bool = True,
 
 
 def run_annotations(spark: SparkSession, directories: dict[str, str], output: str, min_freq: int = 3, marker_type: str = "all", only: str | None = None, **options) -> Specificity:
-    """All stages over stand-off annotations; Parquet between them."""
-    sinks.write_table(parse(spark, directories, only, ordered=False), f"{output}/annotations")  # what follows only counts
-    sinks.write_table(markers(spark.read.parquet(f"{output}/annotations"), **options), f"{output}/markers", "marker_type")
-    result = specificity(spark.read.parquet(f"{output}/markers"), min_freq, marker_type)
+    """All stages over stand-off annotations; Parquet between them, by corpus."""
+    figures = write_annotations(spark, directories, f"{output}/annotations", only)
+    sinks.write_table(markers(read_stage(spark, f"{output}/annotations"), **options), f"{output}/markers", "corpus", "marker_type")
+    result = specificity(read_stage(spark, f"{output}/markers"), min_freq, marker_type)
+    result.figures = figures
     result.write(f"{output}/specificity_results")
     return result
 

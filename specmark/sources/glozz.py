@@ -16,10 +16,10 @@ from xml.etree import ElementTree
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from specmark.functions.domains import UNIT_TYPES
+from specmark.functions.domains import MODES, UNIT_TYPES
 from specmark.sources.store import exists
 
 _UNIT = "unit_id string, type string, start_idx int, end_idx int, text_span string, mode string, categorie1 string, categorie2 string, remarque string"
@@ -109,14 +109,17 @@ def span_of(text: Column, start: Column, end: Column) -> Column:
 
 
 def _annotate(batches):
-    """Units and their spans from pairs of files (file_id, aa, ac), a few thousand rows at a time."""
-    schema = pa.schema([("file_id", pa.string()), *((c, pa.int32() if c.endswith("_idx") else pa.string()) for c in _COLUMNS), ("_at", pa.int64())])
+    """Units and their spans from pairs of files (file_id, aa, ac), a few thousand rows at a time; a row of its own tells why a
+    file is skipped."""
+    schema = pa.schema([("file_id", pa.string()), *((c, pa.int32() if c.endswith("_idx") else pa.string()) for c in _COLUMNS), ("_at", pa.int64()), ("_skipped", pa.string())])
     rows: list[dict] = []
     for batch in batches:
         for k in range(batch.num_rows):
             file_id, aa, ac = (batch.column(j)[k].as_py() for j in range(3))
-            text = text_of(ac)
-            if text is None or not is_well_formed(aa):
+            text = None if ac is None else text_of(ac)
+            skipped = "no_text" if ac is None else "not_utf8" if text is None else None if is_well_formed(aa) else "malformed"
+            if skipped:
+                rows.append({"file_id": file_id, "_skipped": skipped})
                 continue
             for at, node in elements(aa, "unit"):
                 unit = unit_of(node)
@@ -132,21 +135,42 @@ def _annotate(batches):
 
 
 def read_corpus(spark: SparkSession, directory: str, corpus: str) -> DataFrame | None:
-    """The annotations of one corpus directory (aa/ and ac/), with their place in the file; None if it is not there."""
+    """The annotations of one corpus directory (aa/ and ac/), with their place in the file, and a row for each file that is
+    skipped, with the reason; None if the directory is not there (S7)."""
     aa, ac = f"{directory}/aa", f"{directory}/ac"
     if not (exists(spark, aa) and exists(spark, ac)):
         return None
-    pairs = _files(spark, aa, ".aa", "aa").join(_files(spark, ac, ".ac", "ac"), "file_id")
-    return pairs.mapInArrow(_annotate, f"file_id string, {_UNIT}, _at long").select(F.lit(corpus).alias("corpus"), "*")
+    pairs = _files(spark, aa, ".aa", "aa").join(_files(spark, ac, ".ac", "ac"), "file_id", "left")
+    return pairs.mapInArrow(_annotate, f"file_id string, {_UNIT}, _at long, _skipped string").select(F.lit(corpus).alias("corpus"), "*")
 
 
-def read_corpora(spark: SparkSession, directories: dict[str, str], only: str | None = None, ordered: bool = True) -> DataFrame:
-    """All corpora, or one; rows in order of corpus, file and unit, unless their order does not matter."""
+def figures_of(rows: DataFrame) -> list[Column]:
+    """How many units there are of each type and mode, and how many files are skipped for each reason."""
+    of = lambda c, v: F.count_if(F.col(c) == v)
+    situation = F.col("type") == UNIT_TYPES[0]
+    return [
+        *(of("type", t).alias(f"type {t}") for t in UNIT_TYPES), *(of("mode", m).alias(f"mode {m}") for m in MODES),
+        F.count_if(situation & F.col("mode").isNull()).alias("mode none"), F.count_if(situation & ~F.col("mode").isin(*MODES)).alias("mode other"),
+        *(of("_skipped", r).alias(f"skipped {r}") for r in ("no_text", "not_utf8", "malformed")),
+    ]
+
+
+def read_corpora(
+    spark: SparkSession, directories: dict[str, str], only: str | None = None, ordered: bool = True, figures: Observation | None = None
+) -> DataFrame:
+    """All corpora, or one; rows in order of corpus, file and unit, unless their order does not matter.
+
+    figures takes the counts of ``figures_of`` while the rows are first written or counted, without a job of its own.
+    """
     chosen = {k: v for k, v in directories.items() if only in (None, k)}
     found = [df for name, path in chosen.items() if (df := read_corpus(spark, path, name)) is not None]
     if not found:
-        return spark.createDataFrame([], ANNOTATIONS)
+        empty = spark.createDataFrame([], f"{ANNOTATIONS}, _skipped string")
+        return (empty.observe(figures, *figures_of(empty)) if figures else empty).drop("_skipped")
     rows = reduce(lambda a, b: a.unionByName(b), found)
+    if figures:
+        rows = rows.observe(figures, *figures_of(rows))
+    rows = rows.filter("_skipped IS NULL").drop("_skipped")
     if not ordered:
         return rows.drop("_at")
     place = F.array_position(F.array(*(F.lit(c) for c in chosen)), F.col("corpus"))

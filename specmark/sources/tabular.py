@@ -11,15 +11,16 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import batched
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specmark.functions.domains import ACTIVE_COLUMN, EMOTION_COLUMNS, META_COLUMNS, MODE_COLUMNS
+from specmark.sources.store import kept
 
 NUMERIC = (*EMOTION_COLUMNS, *MODE_COLUMNS, *META_COLUMNS, ACTIVE_COLUMN)
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -111,7 +112,7 @@ def _headers(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([names], pa.list_(pa.string()))], names=["source_file", "header"])
 
 
-_CELLS = pa.map_(pa.string(), pa.struct([("number", pa.float64()), ("text", pa.string())]))
+_CELLS = pa.map_(pa.string(), pa.struct([("number", pa.float64()), ("text", pa.string()), ("pointed", pa.string())]))
 
 
 def _rows(batches):
@@ -120,7 +121,7 @@ def _rows(batches):
             rows = workbook_rows(batch.column(1)[k].as_py())
             names = _header(rows)
             for part in batched(rows, 2048):
-                cells = [[(n, {"number": c[0], "text": c[1]}) for n, c in zip(names, row) if n and c] for row in part]
+                cells = [[(n, {"number": c[0], "text": c[1], "pointed": c[1] if c[0] is None else repr(c[0])}) for n, c in zip(names, row) if n and c] for row in part]
                 files = pa.array([batch.column(0)[k].as_py()] * len(part))
                 yield pa.RecordBatch.from_arrays([files, pa.array(cells, _CELLS)], names=["source_file", "cells"])
 
@@ -133,8 +134,30 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
     names = list(dict.fromkeys(n for layout in layouts for n in layout.header))
     if not names:
         raise ValueError(f"no rows in {path}")
-    rows = files.mapInArrow(_rows, "source_file string, cells map<string, struct<number:double,text:string>>")
-    return rows.select(*(F.col("cells")[n]["number" if n in NUMERIC else "text"].alias(n) for n in names), "source_file")
+    rows = files.mapInArrow(_rows, "source_file string, cells map<string, struct<number:double,text:string,pointed:string>>")
+    texts = [n for n in names if n not in NUMERIC]
+    rows, pointed = _with_points(kept(rows, "workbook-rows"), texts)
+    cell = lambda n: F.col("cells")[n]
+    shown = {n: F.when(pointed[n], cell(n)["pointed"]).otherwise(cell(n)["text"]) for n in texts}
+    return rows.select(*((shown[n] if n in shown else cell(n)["number"]).alias(n) for n in names), "source_file")
+
+
+def _with_points(rows: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """rows, and of each column whether its numbers are written with a point: where a file has nothing but numbers there, and
+    one has a fraction or is missing. If no file has a text there, a point in one is a point in all."""
+    cell = lambda n: F.col("cells")[n]
+    is_text = lambda n: cell(n).isNotNull() & cell(n)["number"].isNull()
+    pointed = lambda n: cell(n).isNull() | (cell(n)["number"] != F.floor(cell(n)["number"]))
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    per = rows.groupBy(F.col("source_file").alias("_file")).agg(
+        *(x for i, n in enumerate(names) for x in (any_of(is_text(n)).alias(f"_text{i}"), any_of(pointed(n)).alias(f"_point{i}")))
+    )
+    per = kept(per, "workbook-kinds")  # a row per file
+    every = per.agg(*(any_of(F.col(f"{c}{i}")).alias(f"{c}{i}") for i in range(len(names)) for c in ("_text", "_point"))).first()
+    joined = rows.join(per, F.col("source_file") == F.col("_file"))
+    return joined, {
+        n: (~F.col(f"_text{i}") & F.col(f"_point{i}")) | F.lit(not every[f"_text{i}"] and every[f"_point{i}"]) for i, n in enumerate(names)
+    }
 
 
 def read_table_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -173,7 +196,70 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     return read_excel(spark, f"{folder}/*.xlsx")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A table that a stage has written; with an explicit schema where one is known."""
+#: Texts of a field that mean that it is missing.
+NA_VALUES = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+#: Texts that are truth values.
+TRUE, FALSE = ("True", "TRUE", "true"), ("False", "FALSE", "false")
+_WHOLE = r"^\s*[+-]?[0-9]{1,18}\s*$"
+_NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf(?:inity)?))\s*$"
+
+
+def _present(name: str, na_values: Sequence[str]) -> Column:
+    """A field, null where it is missing. Empty fields are null already."""
+    field = F.col(f"`{name}`")
+    return F.when(~field.isin(*na_values), field) if na_values else field
+
+
+def column_counts(raw: DataFrame, na_values: Sequence[str] = NA_VALUES) -> DataFrame:
+    """Of each column of texts: name, n, missing, whole, numbers and truths, the numbers of its fields of a kind. One pass; counts
+    of parts of a table add up to those of the whole."""
+
+    def counts(name: str) -> Column:
+        field = _present(name, na_values)
+        kinds = {"missing": field.isNull(), "whole": field.rlike(_WHOLE), "numbers": field.rlike(_NUMBER), "truths": field.isin(*TRUE, *FALSE)}
+        return F.struct(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(k) for k, c in kinds.items()))
+
+    found = raw.agg(*(counts(c).alias(f"_{i}") for i, c in enumerate(raw.columns)))
+    return found.select(F.inline(F.array(*(F.col(f"_{i}") for i in range(len(raw.columns))))))
+
+
+def column_kinds(counts: DataFrame) -> dict[str, str]:
+    """The type of each column: whole numbers are numbers with a point where any field is missing, and text is text."""
+
+    def kind(r) -> str:
+        present = r.n - r.missing
+        if present == r.numbers:
+            return "long" if present == r.whole and not r.missing and r.n else "double"
+        return "boolean" if r.truths == r.n else "string"
+
+    return {r.name: kind(r) for r in counts.collect()}  # a row per column
+
+
+def typed(raw: DataFrame, kinds: dict[str, str], na_values: Sequence[str] = NA_VALUES) -> DataFrame:
+    """A table of texts as values of these types."""
+
+    def value(name: str) -> Column:
+        field, kind = _present(name, na_values), kinds[name]
+        if kind == "boolean":
+            return field.isin(*TRUE)
+        if kind == "double":
+            field = F.regexp_replace(F.trim(field), r"(?i)^([+-]?)inf$", "$1Infinity")
+        return field if kind == "string" else F.trim(field).cast(kind)
+
+    return raw.select(*(value(c).alias(c) for c in raw.columns))
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, na_values: Sequence[str] | None = None) -> DataFrame:
+    """A table that a stage has written; with an explicit schema where one is known.
+
+    na_values (``NA_VALUES``, say): fields that are such texts are null, and types are those of the fields that are left.
+    """
     reader = spark.read.option("escape", '"').option("multiLine", True).option("encoding", "UTF-8")
-    return reader.schema(schema).csv(path, header=True) if schema else reader.csv(path, header=True, inferSchema=True)
+    if schema:
+        return reader.schema(schema).csv(path, header=True)
+    if na_values is None:
+        return reader.csv(path, header=True, inferSchema=True)
+    raw = reader.csv(path, header=True)
+    return typed(raw, column_kinds(column_counts(raw, na_values)), na_values)

@@ -143,9 +143,10 @@ def test_many_layouts_in_one_pass(spark, tmp_path):
         _workbook(tmp_path / f"w{k}.xlsx", [[*names, *extra], [1, f"i{k}", "n", "t", *([1] * len(extra))], [], [2, f"j{k}", "n", None]])
     df = tabular.read_folder(spark, str(tmp_path))
     assert df.columns == [*names, "Joie", "Peur", "Peur.1", "Base", "source_file"]
-    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # each workbook is opened once, whatever its layout
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "binaryfile" not in plan.lower()  # the rows of all layouts were unpacked in one pass, and are read back
     rows = {r.ID: r for r in df.collect()}
-    assert len(df.collect()) == 12 and rows["i1"].Peur == 1.0 and rows["i1"]["Peur.1"] == "1" and rows["i2"].Joie == 1.0 and rows["j3"].TEXT is None
+    assert len(df.collect()) == 12 and rows["i1"].Peur == 1.0 and rows["i1"]["Peur.1"] == "1.0" and rows["i2"].Joie == 1.0 and rows["j3"].TEXT is None
     with pytest.raises(ValueError):
         _workbook(tmp_path / "x" / "none.xlsx", []) if (tmp_path / "x").mkdir() is None else None
         tabular.read_folder(spark, str(tmp_path / "x"))
@@ -226,3 +227,58 @@ def test_command_line(spark, corpus, tmp_path, capsys):
     assert "été" in capsys.readouterr().out
     main(["dashboard", "--annotations", f"{out}/markers", "--tables", f"{out}/t/markers", "--output", f"{out}/d.html"], spark)
     assert '"marker": "long"' in (tmp_path / "o/d.html").read_text("utf-8")
+
+
+def test_types_without_missing_fields(spark, tmp_path):
+    rows = ["i,f,m,t,b,bm,e,inf,w,q", "1,1.0,1,x,True,true,,inf,+1, NA ", "2,2e3,NA,null,FALSE,nan,NA,-1.5,-07,a", '3,.5,n/a,"NA",true,False,,1.,12,"a ""b"""']
+    (tmp_path / "t.csv").write_text("\n".join(rows) + "\n")
+    df = tabular.read_csv(spark, str(tmp_path / "t.csv"), na_values=tabular.NA_VALUES)
+    assert dict(df.dtypes) == {"i": "bigint", "f": "double", "m": "double", "t": "string", "b": "boolean", "bm": "string", "e": "double", "inf": "double", "w": "bigint", "q": "string"}
+    a, b, c = sorted(df.collect(), key=lambda r: r.i)
+    assert (a.f, b.f, c.f, a.m, b.m) == (1.0, 2000.0, 0.5, 1.0, None) and (a.t, b.t, c.t) == ("x", None, None)
+    assert (a.b, b.b, c.b) == (True, False, True) and (a.bm, b.bm) == ("true", None) and a.inf == float("inf") and (a.w, b.w) == (1, -7)
+    assert (a.q, c.q) == (" NA ", 'a "b"')
+    as_is = tabular.read_csv(spark, str(tmp_path / "t.csv"), na_values=())
+    assert dict(as_is.dtypes)["m"] == "string" and dict(as_is.dtypes)["e"] == "string"
+    raw = spark.read.csv(str(tmp_path / "t.csv"), header=True)
+    total = {r.name: r[1:] for r in tabular.column_counts(raw).collect()}  # counts of two parts add up
+    parts = [{r.name: r[1:] for r in tabular.column_counts(raw.filter(c)).collect()} for c in ("i < 2", "i >= 2")]
+    assert all(total[k] == tuple(x + y for x, y in zip(parts[0][k], parts[1][k])) for k in total)
+    texts = [r.TEXT for r in df.select(M.as_text(df, "m").alias("TEXT")).union(df.select(M.as_text(df, "b"))).union(df.select(M.as_text(df, "i"))).collect()]
+    assert texts == ["1.0", None, None, "True", "False", "True", "1", "2", "3"]
+
+
+def test_numbers_as_texts_of_workbooks(spark, tmp_path):
+    head = ["idx", "ID", "NAME", "TEXT"]
+    write = lambda name, texts: _workbook(tmp_path / name, [head, *([k, f"{name}{k}", "n", t] for k, t in enumerate(texts))])
+    texts = lambda: {r.ID: r.TEXT for r in tabular.read_folder(spark, str(tmp_path)).collect()}
+    write("a.xlsx", [12, 7])
+    assert texts() == {"a.xlsx0": "12", "a.xlsx1": "7"}
+    write("b.xlsx", [5, None])
+    assert texts() == {"a.xlsx0": "12.0", "a.xlsx1": "7.0", "b.xlsx0": "5.0", "b.xlsx1": None}
+    write("c.xlsx", ["mot", 3, 2.5])
+    assert texts() == {"a.xlsx0": "12", "a.xlsx1": "7", "b.xlsx0": "5.0", "b.xlsx1": None, "c.xlsx0": "mot", "c.xlsx1": "3", "c.xlsx2": "2.5"}
+
+
+def test_figures_are_taken_while_writing(spark, corpus, tmp_path):
+    figures = analysis.write_annotations(spark, {"C": str(corpus / "C"), "missing": str(corpus / "none")}, str(tmp_path / "annotations"))
+    rows = analysis.read_stage(spark, str(tmp_path / "annotations"))
+    for name in ("SitEmo", "Autre"):
+        assert figures[f"type {name}"] == rows.filter(F.col("type") == name).count() > 0
+    assert figures["mode Montree"] == rows.filter("mode = 'Montree'").count() == 1 and figures["mode Suggeree"] == 0
+    assert figures["mode none"] == rows.filter("type = 'SitEmo' AND mode IS NULL").count() > 0 and figures["mode other"] == 1
+    assert (figures["skipped no_text"], figures["skipped not_utf8"], figures["skipped malformed"]) == (1, 1, 1)
+    assert set(analysis.write_annotations(spark, {}, str(tmp_path / "none")).values()) == {0}
+
+
+def test_one_corpus_reads_its_folder_alone(spark, corpus, tmp_path):
+    where = {name: str(corpus / "C") for name in ("A", "01", "1")}
+    analysis.run_annotations(spark, where, str(tmp_path / "o"), min_freq=1, lemmatizer="identity")
+    for stage in ("annotations", "markers"):
+        every, one = analysis.read_stage(spark, str(tmp_path / "o" / stage)), analysis.read_stage(spark, str(tmp_path / "o" / stage), "01")
+        assert {r.corpus for r in every.select("corpus").distinct().collect()} == set(where)
+        files = one._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(corpus" in files and "01" in files.split("PartitionFilters")[1][:60]
+        one.count()
+        read = one.select(F.input_file_name().alias("f")).distinct().collect()
+        assert read and all("/corpus=01/" in r.f for r in read) and one.count() * 3 == every.count()
