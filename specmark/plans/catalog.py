@@ -10,7 +10,6 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specmark.functions.domains import STOPWORDS
@@ -22,7 +21,8 @@ from specmark.operators import markers as M
 from specmark.operators import ranking as R
 from specmark.operators import stats as S
 from specmark.plans import analysis, fixtures
-from specmark.sources import glozz, sinks, tabular
+from specmark.plans.report import hypothesis_report
+from specmark.sources import glozz, sinks, store, tabular
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,13 +143,20 @@ def punct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ELLIPSES = {"Oui !... Non": "… !", "a….…b": "… .", "x....": "… .", "......": "… …", "L'été peut-être": "' -", "l’armée": ""}
+_DOTTED_SQL = "replace(replace(replace(coalesce(text, ''), ', ', '…., '), '. ', '..... '), ' a', ' (....…)! a')"
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in i)) for i in _ELLIPSES.items()) + ") v(text, signs)")
+@_query(
+    f"""WITH r AS (SELECT unnest(regexp_extract_all({_DOTTED_SQL}, '{_SIGNS}+')) AS run FROM documents),
+d AS (SELECT run, replace(run, '…', '') AS dots, regexp_replace(replace(run, '…', ''), '\\.{{3}}', '', 'g') AS rest FROM r),
+s AS (SELECT unnest(string_split(repeat('…', CAST(contains(run, '…') AS INT) + (length(dots) - length(rest)) // 3) || rest, '')) AS marker FROM d)
+SELECT marker, count(*) AS n FROM s WHERE marker <> '' GROUP BY marker"""
+)
 def punct_ellipsis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in _ELLIPSES], "text string")
-    return rows.select("text", F.array_join(punctuation(F.col("text")), " ").alias("signs"))
+    """Whole texts with runs of dots and ellipses put in."""
+    dotted = F.expr(_DOTTED_SQL)
+    found = _table(spark, sf_dir, "documents").select(F.explode(punctuation(dotted)).alias("marker"))
+    return found.groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(
@@ -169,13 +176,22 @@ def lemma_identity_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
 
 
-_BLANKS = {"a": ("  a\t", "a"), "b": (" b c ", "b c"), "c": ("  \n", ""), "d": ("﻿d", "﻿d")}
+#: What is put around texts, by doc_id.
+_AROUND = ("", " \t", "\u00a0\u2003\n", "\x1c\x0b", "\u3000\u0085", "\ufeff")
+_AROUND_SQL = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_AROUND)) + " END"
+_BLANK_SQL = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}', {str(t == '').lower()})" for k, (_, t) in _BLANKS.items()) + ") v(id, trimmed, blank)")
+@_query(
+    f"""WITH x AS (SELECT doc_id, {_AROUND_SQL} || CASE WHEN doc_id % 5 = 0 THEN '' ELSE coalesce(text, '') END || {_AROUND_SQL} AS x FROM documents)
+SELECT doc_id, md5(regexp_replace(x, '^{_BLANK_SQL}|{_BLANK_SQL}$', '', 'g')) AS trimmed, regexp_replace(x, '{_BLANK_SQL}', '', 'g') = '' AS blank FROM x"""
+)
 def trim_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, x) for k, (x, _) in _BLANKS.items()], "id string, x string")
-    return rows.select("id", trim_all(F.col("x")).alias("trimmed"), is_blank(F.col("x")).alias("blank"))
+    """whole texts, and none for each fifth, with white space of several kinds put around them."""
+    doc = F.col("doc_id")
+    around = F.get(F.array(*(F.lit(x) for x in _AROUND)), (doc % 6).cast("int"))
+    x = F.concat(around, F.when(doc % 5 == 0, "").otherwise(F.coalesce("text", F.lit(""))), around)
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(trim_all(x)).alias("trimmed"), is_blank(x).alias("blank"))
 
 
 @_query(
@@ -361,12 +377,48 @@ def dashboard_filter_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined_sets(C.dashboard_filter(_items(spark, sf_dir), "only:XLSX"))
 
 
-_LABELS = ("Colere", " dégoût", "AUCUN", "", "ennui", "Fierté", None)
+_WRITTEN_SQL = "CASE doc_id % 7 WHEN 0 THEN 'Colere' WHEN 1 THEN ' dégoût' WHEN 2 THEN 'AUCUN ' WHEN 3 THEN '' WHEN 4 THEN source WHEN 5 THEN 'FIERTÉ' ELSE lang END"
 
 
-@_query("SELECT * FROM (VALUES ('Colere', 'Colère'), (' dégoût', 'Dégoût'), ('AUCUN', NULL), ('', NULL), ('ennui', 'Ennui'), ('Fierté', 'Fierté'), (NULL, NULL)) v(written, label)")
+@_query(
+    f"""WITH w AS (SELECT {_WRITTEN_SQL} AS written FROM documents)
+SELECT written, CASE written WHEN 'Colere' THEN 'Colère' WHEN ' dégoût' THEN 'Dégoût' WHEN 'FIERTÉ' THEN 'Fierté' WHEN 'AUCUN ' THEN NULL WHEN '' THEN NULL
+  ELSE upper(written[1]) || lower(written[2:]) END AS label, count(*) AS n FROM w GROUP BY ALL"""
+)
 def dashboard_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in _LABELS], "written string").select("written", C.dashboard_label(F.col("written")).alias("label"))
+    """What annotators may have written, from the columns of documents."""
+    written = _table(spark, sf_dir, "documents").select(F.expr(_WRITTEN_SQL).alias("written"))
+    return written.groupBy("written", C.dashboard_label(F.col("written")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_CHOICES = ("all", "Glozz", "XLSX", "both", "only:Glozz", "only:XLSX")
+
+
+@_query(
+    f"""WITH {_ITEMS_SQL}, c AS (SELECT unnest([{", ".join(f"'{c}'" for c in _CHOICES)}]) AS choice), e AS (SELECT unnest(['', 'Autre', 'Joie', 'Peur']) AS emotion)
+SELECT choice, emotion, count(*) AS n FROM c, e, s WHERE (emotion = '' OR contains(emotions, emotion)) AND CASE choice WHEN 'all' THEN true WHEN 'both' THEN corpora = 'Glozz|XLSX'
+  WHEN 'only:Glozz' THEN corpora = 'Glozz' WHEN 'only:XLSX' THEN corpora = 'XLSX' ELSE contains(corpora, choice) END GROUP BY ALL"""
+)
+def dashboard_filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the number of items that each choice of corpora and emotion leaves."""
+    items = store.kept(_items(spark, sf_dir), "items")
+    pairs = [(c, e) for c in _CHOICES for e in ("", "Autre", "Joie", "Peur")]
+    counts = [C.dashboard_filter(items, c, e or None).select(F.lit(c).alias("choice"), F.lit(e).alias("emotion")) for c, e in pairs]
+    return reduce(lambda a, b: a.unionByName(b), counts).groupBy("choice", "emotion").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_ITEMS_SQL} SELECT * FROM s")
+def dashboard_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: all items, read back from the shards of the page."""
+    path = f"{store.shared_folder(spark, 'dashboard')}.html"
+    sinks.write_dashboard(_items(spark, sf_dir), path, inline=0)
+    return _joined_sets(spark.read.schema("marker string, corpora array<string>, emotions array<string>").json(f"{path}.data"))
+
+
+@_query(f"WITH {_SETS_SQL} SELECT marker, row_number() OVER (ORDER BY marker COLLATE fr, marker) AS place FROM a")
+def markers_french_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each marker of the documents in a French dictionary."""
+    return R.places(_marker_sets(spark, sf_dir)[0].orderBy(*C.french_order()))
 
 
 # --- one-hot tables (R1-R4, F7) ---
@@ -419,15 +471,29 @@ SELECT 'u' || doc_id AS unit_id, row_number() OVER (ORDER BY 'f' || b, doc_id) A
 def annotation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each unit of one corpus, by file and unit."""
     rows = glozz.read_corpora(spark, fixtures.write_annotations(_table(spark, sf_dir, "documents")), only="A")
-    # the rank of a row is the parts before its own, by their sizes, and its place there
-    at = rows.select("unit_id", F.shiftright(F.monotonically_increasing_id(), 33).alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("nth"))
-    path = fixtures.shared_folder(spark, "order")
-    sinks.write_table(at, path)
-    at = spark.read.parquet(path)
-    sizes = at.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per part of the sort
-    before = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return at.join(before, "part").select("unit_id", (F.col("before") + F.col("nth") + 1).alias("place"))
+    return R.places(rows.select("unit_id"))
+
+
+@_query(
+    f"""WITH {_UNITS_SQL}, f AS (SELECT DISTINCT b % {fixtures.SET} AS kind, b FROM d),
+n AS (SELECT count(*) FILTER (WHERE situation) AS situations, count(*) FILTER (WHERE NOT situation) AS others,
+  count(*) FILTER (WHERE situation AND lang IS NULL) AS none, count(*) FILTER (WHERE situation AND lang IS NOT NULL) AS other FROM u)
+SELECT unnest(['type SitEmo', 'type Autre', 'mode Comportementale', 'mode Designee', 'mode Montree', 'mode Suggeree', 'mode none', 'mode other', 'skipped no_text', 'skipped not_utf8', 'skipped malformed']) AS name,
+  unnest([situations, others, 0, 0, 0, 0, none, other, (SELECT count(*) FROM f WHERE kind = {fixtures.ALONE}), (SELECT count(*) FROM f WHERE kind = {fixtures.NOT_UTF8}), (SELECT count(*) FROM f WHERE kind = {fixtures.MALFORMED})]) AS n FROM n"""
+)
+def annotation_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is counted while annotations are written."""
+    folders = fixtures.write_annotations(_table(spark, sf_dir, "documents"))
+    figures = analysis.write_annotations(spark, folders, store.shared_folder(spark, "annotations"))
+    return spark.createDataFrame(sorted(figures.items()), "name string, n long")
+
+
+@_query(f"WITH {_UNITS_SQL} SELECT 'B' AS corpus, 'f' || b AS file_id, 'u' || doc_id AS unit_id FROM u WHERE b % 2 = 1")
+def annotation_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations laid out by corpus; the folder of one is read."""
+    path = store.shared_folder(spark, "annotations")
+    analysis.write_annotations(spark, fixtures.write_annotations(_table(spark, sf_dir, "documents")), path)
+    return analysis.read_stage(spark, path, "B").select("corpus", "file_id", "unit_id")
 
 
 @_query(f"WITH {_UNITS_SQL} SELECT DISTINCT CASE WHEN b % 2 = 0 THEN 'A' ELSE 'B' END AS corpus, 'f' || b AS file_id FROM d WHERE b % {fixtures.SET} >= {fixtures.NOT_UTF8}")
@@ -441,7 +507,7 @@ def annotation_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT CAST(doc_id AS VARCHAR) AS \"ID\", coalesce(source, '') AS \"NAME\", coalesce(text, '') AS \"TEXT\", CAST(CASE lang WHEN 'fr' THEN 1 END AS DOUBLE) AS \"Joie\" FROM documents")
 def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts through CSV parts with a BOM, with quotes, line ends and blanks as they were."""
-    path = f"{fixtures.shared_folder(spark, 'table')}.csv"
+    path = f"{store.shared_folder(spark, 'table')}.csv"
     docs = _table(spark, sf_dir, "documents")
     sinks.write_csv(docs.select(F.col("doc_id").cast("string").alias("ID"), F.col("source").alias("NAME"), F.col("text").alias("TEXT"), F.when(F.col("lang") == "fr", 1).alias("Joie")), path)
     return tabular.read_input(spark, path)
@@ -450,7 +516,7 @@ def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_MARKERS_SQL},{_counts_sql('source', CLASSES)} SELECT marker_value, marker_type, total_count, src0 FROM n")
 def marker_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers through Parquet by type, their counts through CSV parts."""
-    folder = fixtures.shared_folder(spark, "markers")
+    folder = store.shared_folder(spark, "markers")
     sinks.write_table(_markers(spark, sf_dir).select("marker_value", "marker_type", "categorie1"), f"{folder}/markers", "marker_type")
     counts = E.class_counts(analysis.read_markers(spark, f"{folder}/markers"), "categorie1", CLASSES).filter("total_count >= 3")
     sinks.write_csv(counts.select("marker_value", "marker_type", "total_count", "src0"), f"{folder}/counts.csv")
@@ -467,6 +533,53 @@ def workbook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.read_folder(spark, fixtures.write_workbooks(_table(spark, sf_dir, "nation")))
 
 
+@_query(
+    """SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN n_chars / 4 END AS size, CASE WHEN doc_id % 3 > 0 THEN lang END AS lang, doc_id % 2 = 0 AS even,
+  CASE WHEN doc_id % 7 > 0 THEN 'x' || (n_chars // 4) END AS code FROM documents"""
+)
+def csv_missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of columns found from their fields, with texts that mean a missing one."""
+    doc, path = F.col("doc_id"), f"{store.shared_folder(spark, 'typed')}.csv"
+    missing = F.get(F.array(*(F.lit(x) for x in ("NA", "null", "nan", "None", "n/a"))), (doc % 5).cast("int"))
+    rows = _table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(doc % 7 > 0, (F.col("n_chars") / 4).cast("string")).otherwise(missing).alias("size"), F.when(doc % 3 > 0, F.col("lang")).otherwise(missing).alias("lang"),
+        F.when(doc % 2 == 0, "True").otherwise("False").alias("even"), F.when(doc % 7 > 0, F.concat(F.lit("x"), F.floor(F.col("n_chars") / 4))).otherwise(missing).alias("code"),
+    )
+    sinks.write_csv(rows, path)
+    return tabular.read_csv(spark, path, na_values=tabular.NA_VALUES)
+
+
+# --- results read back (K1, K3, K4, K5, H7, O1) ---
+@_query(_summary_sql("stddev_samp"))
+def summary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: the summary as one CSV file."""
+    path = f"{store.shared_folder(spark, 'summary')}.csv"
+    sinks.write_summary(E.summarise_modes(_of_modes(spark, sf_dir), LANGS), path)
+    read = tabular.read_csv(spark, path, "mode string, n_markers long, mean_entropy double, median_entropy double, std_entropy double")
+    return _rounded(read, "mean_entropy", "median_entropy", "std_entropy")
+
+
+@_query(
+    f"""WITH {_MARKERS_SQL},{_entropy_sql("source", CLASSES)}
+SELECT marker_value, marker_type, round(entropy, 6) AS entropy, row_number() OVER (ORDER BY round(e.entropy, 6) DESC, marker_value, marker_type) AS place FROM e"""
+)
+def entropy_file_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, O1: one file of all markers by falling entropy; the place of a marker is its line."""
+    path = f"{store.shared_folder(spark, 'entropy')}.csv"
+    sinks.write_summary(E.by_entropy(_rounded(_entropy(spark, sf_dir), "entropy")).select("marker_value", "marker_type", "entropy"), path)
+    lines = R.places(spark.read.text(path).orderBy(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+    fields = F.from_csv(F.col("value"), F.lit("marker_value string, marker_type string, entropy double"), {"escape": '"'})
+    return lines.filter("place > 1").select(fields.alias("_f"), (F.col("place") - 1).alias("place")).select("_f.*", "place")
+
+
+@_query(ORACLES["top_markers_per_class"])
+def top_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: the ranking as one CSV file."""
+    path = f"{store.shared_folder(spark, 'top')}.csv"
+    sinks.write_summary(top_markers_per_class(spark, sf_dir), path)
+    return tabular.read_csv(spark, path, "Classe string, Marqueur string, Type string, `P(Classe)` double, Freq_Globale long, Entropie double")
+
+
 # --- tests (H1-H6, A14) ---
 def _u_sql(source: str, keys: str = "") -> str:
     by, part = (f"{keys}, ", f"PARTITION BY {keys} ") if keys else ("", "")
@@ -543,3 +656,26 @@ def rank_test_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     every = reduce(lambda a, b: a.unionByName(b), parts)
     return every.select("test", F.abs(F.round("p", 6)).alias("p"), S.stars(F.col("p")).alias("stars"))
+
+
+@_query(
+    f"""WITH {_OF_MODES_SQL}, q AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for i, a in enumerate(LANGS) for b in LANGS[i + 1:])}) t(mode1, mode2)),
+v AS (SELECT mode1, mode2, CASE WHEN mode = mode1 THEN 1 ELSE 2 END AS side, entropy FROM o JOIN q ON mode = mode1 OR mode = mode2), {_u_sql("v", "mode1, mode2")}
+SELECT printf('  %-20s : n=%5d, moy=%.4f, méd=%.4f, σ=%.4f', mode, count(*), avg(entropy), median(entropy), stddev_pop(entropy)) AS line FROM o GROUP BY mode
+UNION ALL SELECT printf('  %s vs %s : U=%.1f', mode1, mode2, u) FROM u WHERE n1 > 0 AND n2 > 0"""
+)
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4, H7: the lines of the written report that describe each mode and compare each pair, without their p-values."""
+    path = f"{store.shared_folder(spark, 'report')}.txt"
+    sinks.write_text(spark, path, hypothesis_report(_of_modes(spark, sf_dir), LANGS))
+    lines = spark.read.text(path).filter(F.col("value").rlike("^  [a-z]+ +(vs [a-z]+ )?: (n|U)="))
+    return lines.select(F.regexp_replace("value", ", p=.*", "").alias("line"))
+
+
+@_query(
+    ORACLES["rank_test_p_values"].rsplit("SELECT test,", 1)[0]
+    + "SELECT CASE WHEN p < 0.001 THEN 'p < 0.001' WHEN p < 0.01 THEN 'p < 0.01' WHEN p < 0.05 THEN 'p < 0.05' ELSE 'p >= 0.05' END AS verdict FROM r WHERE test = 'mann-whitney greater'"
+)
+def mann_whitney_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5: what the one-sided test says."""
+    return S.mann_whitney(_of_modes(spark, sf_dir), HIGH, LOW).select("verdict")
