@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,3 +81,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bitmap(values: DataFrame, bits: int) -> np.ndarray:
+    """Which residues of the one column occur: bits / 8 bytes, whatever the number of rows."""
+    place = F.pmod(values[values.columns[0]], F.lit(bits)) + 1
+    rows = (
+        values.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
+    )
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.map, np.uint8)
+    return out
+
+
+def in_bitmap(held: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values & np.int64(len(held) * 8 - 1)
+    return (held[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1

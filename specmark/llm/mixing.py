@@ -288,7 +288,7 @@ ADDED = ("copy", "shard", "words", "local_order")
 
 def mixed_rows(docs: DataFrame, shards: int = 16, block_docs: int = 1024, seed: int = 42) -> DataFrame:
     """The mix: a row of docs' columns for each copy that it takes, and its copy, shard, words and local_order, by which a
-    shard is shuffled. A document that the border of its source cuts keeps its first words. Texts move once, to the blocks'
+    shard is shuffled. A document that the border of its source cuts keeps its first words, and n_chars follows. Texts move once, to the blocks'
     table where that is too large to be sent to them."""
     taken = _mix(docs, shards, block_docs, seed, True).filter("_taken > 0")
     whole = F.least(F.col("_m_size"), F.col("_taken") - F.col("_copy") * F.col("_m_size"))
@@ -296,7 +296,11 @@ def mixed_rows(docs: DataFrame, shards: int = 16, block_docs: int = 1024, seed:
     cut = F.array_join(F.slice(words_of(F.col("_row.text")), F.lit(1), F.col("_words").cast("int")), " ")
     text = F.when(F.col("_words") < F.col("_m_size"), cut).otherwise(F.col("_row.text"))
     added = (F.col("_copy"), F.col("_shard"), F.col("_words"), F.xxhash64("_m_key", "_copy", F.lit(seed + 3)))
-    kept = ((text if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns if c not in ADDED)
+    renewed = {"text": text}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        renewed["n_chars"] = F.when(F.col("_words") < F.col("_m_size"), F.length(cut).cast(kind)).otherwise(F.col("_row.n_chars"))
+    kept = (renewed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns if c not in ADDED)
     return copies.select(*kept, *(c.alias(n) for c, n in zip(added, ADDED)))
 
 

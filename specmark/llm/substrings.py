@@ -1,17 +1,18 @@
 """Incremental substring deduplication over a log-structured fingerprint index.
 
 A window is ``WINDOW`` consecutive words. Each window has an anchor, the least hash of the 8-word grams inside it, so
-equal windows have equal anchors while a text has few different ones. The index holds anchors with the least and largest
-doc_id that they were seen in, as immutable runs, bucketed and sorted by anchor. A batch of documents becomes a run, which
-is merge-joined with each older run; anchors met in two documents are suspects. When ``fan_in`` runs of a level have
-gathered, they are compacted into one of the next level. The index can be kept and opened again: a later batch is judged
-against it, and of the earlier documents only the texts' windows with a suspect anchor are looked at.
-
-Suspects are verified: one narrow pass over the texts gives 96 bits of two independent hashes of each whole window with a
-suspect anchor (a bitmap of suspect anchors of fixed size is sent to the executors; where it says yes too often, more
-windows are verified and the result is the same). The least doc_id of each window, by partial aggregation, owns it;
-every other document's words under it go. Texts equal in all words are settled before, by a hash of the word sequence,
-so groups of copies add nothing to the index.
+equal windows have equal anchors while a text has few different ones. The index holds fingerprints with the least and largest
+doc_id that they were seen in, as immutable runs, bucketed and sorted by fingerprint. A batch of documents becomes a run, which
+is merge-joined with each older run; fingerprints met in two documents are suspects. When ``fan_in`` runs of a level have
+gathered, they are compacted into one of the next level.
+
+Within one call all texts are at hand, so anchors are the fingerprints, and suspects are verified: one narrow pass over the
+texts gives 96 bits of two independent hashes of each whole window with a suspect anchor (a bitmap of suspect anchors of fixed
+size is sent to the executors; where it says yes too often, more windows are verified and the result is the same). An index
+that is kept (``index_path``) holds those 96 bits of every window, so that later calls decide by it alone and never read
+earlier texts again; it takes about twenty bytes a word. The least doc_id of each window owns it; every other document's words
+under it go. Within a call, texts equal in all words are settled before, by a hash of the word sequence, so groups of copies
+add nothing to the anchors.
 
 Null texts count as empty. Texts of fewer than 50 words keep all. Rows without a doc_id are neither owners nor cut.
 Rows with the same doc_id are one document as owners and are cut one by one. Other columns are unused.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specmark.llm import textbytes as tb
-from specmark.llm.common import materialize, shared_dir
+from specmark.llm.common import bitmap, in_bitmap, materialize, shared_dir
 from specmark.sources import sinks
 
 WINDOW, GRAM = 50, 8
@@ -83,16 +84,17 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Immutable runs of (anchor, low, high): the least and the largest doc_id that an anchor was seen in.
+    """Immutable runs of (*keys, low, high): the least and the largest doc_id that a fingerprint was seen in.
 
-    Runs lie below ``path``, bucketed and sorted by anchor: a batch is aggregated into buckets once, and after that runs
-    meet, and two runs are compacted, without a shuffle. A hot anchor is one row of a run. A manifest names the live
+    Runs lie below ``path``, bucketed and sorted by fingerprint: a batch is aggregated into buckets once, and after that runs
+    meet, and two runs are compacted, without a shuffle. A hot fingerprint is one row of a run. A manifest names the live
     runs; each change writes the next manifest and only then deletes the runs that it no longer names, so a call that is
     lost leaves the index as it was. A path that holds an index opens it. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = 2):
+    def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = 2, keys: dict[str, str] | None = None):
         self.spark, self.fan_in = spark, fan_in
+        self.keys = keys or {"anchor": "bigint"}
         self.path = (path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}").rstrip("/")
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._store = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -101,27 +103,31 @@ class FingerprintIndex:
         found = sorted(f.getPath().toString() for f in self._store.globStatus(self._hadoop(f"{self.path}/manifest-*.json")) or [])
         if found:
             held = json.loads(spark.read.text(found[-1], wholetext=True).first()[0])
+            if held["keys"] != self.keys:
+                raise ValueError(f"the index at {self.path} has other fingerprints")
             self.version, self.buckets, self.levels = held["version"], held["buckets"], held["levels"]
 
     def _publish(self) -> None:
         """The levels as they are now, under the next number; a manifest is whole from when it has its name."""
         self.version += 1
         draft, name = f"{self.path}/draft-{uuid.uuid4().hex}", f"{self.path}/manifest-{self.version:09d}.json"
-        sinks.write_text(self.spark, draft, json.dumps({"version": self.version, "buckets": self.buckets, "levels": self.levels}))
+        sinks.write_text(self.spark, draft, json.dumps({"version": self.version, "buckets": self.buckets, "levels": self.levels, "keys": self.keys}))
         if not self._store.rename(self._hadoop(draft), self._hadoop(name)):
             raise RuntimeError(f"{name} is there already: another writer")
         self._store.delete(self._hadoop(f"{self.path}/manifest-{self.version - 1:09d}.json"), False)
 
     def _table(self, run: str) -> DataFrame:
+        columns, keys = ", ".join(f"{k} {kind}" for k, kind in self.keys.items()), ", ".join(self.keys)
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {run} (anchor BIGINT, low BIGINT, high BIGINT) USING parquet"
-            f" CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'"
+            f"CREATE TABLE IF NOT EXISTS {run} ({columns}, low BIGINT, high BIGINT) USING parquet"
+            f" CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'"
         )
         return self.spark.table(run)
 
     def _write(self, rows: DataFrame) -> str:
-        run = f"run_{uuid.uuid4().hex}"
-        rows.write.format("parquet").bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.path}/{run}").saveAsTable(run)
+        run, keys = f"run_{uuid.uuid4().hex}", list(self.keys)
+        writer = rows.select(*keys, "low", "high").write.format("parquet").bucketBy(self.buckets, *keys).sortBy(*keys)
+        writer.option("path", f"{self.path}/{run}").saveAsTable(run)
         return run
 
     def _delete(self, run: str) -> None:
@@ -135,13 +141,15 @@ class FingerprintIndex:
         return [self._table(run) for run in self.names()]
 
     def ingest(self, postings: DataFrame) -> DataFrame:
-        """postings (anchor, doc_id) of a batch; the anchors of the batch that now are in two documents or more."""
-        name = self._write(postings.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
+        """postings (*keys, doc_id) of a batch; the fingerprints of the batch that now are in two documents or more, each with an
+        owner, the least doc_id of those runs that met (several rows where several did)."""
+        keys = list(self.keys)
+        name = self._write(postings.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
         run = self._table(name)
-        suspects = run.filter("low < high").select("anchor")
+        suspects = run.filter("low < high").select(*keys, F.col("low").alias("owner"))
         for older in self.runs():
-            met = run.filter("low = high").join(older.toDF("anchor", "low2", "high2"), "anchor").filter("low2 < high2 OR low <> low2")
-            suspects = suspects.unionByName(met.select("anchor"))
+            met = run.join(older.toDF(*keys, "low2", "high2"), keys).filter("low2 < high2 OR low < high OR low <> low2")
+            suspects = suspects.unionByName(met.select(*keys, F.least("low", "low2").alias("owner")))
         suspects = materialize(suspects, "suspects")
         gone = self._add(name, 0)
         self._publish()
@@ -159,8 +167,9 @@ class FingerprintIndex:
         full, self.levels[level] = self.levels[level], []
         merged = self._table(full[0])
         for other in full[1:]:
-            both = merged.join(self._table(other).toDF("anchor", "low2", "high2"), "anchor", "full_outer")
-            merged = both.select("anchor", F.least("low", "low2").alias("low"), F.greatest("high", "high2").alias("high"))
+            keys = list(self.keys)
+            both = merged.join(self._table(other).toDF(*keys, "low2", "high2"), keys, "full_outer")
+            merged = both.select(*keys, F.least("low", "low2").alias("low"), F.greatest("high", "high2").alias("high"))
         return full + self._add(self._write(merged), level + 1)
 
     def drop(self) -> None:
@@ -169,25 +178,12 @@ class FingerprintIndex:
         self._store.delete(self._hadoop(self.path), True)
 
 
-def _bitmap(values: DataFrame, bits: int) -> np.ndarray:
-    """Which residues of the one column occur: bits / 8 bytes, whatever the number of rows."""
-    place = F.pmod(values[values.columns[0]], F.lit(bits)) + 1
-    rows = (
-        values.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
-    )
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.map, np.uint8)
-    return out
-
+_FOUND = "w1 long, w2 int, doc_id long, text_key long, start int"
 
-def _has(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = values & np.int64(len(bitmap) * 8 - 1)
-    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
+def _windows(shared=None):
+    """The windows whose anchor is suspect, or all."""
 
-def _suspect_windows(shared):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
@@ -197,7 +193,8 @@ def _suspect_windows(shared):
                 ok = tb.inside(w.firsts, WINDOW)
                 if not ok.any():
                     continue
-                ok &= _has(shared.value, _window_anchors(h).view(np.int64))
+                if shared is not None:
+                    ok &= in_bitmap(shared.value, _window_anchors(h).view(np.int64))
                 starts = np.nonzero(ok)[0]
                 h2 = w.hashes(_SECOND)
                 owner = w.text_of[starts]
@@ -215,10 +212,10 @@ def _suspect_windows(shared):
     return run
 
 
-def _split(batch: pa.RecordBatch, bitmap: np.ndarray, touched: bool) -> pa.RecordBatch:
+def _split(batch: pa.RecordBatch, held: np.ndarray, touched: bool) -> pa.RecordBatch:
     """The rows that a decision may be about, or the rest; a row without a doc_id is never touched."""
     ids = batch.column(0)
-    hit = _has(bitmap, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+    hit = in_bitmap(held, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
     return batch.filter(pa.array(hit if touched else ~hit))
 
 
@@ -282,28 +279,11 @@ def _cut(batches):
             yield _kept_batch(part.column(0), words, gone)
 
 
-def deduplicate(
-    docs: DataFrame, batches: int = 3, fan_in: int = 2, bits: int = 1 << 27, index_path: str | None = None, history: DataFrame | None = None
-) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed and text, the kept words joined by single spaces.
-
-    With ``index_path`` the index there is opened, or made, and kept; ``history`` are the documents it was made of, in
-    earlier calls. Where ids grow from call to call, the calls together give what one pass over all documents gives;
-    a document of an earlier call is not cut again for a smaller id that comes later.
-    """
-    spark = docs.sparkSession
-    rows = _rows(docs)
-    profiles = materialize(rows.mapInArrow(_profile_batches, _PROFILE), "profiles")
-    long = profiles.filter((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())
-    first = long.groupBy("text_key", "text_key2", "n_words").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    copied = materialize(first.filter("n > 1").select("text_key", "text_key2", "n_words", "first_id"), "copied")
-    of_text = ["text_key", "text_key2", "n_words"]
-    known = profiles.join(copied, of_text, "left").withColumn("is_copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)) & (F.col("n_words") >= WINDOW))
-    originals = known.filter("NOT is_copy AND doc_id IS NOT NULL")
-    originals = materialize(originals.select("doc_id", "anchors"), "originals") if copied.take(1) else originals
+def _owners_by_anchors(rows: DataFrame, originals: DataFrame, profiles: DataFrame, batches: int, fan_in: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The windows with suspect anchors, and the owner of each that is in two documents or more."""
+    spark = rows.sparkSession
     postings = originals.select("doc_id", F.explode("anchors").alias("anchor"))
-
-    index = FingerprintIndex(spark, index_path, fan_in)
+    index = FingerprintIndex(spark, None, fan_in)
     cuts = profiles.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] or []
     bounds = [None, *sorted(set(cuts)), None]
     suspects = None
@@ -313,23 +293,40 @@ def deduplicate(
             batch = batch.filter(F.col("doc_id") > low)
         if high is not None:
             batch = batch.filter(F.col("doc_id") <= high)
-        met = index.ingest(batch)
+        met = index.ingest(batch).select("anchor")
         suspects = met if suspects is None else suspects.unionByName(met)
+    index.drop()
+    anchors = spark.sparkContext.broadcast(bitmap(suspects, bits))
+    windows = materialize(rows.filter("doc_id IS NOT NULL").mapInArrow(_windows(anchors), _FOUND), "windows")
+    seen = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    return windows, seen.filter("owner < last").drop("last")
 
-    if index_path is None:
-        index.drop()
-    anchors = spark.sparkContext.broadcast(_bitmap(suspects, bits))
 
-    def suspect_windows(some: DataFrame) -> DataFrame:
-        found = some.filter("doc_id IS NOT NULL").mapInArrow(_suspect_windows(anchors), "w1 long, w2 int, doc_id long, text_key long, start int")
-        return materialize(found, "windows")
+def deduplicate(docs: DataFrame, batches: int = 3, fan_in: int = 2, bits: int = 1 << 27, index_path: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed and text, the kept words joined by single spaces.
 
-    windows = suspect_windows(rows)
-    seen = windows if history is None else windows.unionByName(suspect_windows(_rows(history)))
+    With ``index_path`` the index there is opened, or made, and kept. Where ids grow from call to call, the calls together
+    give what one pass over all documents gives; a document of an earlier call is not cut again for a smaller id that comes
+    later.
+    """
+    spark = docs.sparkSession
+    rows = _rows(docs)
+    profiles = materialize(rows.mapInArrow(_profile_batches, _PROFILE), "profiles")
+    long = profiles.filter((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())
+    first = long.groupBy("text_key", "text_key2", "n_words").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    copied = materialize(first.filter("n > 1").select("text_key", "text_key2", "n_words", "first_id"), "copied")
+    of_text = ["text_key", "text_key2", "n_words"]
+    known = profiles.join(copied, of_text, "left").withColumn("is_copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)) & (F.col("n_words") >= WINDOW))
+    originals = known.filter("NOT is_copy AND doc_id IS NOT NULL")
+    originals = materialize(originals.select("doc_id", "anchors"), "originals") if copied.take(1) else originals
+    if index_path is None:
+        windows, owners = _owners_by_anchors(rows, originals, profiles, batches, fan_in, bits)
+    else:
+        windows = materialize(rows.filter("doc_id IS NOT NULL").mapInArrow(_windows(), _FOUND), "windows")
+        index = FingerprintIndex(spark, index_path, fan_in, {"w1": "bigint", "w2": "int"})
+        owners = index.ingest(windows.select("w1", "w2", "doc_id")).groupBy("w1", "w2").agg(F.min("owner").alias("owner"))
     # written, so that the join can split a passage that a good part of all documents repeat
-    owners = materialize(
-        seen.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last"), "owners"
-    )
+    owners = materialize(owners, "owners")
     starts = windows.join(owners, ["w1", "w2"]).filter("doc_id > owner").groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
     # a copy of a whole text is settled already
     copies = known.filter("is_copy").select("doc_id", "text_key")
@@ -339,7 +336,7 @@ def deduplicate(
         copies.distinct().select("doc_id", "text_key", none.alias("starts"), F.lit(True).alias("whole"))
     )
     # texts that no decision can be about pass straight through; the others meet the decisions
-    touched = spark.sparkContext.broadcast(_bitmap(cut.select("doc_id").unionByName(copies.select("doc_id")), bits))
+    touched = spark.sparkContext.broadcast(bitmap(cut.select("doc_id").unionByName(copies.select("doc_id")), bits))
     met = rows.mapInArrow(_texts(touched), "doc_id long, text_key long, text string").join(decisions, ["doc_id", "text_key"], "left")
     done = met.select("doc_id", "text", "starts", "whole").mapInArrow(_cut, _KEPT)
     return rows.mapInArrow(_untouched(touched), _KEPT).unionByName(done)

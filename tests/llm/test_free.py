@@ -347,11 +347,48 @@ def test_substrings_in_two_calls(spark, tmp_path):
     digest = lambda df: [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, sha(r.text)) for r in df.collect()]
     path = f"file://{tmp_path}/index"
     got = digest(substrings.deduplicate(early, 1, index_path=path, bits=1 << 20))
-    got += digest(substrings.deduplicate(late, 1, index_path=path, bits=1 << 20, history=early))
+    got += digest(substrings.deduplicate(late, 1, index_path=path, bits=1 << 20))  # by the index alone, the earlier texts being gone
+    assert sorted(got) == _dedup(rows)
+    with pytest.raises(ValueError, match="other fingerprints"):
+        substrings.FingerprintIndex(spark, path)
+
+
+def test_substrings_in_many_calls(spark, tmp_path):
+    rng = random.Random(12)
+    shared = [_prose(rng, 60) for _ in range(3)]
+    rows = [(i, " ".join(_prose(rng, rng.randint(0, 20)) + shared[i % 3][: 50 + i % 11] + _prose(rng, 10))) for i in range(25)] + [(25, " ".join(shared[0]))] * 2
+    path, got = f"file://{tmp_path}/index", []
+    for k in range(5):  # levels fill and are compacted
+        part = spark.createDataFrame(rows[5 * k : 5 * k + 5 if k < 4 else None], "doc_id long, text string")
+        got += [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in substrings.deduplicate(part, index_path=path).collect()]
     assert sorted(got) == _dedup(rows)
 
 
 # --- html ---
+def _node(tag, mark="", kids=()):
+    node = html.Node(tag, mark)
+    node.kids = [_node(k) for k in kids]
+    return node
+
+
+def test_long_streams_are_aligned_in_time_near_to_linear(monkeypatch):
+    rng = random.Random(6)
+    began = time.perf_counter()
+    pairs = html.align([_node("div", f"a{i}") for i in range(10000)], [_node("div", f"b{i}") for i in range(10000)])
+    assert time.perf_counter() - began < 5
+    assert sum(x is not None for x, _ in pairs) == sum(y is not None for _, y in pairs) == 10000
+    a = [_node(rng.choice(["div", "p", "ul"]), f"m{i}", rng.sample(["a", "b", "i", "em"], 2)) for i in range(400)]
+    b = [_node(k.tag, k.mark, [x.tag for x in k.kids]) for k in a if rng.random() > 0.3]
+    b[40:40] = [_node("table", f"new{i}") for i in range(30)]
+    by_anchors = html.align(a, b)
+    monkeypatch.setattr(html, "MOST_PAIRS", 10**9)
+    of = lambda pairs: [(x and x.mark, y and y.mark) for x, y in pairs if x is not None and y is not None]
+    assert of(by_anchors) == of(html.align(a, b)) and all(x == y for x, y in of(by_anchors)) and len(of(by_anchors)) == len(b) - 30
+    for pairs in (by_anchors, html.align(b, a), html.align([], b), html.align(a, [])):
+        left, right = [x for x, _ in pairs if x is not None], [y for _, y in pairs if y is not None]
+        assert all(p is q for p, q in zip(left, a)) or all(p is q for p, q in zip(left, b)) and len(right) in (0, len(a), len(b))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li>Menu</ul></nav><div class="ad-box">BUY</div>
 <{tag}><h2>{title} &amp; more</h2><p>One<br>two <b>bold</b>&nbsp;x.<p>{body}<ul><li>a<li>b</ul><aside>side</aside>

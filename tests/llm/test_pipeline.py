@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from specmark.llm import registry
@@ -49,10 +50,29 @@ def test_stages(spark, tables):
 def test_run_and_names(spark, tables):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontaminate", "redact_secrets", "mix_sources"]
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
     assert corpus_pipeline.run(spark, tables).count() > 0
 
 
+def test_odd_rows_through_all_stages(spark, tables, tmp_path):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    long = " ".join(f"{'abcdefgh'[k % 8]}{k}" for k in range(30000)) + " password=verysecret99 end"
+    odd = [(None, "no id " + " ".join(_words(random.Random(k), 80)), "en", "s0", None) for k in (1, 2)] + [(500, long, None, None, len(long)), (501, long, "en", "s1", 1), (502, "", "en", "", 0)]
+    docs = docs.unionByName(spark.createDataFrame(odd, SCHEMA))
+    for clash in ("copy", "score", "component_id", "kept", "_row", "_words"):
+        docs = docs.withColumn(clash, F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, materialize(stage(spark, docs, tables), name)
+        if name != "mix_sources":
+            assert docs.columns == before.columns and docs.filter("doc_id IS NULL").count() == 2
+            assert docs.filter("doc_id IN (500, 501)").count() == (2 if name == "quality_rules" else 1)
+    rows = docs.collect()
+    assert all(r.kept == "clash" and len(r.text.split()) >= r.words > 0 for r in rows)
+    changed = [r for r in rows if r.doc_id != 501 and r.n_chars is not None]
+    assert all(r.n_chars == len(r.text) for r in changed)  # of texts with secrets, and of those that the border of a source cuts
+    assert not any("verysecret99" in r.text for r in rows) and {r.doc_id for r in rows} >= {None}
+
+
 def test_empty_tables(spark, tables, tmp_path):
     docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
