@@ -30,6 +30,17 @@ ALIKE = "Pas de différence significative entre les modes (p >= 0.05)"
 MANN_WHITNEY = "TEST DE MANN-WHITNEY U (Montree+Suggeree vs Designee+Comportementale)"
 ONE_SIDED = "  Hypothèse H1 : entropie(Montree+Suggeree) > entropie(Designee+Comportementale)"
 PAIRS = "COMPARAISONS PAR PAIRES (Mann-Whitney U, bilatéral)"
+DESCRIBED = "STATISTIQUES DESCRIPTIVES PAR MODE"
+NO_MARKER, NO_DATA = "aucun marqueur", "Aucune donnée d'entropie disponible."
+END = "FIN DU RAPPORT"
+ONE_SIDED_LINES = (
+    "  U = {u:.4f}, p (unilatéral) = {p}",
+    "  Moyenne Montree+Suggeree     : {mean_high:.4f} (n={n1})",
+    "  Moyenne Designee+Comportementale : {mean_low:.4f} (n={n2})",
+    "  Différence de moyennes       : {difference:.4f}",
+    "  Taille d'effet (r)           : {r:.4f}",
+    "  → Hypothèse : {verdict}",
+)
 #: Where all entropies tie, no test says anything.
 UNDEFINED = "non défini (toutes les entropies sont égales)"
 
@@ -52,30 +63,19 @@ def hypothesis_report(of_modes: DataFrame, modes: Sequence[str] = MODES) -> str:
     finally:
         spectrum.unpersist()
     if not any(s.n_markers for s in summary):
-        return "Aucune donnée d'entropie disponible."
+        return NO_DATA
     described = [
         f"  {s.mode:20s} : n={s.n_markers:5d}, moy={s.mean_entropy:.4f}, méd={s.median_entropy:.4f}, σ={_number(s.std_entropy, 4)}"
         if s.n_markers
-        else f"  {s.mode:20s} : aucun marqueur"
+        else f"  {s.mode:20s} : {NO_MARKER}"
         for s in summary
     ]
-    lines = _section(TITLE, ["", *HYPOTHESIS, ""], "=") + _section("STATISTIQUES DESCRIPTIVES PAR MODE", [*described, ""])
+    lines = _section(TITLE, ["", *HYPOTHESIS, ""], "=") + _section(DESCRIBED, [*described, ""])
     for k in kruskal:
         lines += _section(KRUSKAL, [f"  H = {_number(k.h, 4)}, p = {_number(k.p, 6)}", f"  → {UNDEFINED if k.p is None else DIFFERENT if k.p < 0.05 else ALIKE}", ""])
     for m in high_low:
-        lines += _section(
-            MANN_WHITNEY,
-            [
-                ONE_SIDED,
-                f"  U = {m.u:.4f}, p (unilatéral) = {_number(m.p, 6)}",
-                f"  Moyenne Montree+Suggeree     : {m.mean_high:.4f} (n={m.n1})",
-                f"  Moyenne Designee+Comportementale : {m.mean_low:.4f} (n={m.n2})",
-                f"  Différence de moyennes       : {m.difference:.4f}",
-                f"  Taille d'effet (r)           : {m.r:.4f}",
-                f"  → Hypothèse : {VERDICTS.get(m.verdict, UNDEFINED)}",
-                "",
-            ],
-        )
+        shown = m.asDict() | {"p": _number(m.p, 6), "verdict": VERDICTS.get(m.verdict, UNDEFINED)}
+        lines += _section(MANN_WHITNEY, [ONE_SIDED, *(line.format(**shown) for line in ONE_SIDED_LINES), ""])
     compared = [f"  {x.mode1} vs {x.mode2} : U={x.u:.1f}, p={_number(x.p, 6)} [{x.stars or '-'}]" for x in pairs]
     lines += _section(PAIRS, [*compared, ""])
-    return "\n".join(lines + _section("FIN DU RAPPORT", [], "="))
+    return "\n".join(lines + _section(END, [], "="))
