@@ -3,8 +3,9 @@
 Lines, paragraphs of several lines and whole texts are units. A unit is normalised (lower case, anything but a-z and
 0-9 becomes a space) and turned into its set of word bigrams. With n and m bigrams, Dice >= t needs
 ``t/(2-t) <= n/m <= (2-t)/t``: units with too few words for any template are dropped before their bigrams are made, units
-with too many different bigrams before these are joined, and the bounds of each template are part of the join condition.
-Before that, texts and units without any of the pivots that a match must hold (``pivots``) are passed over. The join is
+whose number of different bigrams is within no template's bounds before these are joined, and the bounds of each template
+are part of the join condition. Before that, texts and units without any of the pivots that a match must hold (``pivots``)
+are passed over. The join is
 from bigrams to the fixed table of template bigrams, so no unit is paired with a template that it shares nothing with,
 and only counts are shuffled.
 
@@ -20,6 +21,10 @@ their names.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import cache, reduce
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +32,7 @@ from specmark.llm.common import text_of
 
 LEAST_DICE = 0.8
 
-# Texts and notices of public licenses.
+# Notices and short texts of public licenses; long ones lie in WHOLE_TEXTS.
 _MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
 _MIT_REST = 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
@@ -92,6 +97,22 @@ TEMPLATES = (
     *((license, _gnu(what, name, version, only=True)[0]) for license, what, name, version in _FAMILY),
 )
 
+#: Whole texts of public licenses, one file for each beside this module; the file's name is the license.
+WHOLE_TEXTS = "license_texts"
+#: Templates of more bigrams than this are whole texts that only long units can match; they have pivots of their own.
+SHORT = 400
+#: Pivots are the first letters of words, so that one serves all forms of a word.
+STEM = 6
+
+
+@cache
+def templates() -> tuple[tuple[str, str], ...]:
+    """(license, text): the notices, then the whole texts by name."""
+    folder = resources.files(__package__) / WHOLE_TEXTS
+    files = sorted((f for f in folder.iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return (*TEMPLATES, *((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in files))
+
+
 #: Units with their level: lines, paragraphs, the whole.
 _UNITS = """concat(transform(split(_l_text, '\\n', -1), x -> struct(0 AS level, x AS text)),
   transform(filter(split(_l_text, '\\n[ \\t]*\\n', -1), x -> contains(x, '\\n')), x -> struct(1 AS level, x AS text)),
@@ -102,50 +123,96 @@ def _normal(s: str) -> list[str]:
     return "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in s.lower()).split()
 
 
+def _bigrams(text: str) -> list[tuple[str, str]]:
+    w = _normal(text)
+    return sorted(set(zip(w, w[1:])))
+
+
 def template_bigrams() -> list[tuple[int, str, int, str]]:
     """(template, license, number of its bigrams, bigram)."""
     rows = []
-    for k, (name, text) in enumerate(TEMPLATES):
-        w = _normal(text)
-        grams = sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
-        rows += [(k, name, len(grams), g) for g in grams]
+    for k, (name, text) in enumerate(templates()):
+        grams = _bigrams(text)
+        rows += [(k, name, len(grams), f"{a} {b}") for a, b in grams]
     return rows
 
 
-def pivots(least: float = LEAST_DICE) -> list[tuple[str, ...]]:
-    """Words, or pairs of words, of which a unit must hold one (both) to reach ``least`` with any template.
+@cache
+def pivots(least: float = LEAST_DICE, long: bool = False) -> list[tuple[str, ...]]:
+    """Beginnings of words, or pairs of words in a row, of which a unit must hold one to reach ``least`` with a template.
 
-    A match shares ``least / (2 - least)`` of the template's bigrams at least. If more bigrams than may be missing have
-    one of some words, or are among some pairs, then a match has one of these. Templates are taken from the shortest on, so
-    that long ones get by with what serves short ones already; then words in most bigrams, long words, and then pairs. What
-    contains another pivot is left out.
+    A match shares ``least / (2 - least)`` of the template's bigrams at least. If more bigrams than may be missing have a
+    word that begins with one of some stems, then a match holds one of these. Stems are taken one after the other, each the
+    one that serves the templates best that still lack some; templates of too few long words are served by pairs. With
+    ``long``, the pivots that templates of more than ``SHORT`` bigrams need beside those of the others; they have long
+    words enough to do without those of five letters, which are often common ones.
     """
-    chosen: set[tuple[str, ...]] = set()
-    for _, text in sorted(TEMPLATES, key=lambda t: (len(t[1]), t)):
-        w = _normal(text)
-        grams = sorted({(a, b) for a, b in zip(w, w[1:])}, key=lambda g: (g not in chosen, -len(g[0] + g[1]), g))
-        may_miss = int(len(grams) * (1 - least / (2 - least)) + 1e-9)
-        words = sorted({x for x in w if len(x) > 4}, key=lambda x: ((x,) not in chosen, -sum(x in g for g in grams), -len(x), x))
-        covered: set[tuple[str, str]] = set()
-        for pivot in [*((x,) for x in words), *grams]:
-            if len(covered) > may_miss:
-                break
-            more = {g for g in grams if (pivot[0] in g if len(pivot) == 1 else g == pivot)} - covered
-            if more:
-                covered |= more
-                chosen.add(pivot)
-    inside = lambda a, b: all(any(x in y for y in b) for x in a)
-    return sorted(p for p in chosen if not any(q != p and inside(q, p) for q in chosen))
+    grams = [_bigrams(text) for _, text in templates()]
+    short, whole = ([g for g in grams if (len(g) > SHORT) == side] for side in (False, True))
+    chosen = _stems(short, least, 5, set())
+    if long:
+        return [(x,) for x in _stems(whole, least, STEM, set(chosen))]
+    pairs: set[tuple[str, ...]] = set()
+    for g in short:
+        own = [x for x in g if not _stems_of(x) & {*chosen}]
+        pairs |= {x for x in sorted(own, key=lambda x: (x not in pairs, -len("".join(x)), x))[: _lacking(g, least, {*chosen})]}
+    return sorted([*((x,) for x in chosen), *pairs])
+
+
+def _stems_of(gram: tuple[str, str], letters: int = 5) -> set[str]:
+    return {x[:STEM] for x in gram if len(x) >= letters}
+
+
+def _lacking(grams: list[tuple[str, str]], least: float, chosen: set[str]) -> int:
+    """How many bigrams more must have a pivot, so that a match cannot miss them all."""
+    may_miss = int(len(grams) * (1 - least / (2 - least)) + 1e-9)
+    return max(0, may_miss + 1 - sum(bool(_stems_of(g) & chosen) for g in grams))
+
+
+def _stems(texts: list[list[tuple[str, str]]], least: float, letters: int, chosen: set[str]) -> list[str]:
+    out: list[str] = []
+    while True:
+        gains: Counter[str] = Counter()
+        for grams in texts:
+            if lacking := _lacking(grams, least, chosen):
+                own = Counter(x for g in grams if not _stems_of(g) & chosen for x in _stems_of(g, letters))
+                gains.update({x: min(n, lacking) / lacking for x, n in own.items()})
+        if not gains:
+            return out
+        out.append(max(gains, key=lambda x: (gains[x], x)))
+        chosen = chosen | {out[-1]}
+
+
+def _any_of(some: list[tuple[str, ...]]) -> str:
+    """A pattern that finds any of some pivots where a word begins: one pass, with few branches at each word."""
+    rest: dict[str, list[str]] = {}
+    for first, *more in some:
+        rest.setdefault(first[0], []).append(first[1:] + "".join(f"[^a-z0-9]+{w}(?![a-z0-9])" for w in more))
+    return "[^a-z0-9](?:" + "|".join(f"{x}(?:{'|'.join(sorted(ys))})" for x, ys in sorted(rest.items())) + ")"
 
 
 def _may_match(text: Column, least: float) -> Column:
-    out = F.lit(False)
-    for pivot in pivots(least):
-        held = F.contains(text, F.lit(pivot[0]))
-        for word in pivot[1:]:
-            held = held & F.contains(text, F.lit(word))
-        out = out | held
-    return out
+    """Whether a text in lower case holds what it must to match; whole licenses take texts of some length."""
+    fewest = min(n for n in _sizes() if n > SHORT) * least / (2 - least)
+    text, short, long = F.concat(F.lit(" "), text), pivots(least), pivots(least, long=True)
+    # n bigrams need more than n words, and each word but the last takes two characters at least
+    return F.when(F.length(text) > 2 * int(fewest), text.rlike(_any_of([*short, *long]))).otherwise(text.rlike(_any_of(short)))
+
+
+def _sizes() -> list[int]:
+    return sorted({len(_bigrams(text)) for _, text in templates()})
+
+
+def _may_have(size: Column, least: float) -> Column:
+    """Whether a unit of so many bigrams is within the bounds of any template."""
+    merged: list[list[float]] = []
+    for n in _sizes():
+        low, high = n * least / (2 - least), n * (2 - least) / least
+        if merged and low <= merged[-1][1]:
+            merged[-1][1] = high
+        else:
+            merged.append([low, high])
+    return reduce(lambda a, b: a | b, ((size >= low) & (size <= high) for low, high in merged))
 
 
 def scan_licenses(docs: DataFrame, least: float = LEAST_DICE) -> DataFrame:
@@ -153,7 +220,7 @@ def scan_licenses(docs: DataFrame, least: float = LEAST_DICE) -> DataFrame:
     rows = template_bigrams()
     table = docs.sparkSession.createDataFrame(rows, "_t_id int, _t_license string, _t_n int, _t_gram string")
     low, high = least / (2 - least), (2 - least) / least
-    fewest, most = min(r[2] for r in rows) * low, max(r[2] for r in rows) * high
+    fewest = min(r[2] for r in rows) * low
     keyed = docs.select(F.col("doc_id").alias("_l_id"), text_of().alias("_l_text")).select("*", F.xxhash64("_l_text").alias("_l_key"))
     units = (
         keyed.select("_l_id", "_l_key", F.lower("_l_text").alias("_l_text"))
@@ -170,7 +237,7 @@ def scan_licenses(docs: DataFrame, least: float = LEAST_DICE) -> DataFrame:
             "_l_id", "_l_key", "_u_no",
             F.array_distinct(F.zip_with(F.slice("_u_words", 1, F.size("_u_words") - 1), F.slice("_u_words", 2, F.size("_u_words") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("_u_grams"),
         )
-        .select("_l_id", "_l_key", "_u_no", F.size("_u_grams").alias("_u_n"), F.explode(F.when(F.size("_u_grams") <= most, F.col("_u_grams"))).alias("_u_gram"))
+        .select("_l_id", "_l_key", "_u_no", F.size("_u_grams").alias("_u_n"), F.explode(F.when(_may_have(F.size("_u_grams"), least), F.col("_u_grams"))).alias("_u_gram"))
     )
     in_bounds = (F.col("_u_n") >= F.col("_t_n") * low) & (F.col("_u_n") <= F.col("_t_n") * high)
     matches = units.join(F.broadcast(table), (F.col("_u_gram") == F.col("_t_gram")) & in_bounds)

@@ -272,6 +272,42 @@ def test_pivots_lose_no_match():
                     assert any(all(any(p in w for w in cut) for p in pivot) for pivot in pivots)
 
 
+def test_whole_texts_of_licenses(spark):
+    """Whole texts as they are, in other lines, without an eighth of their paragraphs and in capitals; SQL says the same."""
+    whole = licenses.templates()[len(licenses.TEMPLATES) :]
+    assert [name for name, _ in whole] == ["apache-2.0", "bsl-1.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "mpl-2.0", "unlicense"]
+    rng, texts, want = random.Random(8), [], []
+    for name, text in whole:
+        parts = text.split("\n\n")
+        fewer = [x for i, x in enumerate(parts) if i % 8 != 5]
+        texts += [text, "\n".join(text.split()), "\n\n".join(fewer), text.upper().replace("\n", "\r\n")]
+        want += [name] * 4
+    texts += ["the work and the use of it\nby any other which should be\n\n" * 300, " ".join(rng.choice(licenses._normal(whole[3][1])) for _ in range(6000)) + "\n"]
+    rows = licenses.scan_licenses(_docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.license for r in rows] == [*want, None, None] and [r.dice for r in rows[:-2:4]] == [1.0] * len(whole)
+    db, documents = duckdb.connect(), pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    assert sorted(db.execute(licenses.ORACLE_SQL).fetchall()) == sorted(map(tuple, rows))
+
+
+def test_pivots_of_whole_texts_lose_no_match():
+    """Whole texts without all words that begin with a pivot, or with a random part of these: none reaches the threshold without one."""
+    rng = random.Random(3)
+    every = [p for long in (False, True) for p in licenses.pivots(long=long)]
+    for _, text in licenses.templates()[len(licenses.TEMPLATES) :]:
+        words = licenses._normal(text)
+        grams = {*zip(words, words[1:])}
+        pivots = every if len(grams) > licenses.SHORT else licenses.pivots()
+        singles = [p[0] for p in pivots if len(p) == 1]
+        for share in (0, 0.02, 0.2):
+            cut = [w for w in words if rng.random() < share or not any(p in w for p in singles)]
+            own = {*zip(cut, cut[1:])}
+            if 2 * len(own & grams) / (len(own) + len(grams)) >= licenses.LEAST_DICE:
+                assert any(all(any(p in w for w in cut) for p in pivot) for pivot in pivots)
+        # what the stems leave to miss, counted: less than a match shares
+        missed = sum(not any(w[: licenses.STEM] == p for w in g if len(w) > 4 for p in singles) for g in grams)
+        assert missed < len(grams) * licenses.LEAST_DICE / (2 - licenses.LEAST_DICE)
+
+
 @needs_data
 def test_licenses_equal_sql(spark):
     db = duckdb.connect()
