@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -266,6 +267,46 @@ def test_many_languages():
         assert ((mask >> np.uint64(i % 64)) & np.uint64(1)).all()
 
 
+def _four_grams(text):
+    """The 4-grams of a text by the rule as it is stated: bytes of letters, all else one space, a space at both ends."""
+    lower = "".join(c.lower() if ord(c) < 256 else c for c in text)
+    data = re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + lower.encode() + b" ")
+    return [int.from_bytes(data[k : k + 4], "big") for k in range(len(data) - 3)]
+
+
+@needs_data
+def test_filters_equal_sets_of_each_language(spark):
+    """What is learned equals a count in a dictionary, and what is predicted equals look-ups in a set for each language."""
+    table = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(9001, "ÀÉÎ Õß ×÷ Ωmega 漢字 a-b  c", None), (9002, "e\u0301e\u0301e\u0301 x", None), (9003, "a", None)], "doc_id long, text string, lang string")
+    docs = table.select("doc_id", "text", "lang").unionByName(odd)
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    counts = {}
+    for r in docs.filter(~held & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect():
+        counts.setdefault(r.lang, Counter()).update(_four_grams(r.text))
+    sets = {lang: {g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:2000]} for lang, c in counts.items()}
+    filters, want = langid.fit(docs.filter(~held)), langid.build({lang: np.array(sorted(g), np.uint32) for lang, g in sets.items()})
+    assert filters.langs == want.langs and (filters.slots == want.slots).all() and (filters.expected == want.expected).all()
+    got, sure = {r.doc_id: r for r in langid.predict(docs, filters).collect()}, 0
+    for r in docs.filter("text IS NOT NULL").collect():
+        grams = _four_grams(r.text)
+        share = {lang: sum(g in own for g in grams) / max(1, len(grams)) for lang, own in sets.items()}
+        best = max(sorted(share), key=share.get)
+        if got[r.doc_id].lang_pred != "und" and len(grams) >= 100:
+            assert abs(got[r.doc_id].score - share[best] / sum(share.values())) < 0.03
+            if share[best] - max(v for k, v in share.items() if k != best) > 0.03:
+                assert got[r.doc_id].lang_pred == best
+                sure += 1
+    assert sure > 100
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    text = "the same words in either language " * 5
+    docs = spark.createDataFrame([(i, text, ("zz", "aa")[i % 2]) for i in range(40)] + [(77, text, None), (77, text, None)], "doc_id long, text string, lang string")
+    rows = langid.identify(docs).collect()
+    assert len(rows) == 42 and {r.lang_pred for r in rows} == {"aa"} and {round(r.score, 9) for r in rows} == {0.5}
+
+
 @needs_data
 def test_language_held_out(spark):
     rows = registry.op6_language_id(spark, str(SF)).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
@@ -445,6 +486,54 @@ def test_wrappers_find_articles_without_their_names(spark):
     assert sum((a & b).total() for a, b in alone) < 0.95 * sum(a.total() for a, _ in alone)
 
 
+def _regex_of(node):
+    """A wrapper as a plain regular expression over a page that is written as tags and signs for texts; regions are captured."""
+    if node.tag == "+":
+        return f"(?:{'|'.join(map(_one_of, node.kids))})*"
+    return f"(?:{_one_of(node)})" + {(True, True): "*", (True, False): "+", (False, True): "?", (False, False): ""}[node.many, node.maybe]
+
+
+def _one_of(node):
+    if node.tag == "#":
+        return "#"
+    element = f"<{re.escape(node.tag)} {re.escape(node.mark)}>{''.join(map(_regex_of, node.kids))}</>"
+    return f"(?P<region>{element})" if node.state == html._REGION else element
+
+
+def _written(node):
+    return "#" if node.tag == "#" else f"<{node.tag} {node.mark}>{''.join(map(_written, node.kids))}</>"
+
+
+@needs_data
+@pytest.mark.parametrize("plainer", [False, True])
+def test_wrappers_as_plain_regular_expressions(spark, plainer):
+    """Each page is in the language of its host's wrapper, and what a plain matcher captures for the region is what is extracted."""
+    hosts = {}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").select(html.host_of(F.col("url")).alias("host"), "html").filter("html IS NOT NULL").orderBy("page_id").collect():
+        hosts.setdefault(r.host, []).append(_plainer(r.html) if plainer else r.html)
+    compared = 0
+    for pages in hosts.values():
+        layouts = {}
+        for page in dict.fromkeys(pages):
+            html._gather(layouts, html.tree(page)[1])
+        joined = html._aligned(layouts)
+        wrapper = html.read_wrapper(html.conclude(joined))
+        pattern = regex.compile(_regex_of(joined))
+        for page in pages:
+            blocks, root = html.parse(page)
+            text = _written(root)
+            found = pattern.fullmatch(text, timeout=20)
+            assert found and text.count("#") == len(blocks)
+            assert not pattern.fullmatch(text.replace("</>", "<unheard of></></>", 1), timeout=20)
+            inside = [b.text for at, b in zip((m.start() for m in re.finditer("#", text)), blocks) if b.text and any(a <= at < z for a, z in found.spans("region"))]
+            got, by_wrapper = html.extract_by(page, wrapper)
+            if by_wrapper and inside:
+                compared += 1
+                parts = Counter(got.split("\n\n"))
+                assert parts == Counter(inside) if any(b.article for b in blocks) else not Counter(inside) - parts
+    assert compared >= 0.9 * sum(map(len, hosts.values()))
+
+
 def test_rotating_notices_go_and_own_texts_stay():
     page = "<body><div>{}</div><div><h1>Title {}</h1><p>{}</p><ul><li>x{}<li>y</ul></div><div>Day {}</div></body>"
     pages = [page.format(("Buy this", "Buy that", "Read on")[i % 3], i, f"text {i} " * 40, i, i) for i in range(12)]
