@@ -9,9 +9,10 @@ A text asks for all its n-grams. The count of a language's bit over them is corr
 expect at its filter's fill, ``(share - fp) / (1 - fp)``; the language with the highest corrected share is the answer,
 and its part of the sum of corrected shares is the score. A scan is one narrow pass with memory bounded by a chunk.
 
-N-grams are of the letters only: ASCII and Latin-1 letters in lower case, all else but other multi-byte letters as
-one space. Null texts and texts without a letter are ``und`` with score 0, as is every text if nothing was learned. Ties
-go to the first language by name. Repeated rows are answered alike; labels of null are not learned; other columns unused.
+N-grams are of the letters only: ASCII and Latin-1 letters in lower case, other multi-byte characters as they are, all
+else as one space. Null texts and texts without a letter are ``und`` with score 0, as is every text if nothing was learned.
+Very long texts are read whole, a chunk of texts at a time. Ties go to the first language by name. Repeated rows are
+answered alike, an empty table gives no rows; labels of null are not learned; other columns are unused, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ under it go. Within a call, texts equal in all words are settled before, by a ha
 add nothing to the anchors.
 
 Null texts count as empty. Texts of fewer than 50 words keep all. Rows without a doc_id are neither owners nor cut.
-Rows with the same doc_id are one document as owners and are cut one by one. Other columns are unused.
+Rows with the same doc_id are one document as owners and are cut one by one. Very long texts are one document like others,
+all their windows counted. Ties cannot be: of documents with a window, the least doc_id owns it. An empty table gives no
+rows; other columns are unused, whatever their names.
 """
 
 from __future__ import annotations

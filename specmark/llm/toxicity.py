@@ -12,7 +12,9 @@ windows of each text, so that clean texts give their hardest windows. Scoring is
 by a chunk of texts.
 
 A null or empty text, or one without words, scores the share of toxic rows in the sample, 0.49 at most. With no
-labelled rows, or of one class only, every text scores that share. Repeated rows score alike; other columns are unused.
+labelled rows, or of one class only, every text scores that share. Very long texts are scored in all their windows; where
+windows tie, any of them gives the text's score. Rows of the sample tie in the hashed order by doc_id. Repeated rows score
+alike, an empty table gives no rows; a null doc_id is kept and learned from nowhere; other columns are unused.
 """
 
 from __future__ import annotations

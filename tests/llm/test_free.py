@@ -639,3 +639,11 @@ def test_toxicity(spark):
     none = toxicity.toxicity(docs, labels.limit(0)).collect()
     assert len(none) == len(rows) and all(r.score == 0 for r in none)
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_of_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "no id here"), (None, None), (5, "one"), (5, "one")], "doc_id long, text string")
+    labels = spark.createDataFrame([(None, 1), (5, 0)], "doc_id long, toxic int")
+    rows = toxicity.toxicity(docs, labels).collect()
+    assert len(rows) == 4 and all(r.score == 0 and r.predicted == 0 for r in rows)
+    assert [r.held_out for r in rows if r.doc_id is None] == [False, False]
