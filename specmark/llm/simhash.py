@@ -172,6 +172,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     keyed = lambda role, name: distinct.mapInArrow(_keys(role), "key long, fp long, near boolean").select(
         F.col("key").alias(f"k{name}"), F.col("fp").alias(name), F.col("near").alias(f"n{name}")
     )
+    # Spark takes the rows that Python makes to be as many as it was given, and would send the keys through the driver
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)
     e = [_errors(i) for i in range(3)]
     # the exact segment that reports a pair is the first, the coded one the first of the others within two bits
@@ -180,11 +181,11 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     coded_errors = F.when(coded == 0, e[0]).when(coded == 1, e[1]).otherwise(e[2])
     kind = F.shiftright("ka", 40)
     first = (
-        keyed(0, "a").join(keyed(0, "b"), (F.col("ka") == F.col("kb")) & close & (kind == exact * 3 + coded) & (F.col("na") | (coded_errors == 2)))
+        keyed(0, "a").join(keyed(0, "b").hint("merge"), (F.col("ka") == F.col("kb")) & close & (kind == exact * 3 + coded) & (F.col("na") | (coded_errors == 2)))
         .select("a", "b")
     )
     ones = F.when((e[0] == 1) & (e[1] == 1), 0).when((e[0] == 1) & (e[2] == 1), 1).when((e[1] == 1) & (e[2] == 1), 2)
-    second = keyed(1, "a").join(keyed(2, "b"), (F.col("ka") == F.col("kb")) & close & exact.isNull() & (kind == 16 + ones)).select("a", "b")
+    second = keyed(1, "a").join(keyed(2, "b").hint("merge"), (F.col("ka") == F.col("kb")) & close & exact.isNull() & (kind == 16 + ones)).select("a", "b")
     return first.unionByName(second)
 
 
@@ -194,7 +195,8 @@ def _labels(classes: DataFrame) -> DataFrame:
     # a key per codeword makes a hundred rows of each: dealt out, however small the file is
     links = fingerprint_links(classes.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = classes.join(labels, F.col("fp") == F.col("node"), "left").select(*classes.columns, F.coalesce("component", "fp").alias("label"))
+    # merged, as all sides here and below grow with the table
+    placed = classes.join(labels.hint("merge"), F.col("fp") == F.col("node"), "left").select(*classes.columns, F.coalesce("component", "fp").alias("label"))
     return materialize(placed, "simhash-labels")
 
 
@@ -204,8 +206,8 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     placed = _labels(materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes"))
     # written, so that the join can split a component that holds a good part of all
     named = materialize(placed.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-names")
-    by_fp = materialize(placed.join(named, "label").select(F.col("fp").alias("_fp"), "component_id"), "simhash-components")
-    return fps.join(by_fp, F.col("fp") == F.col("_fp")).select(
+    by_fp = materialize(placed.join(named.hint("merge"), "label").select(F.col("fp").alias("_fp"), "component_id"), "simhash-components")
+    return fps.join(by_fp.hint("merge"), F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -210,6 +210,12 @@ def test_links_lose_none(spark):
     assert len(got) < 2 * len(want)
 
 
+def test_links_are_not_sent_through_the_driver(spark):
+    links = simhash.fingerprint_links(spark.range(1000).select(F.xxhash64("id").alias("fp")))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
 def test_simhash_groups(spark):
     rng = random.Random(5)
     base = _prose(rng, 300)
