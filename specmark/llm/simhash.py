@@ -223,5 +223,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     stays = placed.groupBy("label").agg(F.min("least").alias("least")).select(*(F.col("least")[n].alias(f"{n}s") for n in names))
     # rows that repeat become one before the shuffle by key, which is the only one that texts take part in
     once = packed(docs, *keys).dropDuplicates(names)
-    kept = once.join(materialize(stays, "simhash-stays"), [F.col(n) == F.col(f"{n}s") for n in names], "left_semi")
+    kept = once.join(materialize(stays, "simhash-stays").hint("merge"), [F.col(n) == F.col(f"{n}s") for n in names], "left_semi")
     return unpacked(kept, docs.columns)
