@@ -13,7 +13,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,14 +76,39 @@ def lemmas_of(read: Engine, texts: list[str]) -> list[list[str]]:
     return [[(lemma or token).lower() for token, lemma in pairs if token.isalpha()] for pairs in read(texts)]
 
 
+#: Characters of texts that are taken from a batch at once, but for a longer text, so that a worker holds few lemmas.
+CHARACTERS = 1 << 20
+
+
+def _cuts(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Where runs of texts begin and end that have at most CHARACTERS together, or one text each."""
+    start = held = 0
+    for i, n in enumerate(lengths):
+        if held + n > CHARACTERS and i > start:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if lengths:
+        yield start, len(lengths)
+
+
+def lemma_batches(read: Engine, batches: Iterable[pa.Array]) -> Iterator[pa.Array]:
+    """The lemma markers of batches of texts, in as many arrays as it takes to keep each small; null has none."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.utf8_length(batch), 0).to_pylist()
+        if not lengths:
+            yield pa.array([], pa.list_(pa.string()))
+        for start, end in _cuts(lengths):
+            texts = [t or "" for t in batch.slice(start, end - start).to_pylist()]
+            yield pa.array(lemmas_of(read, texts), pa.list_(pa.string()))
+
+
 def lemmas(text: Column, name: str = "spacy", at_once: int = 256) -> Column:
     """The lemma markers of each text; null has none. An unknown name is refused at once."""
     opener = opener_of(name)
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        read = opener(at_once)
-        for batch in batches:
-            yield pd.Series(lemmas_of(read, batch.fillna("").tolist()))
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lemma_batches(opener(at_once), batches)
 
     return run(text)
