@@ -34,10 +34,11 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from functools import reduce
 from html import unescape
-from itertools import groupby
+from itertools import count, groupby
 
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,9 +74,7 @@ _AROUND = re.compile(r"\b(?:no|has|with|without|allow)[-_]\w+", re.I)
 _FLOW = frozenset("# p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption hr address details summary center".split())
 _ENDS_ITEM = frozenset("ul ol dl table select html body section article main td th".split())
 DEEPEST = 100
-#: Texts of a slot that are counted one by one: those of the smallest hashes.
-SAMPLE = 64
-#: A slot whose counted texts recur on other pages in more than this share is rotating.
+#: A slot whose texts recur on other pages in more than this share is rotating.
 MOST_RECURRING = 0.05
 
 
@@ -96,22 +95,21 @@ class Node:
     """An item of an expression: an element, a repeated group of flow content (``+``) or a text (``#``).
 
     pages: the pages that have it. Of a text: size, the length of all its texts; same, the hashes of texts that all these
-    pages have there, with their lengths; sample, on how many pages each of a sample of its texts is; src, on a page, its
-    blocks.
+    pages have there, with their lengths; src, on a page, its blocks; place, in a wrapper, its number among the texts.
     """
 
-    __slots__ = ("tag", "mark", "kids", "many", "maybe", "article", "pages", "size", "same", "sample", "src", "state")
+    __slots__ = ("tag", "mark", "kids", "many", "maybe", "article", "pages", "size", "same", "src", "state", "place")
 
     def __init__(self, tag: str, mark: str = "", article: bool = False):
         self.tag, self.mark, self.article, self.kids = tag, mark, article, []
         self.many = self.maybe = False
-        self.pages, self.size, self.same, self.sample, self.src, self.state = 1, 0, {}, {}, [], 0
+        self.pages, self.size, self.same, self.src, self.state, self.place = 1, 0, {}, [], 0, 0
 
     def __getstate__(self):
-        return tuple(getattr(self, a) for a in self.__slots__[:-2])
+        return tuple(getattr(self, a) for a in self.__slots__[:-3])
 
     def __setstate__(self, state):
-        for a, v in zip(self.__slots__, (*state, [], 0)):
+        for a, v in zip(self.__slots__, (*state, [], 0, 0)):
             setattr(self, a, v)
 
     def tags(self) -> set[str]:
@@ -258,7 +256,7 @@ def _grouped(node: Node) -> Node:
         text = node.src[0].text
         if text:
             key = xxhash.xxh64_intdigest(text)
-            node.size, node.same, node.sample = len(text), {key: len(text)}, {key: 1}
+            node.size, node.same = len(text), {key: len(text)}
         return node
     kids: list[Node] = []
     for flow, run in groupby(map(_grouped, node.kids), lambda k: k.tag in _FLOW):
@@ -298,7 +296,6 @@ def _fold(a: Node, b: Node) -> Node:
     a.many = True
     a.size += b.size
     a.same |= b.same
-    a.sample |= b.sample
     a.src += b.src
     a.article |= b.article
     a.kids = _merged(a, b, _fold)
@@ -310,10 +307,6 @@ def _join(a: Node, b: Node) -> Node:
     a.size += b.size
     a.pages += b.pages
     a.same = {k: n for k, n in a.same.items() if k in b.same}
-    for k, n in b.sample.items():
-        a.sample[k] = a.sample.get(k, 0) + n
-    if len(a.sample) > SAMPLE:
-        a.sample = {k: a.sample[k] for k in sorted(a.sample)[:SAMPLE]}
     a.many, a.maybe, a.article = a.many or b.many, a.maybe or b.maybe, a.article or b.article
     a.kids = _merged(a, b, _join)
     return a
@@ -481,7 +474,8 @@ def conclude(root: Node) -> list:
     """The wrapper as it goes to the pages: [tag, mark, state, template texts, items] of each item, nested.
 
     A text is template if all pages with its place have it there: two of them at least, and half of the pages that have
-    the element around it. Pages that are near copies of one another tell nothing of a template.
+    the element around it. Pages that are near copies of one another tell nothing of a template. Slots of more than three pages
+    are said to rotate until their texts are counted (``settled``).
     """
     held: dict[int, int] = {}
 
@@ -489,8 +483,7 @@ def conclude(root: Node) -> list:
         if node.tag == "#":
             template = node.pages > 1 and 2 * node.pages >= around
             node.same = node.same if template else {}
-            recurring = sum(n for n in node.sample.values() if n > 1)
-            node.state = _ROTATING if node.pages > 3 and recurring > MOST_RECURRING * sum(node.sample.values()) else _SLOT
+            node.state = _ROTATING if node.pages > 3 else _SLOT
             held[id(node)] = max(0, node.size - node.pages * sum(node.same.values()))
         else:
             held[id(node)] = sum(weigh(k, node.pages if node.tag != "+" else around) for k in node.kids)
@@ -526,39 +519,83 @@ def conclude(root: Node) -> list:
 
 
 def read_wrapper(written: list) -> Node:
-    node = Node(written[0], written[1].rstrip("\n"), written[1].endswith("\n"))
-    node.state, node.same = written[2], dict.fromkeys(written[3])
-    node.kids = [read_wrapper(k) for k in written[4]]
-    return node
+    places = count()
+
+    def read(written: list) -> Node:
+        node = Node(written[0], written[1].rstrip("\n"), written[1].endswith("\n"))
+        node.state, node.same, node.place = written[2], dict.fromkeys(written[3]), next(places) if written[0] == "#" else 0
+        node.kids = [read(k) for k in written[4]]
+        return node
+
+    return read(written)
+
+
+def settled(written: list, rotating: set[int]) -> list:
+    """The wrapper of ``conclude`` once the texts are counted: of its texts, those of these places rotate."""
+    places = count()
+
+    def settle(w: list) -> list:
+        state = _SLOT if w[0] == "#" and next(places) not in rotating and w[2] == _ROTATING else w[2]
+        return [*w[:2], state, w[3], [settle(k) for k in w[4]]]
+
+    return settle(written)
+
+
+def undecided(wrapper: Node) -> bool:
+    """Whether there is a slot outside the region whose texts must be counted."""
+    return wrapper.state != _REGION and (wrapper.state == _ROTATING or any(map(undecided, wrapper.kids)))
+
+
+def slot_texts(html: str, wrapper: Node) -> set[tuple[int, int]]:
+    """The page's texts outside the region, by place and hash."""
+    slots: set[tuple[int, int]] = set()
+    _match(wrapper, tree(html)[1], "", {}, slots)
+    return slots
+
+
+def rotates(recurring, every):
+    """Whether a slot rotates: on how many pages its texts are that are on more than one, and on how many all of them are."""
+    return recurring > MOST_RECURRING * every
 
 
 def infer(pages: list[str]) -> Node:
     """The wrapper of a host with these pages; copies of a page say nothing of what is template."""
     layouts: dict[str, Node] = {}
-    for page in dict.fromkeys(pages):
+    different = list(dict.fromkeys(pages))
+    for page in different:
         _gather(layouts, tree(page)[1])
-    return read_wrapper(conclude(_aligned(layouts) if layouts else Node("")))
+    written = conclude(_aligned(layouts) if layouts else Node(""))
+    wrapper = read_wrapper(written)
+    on = Counter(x for page in different for x in slot_texts(page, wrapper))
+    recurring, every = Counter(), Counter()
+    for (place, _), n in on.items():
+        every[place] += n
+        recurring[place] += n if n > 1 else 0
+    return read_wrapper(settled(written, {p for p in every if rotates(recurring[p], every[p])}))
 
 
-def _match(wrapper: Node, page: Node, inside: str, found: dict[int, tuple[str, bool]]) -> bool:
+def _match(wrapper: Node, page: Node, inside: str, found: dict[int, tuple[str, bool]], slots: set | None = None) -> bool:
     """Note for each block that has a place in the wrapper: in the region (article, region or none), and whether to leave it
-    out; whether the region was met."""
+    out; in slots, the texts that have to be counted; whether the region was met."""
     met = wrapper.state == _REGION and page.tag != "#"
     if met and wrapper.tag not in _WHOLE:
         inside = "article" if wrapper.article else "region"
     if page.tag == "#":
         for block in page.src:
-            template = xxhash.xxh64_intdigest(block.text) in wrapper.same
+            key = xxhash.xxh64_intdigest(block.text)
+            template = key in wrapper.same
+            if slots is not None and block.text and wrapper.state == _ROTATING and not inside:
+                slots.add((wrapper.place, key))
             found[id(block)] = inside, template or wrapper.state == _ROTATING and not inside
     elif wrapper.tag == "+":
         items = {(k.tag, k.mark): k for k in wrapper.kids}
         for k in page.kids:
             known = items.get((k.tag, k.mark))
-            met |= _match(known, k, inside, found) if known else _unknown(k, inside, found)
+            met |= _match(known, k, inside, found, slots) if known else _unknown(k, inside, found)
     else:
         for x, y in align(wrapper.kids, page.kids):
             if y is not None:
-                met |= _match(x, y, inside, found) if x is not None else _unknown(y, inside, found)
+                met |= _match(x, y, inside, found, slots) if x is not None else _unknown(y, inside, found)
     return met
 
 
@@ -671,13 +708,9 @@ def _conclude_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(conclude(_aligned(layouts)))], pa.string())], names=["_w_host", "_w_wrapper"])
 
 
-def infer_wrappers(pages: DataFrame, salts: int = 64, bits: int = 1 << 24) -> DataFrame:
-    """One row per host: _w_host, _w_wrapper (JSON).
-
-    All different pages are read where they lie, a hot host's in many tasks. Pages whose key occurs again (or shares a bit with
-    one that does, in a bitmap of ``bits``) are first brought down to one for each key, a task sending each key once. The
-    layouts of a host are aligned in two steps, so that its last task sees salts wrappers.
-    """
+def _different(pages: DataFrame, bits: int) -> tuple[DataFrame, Broadcast, DataFrame]:
+    """Pages (_w_host, html, _w_key); a bitmap of the keys that occur again (or share a bit with one that does); and one page for
+    each of these, a task sending each key once."""
     keyed = pages.select(host_of(F.col("url")).alias("_w_host"), F.col("html").cast("string").alias("html")).filter("html IS NOT NULL")
     hashed = keyed.withColumn("_w_key", F.xxhash64("_w_host", "html"))
     again = hashed.groupBy("_w_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_w_key")
@@ -687,24 +720,85 @@ def infer_wrappers(pages: DataFrame, salts: int = 64, bits: int = 1 << 24) -> Da
         for batch in batches:
             yield _by_key(batch, copied, True)
 
-    kept = hashed.mapInArrow(some, "_w_host string, html string, _w_key long").groupBy("_w_host", "_w_key").agg(F.first("html").alias("html"))
-    partial = hashed.mapInArrow(_read_batches(copied), _PARTIAL).unionByName(kept.select("_w_host", "html", "_w_key").mapInArrow(_read_batches(), _PARTIAL))
+    once = hashed.mapInArrow(some, "_w_host string, html string, _w_key long").groupBy("_w_host", "_w_key").agg(F.first("html").alias("html"))
+    return hashed, copied, materialize(once.select("_w_host", "html", "_w_key"), "pages-once")
+
+
+def _slot_batches(copied=None):
+    """Pages (host, html, key, wrapper) to the texts of slots outside the region, as often as they are on different pages."""
+
+    def run(batches):
+        known = _Wrappers()
+        for batch in batches:
+            on: Counter = Counter()
+            for host, html, _, key in zip(*_by_key(batch, copied, False).columns):
+                wrapper = known[key.as_py()]
+                if wrapper is not None and undecided(wrapper):
+                    h = host.as_py()
+                    on.update((h, place, text) for place, text in slot_texts(html.as_py(), wrapper))
+            hosts, places, texts = zip(*on) if on else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(places, pa.int32()), pa.array(texts, pa.uint64()).view(pa.int64()), pa.array(list(on.values()), pa.int64())],
+                names=["host", "place", "key", "n"],
+            )
+
+    return run
+
+
+def _settle_batches(batches):
+    for batch in batches:
+        hosts, wrappers, rotating = (c.to_pylist() for c in batch.columns)
+        out = [json.dumps(settled(json.loads(w), set(r or ()))) for w, r in zip(wrappers, rotating)]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(out, pa.string())], names=["_w_host", "_w_wrapper"])
+
+
+def _beside(wrappers: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """Written wrappers as they are joined to pages."""
+    size = wrappers.agg(F.sum(F.octet_length("_w_wrapper"))).first()[0] or 0
+    return F.broadcast(wrappers) if size <= broadcast_bytes else wrappers
+
+
+def infer_wrappers(pages: DataFrame, salts: int = 64, bits: int = 1 << 24, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """One row per host: _w_host, _w_wrapper (JSON).
+
+    All different pages are read where they lie, a hot host's in many tasks. Pages whose key occurs again (or shares a bit with
+    one that does, in a bitmap of ``bits``) are first brought down to one for each key, a task sending each key once. The
+    layouts of a host are aligned in two steps, so that its last task sees salts wrappers. All texts of slots outside the region
+    are then counted, on all different pages.
+    """
+    hashed, copied, once = _different(pages, bits)
+    partial = hashed.mapInArrow(_read_batches(copied), _PARTIAL).unionByName(once.mapInArrow(_read_batches(), _PARTIAL))
     salt = F.pmod("_w_layout", F.lit(salts))
     salted = partial.repartition("_w_host", salt).sortWithinPartitions("_w_host", "_w_layout")
-    return salted.mapInArrow(_align_batches, _PARTIAL).repartition("_w_host").sortWithinPartitions("_w_host").mapInArrow(_conclude_batches, "_w_host string, _w_wrapper string")
+    aligned = salted.mapInArrow(_align_batches, _PARTIAL).repartition("_w_host").sortWithinPartitions("_w_host")
+    wrappers = materialize(aligned.mapInArrow(_conclude_batches, "_w_host string, _w_wrapper string"), "wrappers")
+    side = _beside(wrappers, broadcast_bytes)
+    slots = "host string, place int, key long, n long"
+    counted = hashed.join(side, "_w_host").select("_w_host", "html", "_w_key", "_w_wrapper").mapInArrow(_slot_batches(copied), slots)
+    counted = counted.unionByName(once.join(side, "_w_host").select("_w_host", "html", "_w_key", "_w_wrapper").mapInArrow(_slot_batches(), slots))
+    on = counted.groupBy("host", "place", "key").agg(F.sum("n").alias("n"))
+    shares = on.groupBy("host", "place").agg(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("recurring"), F.sum("n").alias("every"))
+    rotating = shares.filter(rotates(F.col("recurring"), F.col("every"))).groupBy("host").agg(F.collect_list("place").alias("places"))
+    told = wrappers.join(rotating, F.col("_w_host") == F.col("host"), "left").select("_w_host", "_w_wrapper", "places")
+    return told.mapInArrow(_settle_batches, "_w_host string, _w_wrapper string")
+
+
+class _Wrappers(dict):
+    """Read wrappers by their writing, as many as a task may hold."""
+
+    def __missing__(self, key: str | None) -> Node | None:
+        if len(self) > 1000:
+            self.clear()
+        self[key] = None if key is None else read_wrapper(json.loads(key))
+        return self[key]
 
 
 def _extract_batches(batches):
-    known: dict[str, Node] = {}
+    known = _Wrappers()
     for batch in batches:
         texts, ways = [], []
         for html, wrapper in zip(batch.column(2), batch.column(3)):
-            key = wrapper.as_py()
-            if key is not None and key not in known:
-                if len(known) > 1000:
-                    known.clear()
-                known[key] = read_wrapper(json.loads(key))
-            text, by_wrapper = extract_by(html.as_py(), known.get(key))
+            text, by_wrapper = extract_by(html.as_py(), known[wrapper.as_py()])
             texts.append(text)
             ways.append(by_wrapper)
         yield pa.RecordBatch.from_arrays(
@@ -715,9 +809,7 @@ def _extract_batches(batches):
 
 def extract_pages(pages: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, by_wrapper (whether the text came through its host's wrapper)."""
-    wrappers = materialize(infer_wrappers(pages), "wrappers")
-    size = wrappers.agg(F.sum(F.octet_length("_w_wrapper"))).first()[0] or 0
+    side = _beside(materialize(infer_wrappers(pages, broadcast_bytes=broadcast_bytes), "wrappers-settled"), broadcast_bytes)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url")).alias("_host"))
-    side = F.broadcast(wrappers) if size <= broadcast_bytes else wrappers
     joined = rows.join(side, F.col("_host") == F.col("_w_host"), "left").select("page_id", "url", "html", "_w_wrapper")
     return joined.mapInArrow(_extract_batches, "page_id long, url string, text string, n_chars long, by_wrapper boolean")

@@ -548,6 +548,20 @@ def test_rotating_notices_go_and_own_texts_stay():
     assert got == [(f"Title {i}\n\n{' '.join([f'text {i}'] * 40)}\n\nx{i}\n\ny\n\nDay {i}", True) for i in range(12)]
 
 
+def test_all_texts_of_a_slot_are_counted(spark):
+    """Of 400 different texts, those of the 200 smallest hashes are on a page each and the others on two, and the other way round."""
+    texts = sorted((f"Note {i} of the day" for i in range(400)), key=xxhash.xxh64_intdigest)
+    page = "<body><div class=note>{}</div><div id=content><h1>Title {}</h1><p>{}</p></div></body>"
+    own = lambda i: f"Title {i}\n\n{' '.join([f'body {i}'] * 30)}"
+    for host, notes in (("a", texts[:200] + texts[200:] * 2), ("b", texts)):
+        rows = [(i, f"http://{host}.org/{i}", page.format(t, i, " ".join([f"body {i}"] * 30))) for i, t in enumerate(notes)]
+        want = [own(i) if host == "a" else f"{t}\n\n{own(i)}" for i, t in enumerate(notes)]
+        got = html.extract_pages(spark.createDataFrame(rows + rows[:50], "page_id long, url string, html string"))
+        assert sorted((r.page_id, r.text) for r in got.collect()) == sorted([*enumerate(want), *enumerate(want[:50])])
+        wrapper = html.infer([r[2] for r in rows])
+        assert [html.extract(r[2], wrapper) for r in rows] == want
+
+
 @pytest.mark.parametrize("piece", ['<a "', '<a b="c ', "<a <a x=", "<div>", "<p>x<i>", "<li><div>", '<a b=">" ', "</p>", "<b></i>"])
 def test_broken_pages_take_linear_time(piece):
     def seconds(n):
