@@ -24,7 +24,8 @@ def trim_all(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(trim_all(text) == "", F.lit(True))
+    """Whether trim_all leaves nothing; a text is read up to its first sign."""
+    return ~F.coalesce(F.rlike(text, F.lit(r"(?U)[^\s\x1C-\x1F]")), F.lit(False))
 
 
 def words(text: Column) -> Column:
@@ -37,7 +38,8 @@ def words(text: Column) -> Column:
 
 def punctuation(text: Column) -> Column:
     """Signs in order. In each run, ellipses come first: one for any number of U+2026, one per three dots that are left."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SIGNS + "+"), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    find = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def signs(run: Column) -> Column:
         dots = F.regexp_replace(run, "…", "")
@@ -45,4 +47,6 @@ def punctuation(text: Column) -> Column:
         folded = F.contains(run, F.lit("…")).cast("int") + ((F.length(dots) - F.length(rest)) / 3).cast("int")
         return F.concat(F.array_repeat(F.lit("…"), folded), F.filter(F.split(rest, ""), lambda c: c != ""))
 
-    return F.flatten(F.transform(runs, signs))
+    # runs matter only where there is something to fold
+    folds = F.contains(text, F.lit("…")) | F.contains(text, F.lit("..."))
+    return F.when(folds, F.flatten(F.transform(find(SIGNS + "+"), lambda run: F.when(F.length(run) == 1, F.array(run)).otherwise(signs(run))))).otherwise(find(SIGNS))
