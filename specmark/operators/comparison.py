@@ -64,11 +64,17 @@ def dashboard_label(emotion: Column) -> Column:
     )
 
 
+def _once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """columns, each computed once for a row however often what follows mentions it: projections do not merge over a generator."""
+    return rows.select(F.inline(F.array(F.struct(*columns))))
+
+
 def _labelled(rows: DataFrame, labels: Column, corpus: str) -> DataFrame:
-    folded = F.transform(labels, lambda e: F.when(e.isin(*EMOTION_COLUMNS), e).otherwise(F.lit(OTHER)))
-    labels = F.when(F.size(labels) == 0, F.array(F.lit(OTHER))).otherwise(F.array_distinct(folded))
+    folded = F.transform("_labels", lambda e: F.when(e.isin(*EMOTION_COLUMNS), e).otherwise(F.lit(OTHER)))
+    emotions = F.when(F.size("_labels") == 0, F.array(F.lit(OTHER))).otherwise(F.array_distinct(folded))
     value = F.lower(trim_all(F.col("marker_value").cast("string")))
-    named = rows.select(value.alias("marker"), F.lit(corpus).alias("corpus"), F.explode(labels).alias("emotion"))
+    own = _once(rows, value.alias("marker"), labels.alias("_labels"))
+    named = own.select("marker", F.lit(corpus).alias("corpus"), F.explode(emotions).alias("emotion"))
     return named.filter((F.length("marker") > 2) & (F.col("marker") != "nan"))
 
 
