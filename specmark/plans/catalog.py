@@ -88,8 +88,13 @@ def _onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _different_words():
+    """Where only sets are asked for: a word once for each text that has it."""
+    return F.array_distinct(words(F.col("text")))
+
+
 def _marker_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    side = lambda name: C.marker_set(_table(spark, sf_dir, name).select(F.explode(words(F.col("text"))).alias("marker_value")))
+    side = lambda name: C.marker_set(_table(spark, sf_dir, name).select(F.explode(_different_words()).alias("marker_value")))
     return side("documents"), side("conversations")
 
 
@@ -342,10 +347,10 @@ def marker_sets_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dashboard items of both corpora: documents by language as what an annotator wrote, conversations by role."""
     docs = _table(spark, sf_dir, "documents").select(
-        F.lit(" Designee ").alias("mode"), F.col("lang").alias("categorie1"), F.when(F.col("lang") == "de", "joie").alias("categorie2"), F.explode(words(F.col("text"))).alias("marker_value")
+        F.lit(" Designee ").alias("mode"), F.col("lang").alias("categorie1"), F.when(F.col("lang") == "de", "joie").alias("categorie2"), F.explode(_different_words()).alias("marker_value")
     )
     talk = _table(spark, sf_dir, "conversations").select(
-        F.lit(1.0).alias("Désignée"), (F.col("role") == "user").cast("double").alias("Peur"), (F.col("role") != "assistant").cast("double").alias("Joie"), F.explode(words(F.col("text"))).alias("marker_value")
+        F.lit(1.0).alias("Désignée"), (F.col("role") == "user").cast("double").alias("Peur"), (F.col("role") != "assistant").cast("double").alias("Joie"), F.explode(_different_words()).alias("marker_value")
     )
     return C.dashboard_sets(C.items_of_annotations(docs), C.items_of_table(talk))
 
