@@ -87,14 +87,13 @@ def entropy_of_modes(
     own = markers.withColumn("_m", _number_of(column, modes))
     seen = own.filter(F.col(condition).isin(*valid) | F.col("_m").isNotNull())
     bit = lambda i: F.when(F.col("_m").between(i * BITS, i * BITS + BITS - 1), F.expr(f"shiftleft(1L, _m - {i * BITS})"))
-    counts = _counts(seen, condition, valid, *(F.bit_or(bit(i)).alias(f"_w{i}") for i in range(words)))
+    counts = _counts(seen, condition, valid, F.count("_k").alias("_total"), *(F.bit_or(bit(i)).alias(f"_w{i}") for i in range(words))).filter(F.col("_total") >= min_freq)
     # one array each, so that what follows is as short for hundreds of classes and modes as for four
-    arrays = counts.select(*KEYS, F.array(*(f"_c{i}" for i in range(len(valid)))).alias("_n"), F.array(*(F.coalesce(f"_w{i}", F.lit(0).cast("long")) for i in range(words))).alias("_held"))
-    total = arrays.select("*", F.aggregate("_n", F.lit(0).cast("long"), lambda a, n: a + n).alias("_total")).filter(F.col("_total") >= min_freq)
+    arrays = counts.select(*KEYS, "_total", F.array(*(f"_c{i}" for i in range(len(valid)))).alias("_n"), F.array(*(F.coalesce(f"_w{i}", F.lit(0).cast("long")) for i in range(words))).alias("_held"))
     p = lambda n: n / F.col("_total")
     bits = F.aggregate("_n", F.lit(0.0), lambda a, n: a + F.when(n > 0, p(n) * F.log2(p(n))).otherwise(0.0))
     held = F.expr(f"filter(sequence(0, {len(modes) - 1}), i -> (shiftright(_held[int(i / {BITS})], i % {BITS}) & 1L) = 1L)")
-    rows = total.select(*KEYS, F.round(F.lit(0.0) - bits, PLACES).alias("entropy"), F.explode(held).alias("_m"))
+    rows = arrays.select(*KEYS, F.round(F.lit(0.0) - bits, PLACES).alias("entropy"), F.explode(held).alias("_m"))
     return rows.select(F.array(*(F.lit(m) for m in modes))[F.col("_m")].alias("mode"), *KEYS, "entropy")
 
 

@@ -126,3 +126,20 @@ def test_numbers_as_python_writes_them(spark):
     values = [0.0, -0.0, 1.0, -1.5, 1e7, 123456789.25, 1e15, 1e16, -1.5e16, 0.001, 0.0005, 0.0001, 0.00001, 1.25e-7, 1e100, float("nan"), float("inf"), float("-inf"), 1 / 3, None]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", float_text(F.col("v")).alias("t")).collect()
     assert [r.t for r in rows] == [None if v is None else repr(v) for v in values]
+
+
+def test_labels_are_computed_once(spark):
+    rows = spark.createDataFrame([("designee", "joie", "peur", "Mot")], "mode string, categorie1 string, categorie2 string, marker_value string")
+    items = C.items_of_annotations(rows)
+    # once for the mode, the marker, and each mention of a category in its label
+    assert items._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 12
+    assert sorted(map(tuple, items.collect())) == [("mot", "Glozz", "Joie"), ("mot", "Glozz", "Peur")]
+
+
+def test_rare_markers_go_before_their_entropy(spark):
+    rows = [("a", "word", "x", "m")] * 3 + [("b", "word", "x", "m")] * 2 + [("b", "word", "z", "m")] * 4 + [("c", "word", "y", "n")] * 3
+    markers = spark.createDataFrame(rows, "marker_value string, marker_type string, categorie1 string, mode string")
+    got = E.entropy_of_modes(markers, "categorie1", ("x", "y"), modes=("m", "n"))
+    assert sorted(tuple(r) for r in got.collect()) == [("m", "a", "word", 0.0), ("n", "c", "word", 0.0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Filter" in line and "aggregate(" in line for line in plan)
